@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+from .chats import FORMATTED_SQL, formatted_chats
 from .decontamination import contamination_digest
+from .fingerprints import fingerprint_report
+from .jaccard import jaccard_components
+from .licenses import license_matches
 from .pieces import round_trip
 from .pii import personal_data_digest
 from .quality import quality_digest
+from .revisits import REVISIT_SQL, revisit_report
 from .shared import table
+from .substrings import deduplicated_digest
 
 #: Vocabulary file of the encoding query.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 QUERIES = {
     "op1_decontamination": lambda spark, d: contamination_digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op2_fingerprints": lambda spark, d: fingerprint_report(table(spark, d, "documents")),
+    "op3_chats": lambda spark, d: formatted_chats(table(spark, d, "conversations")),
+    "op4_substrings": lambda spark, d: deduplicated_digest(table(spark, d, "documents")),
     "op5_quality": lambda spark, d: quality_digest(table(spark, d, "documents"), table(spark, d, "labels")),
     "op6_pieces": lambda spark, d: round_trip(table(spark, d, "documents"), MODEL_PATH),
+    "op7_licenses": lambda spark, d: license_matches(table(spark, d, "documents")),
+    "op8_revisits": lambda spark, d: revisit_report(table(spark, d, "pages")),
+    "op9_jaccard": lambda spark, d: jaccard_components(table(spark, d, "documents")),
     "op10_pii": lambda spark, d: personal_data_digest(table(spark, d, "documents")),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_chats": FORMATTED_SQL, "op8_revisits": REVISIT_SQL}
