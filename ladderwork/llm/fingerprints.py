@@ -20,7 +20,7 @@ from .shared import stage
 #: Band of document frequencies, as shares of all documents.
 LOW, HIGH = 0.001, 0.01
 #: One in so many terms is in a subset; 16 subsets of each density.
-DENSITIES = (2, 8, 32, 128)
+DENSITIES = (4, 16, 64, 256)
 PER_DENSITY = 16
 SUBSETS = PER_DENSITY * len(DENSITIES)
 LEXICON_TERMS = 400_000
@@ -71,13 +71,16 @@ def _likeness(equal: Column, codes: str) -> Column:
 def fingerprints(docs: DataFrame, keys: list[str], text: str, known: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """keys, carried columns and fingerprint of each row; keys name a row. known: a lexicon."""
     terms = distinct_terms(F.coalesce(text, F.lit("")))
-    # An entry of its own ('') keeps rows without known terms, and carries what is needed once a row.
-    own = docs.select(*keys, *carried, F.xxhash64(F.array_sort(terms)).alias("plain"), F.explode(F.array_union(F.array(F.lit("")), terms)).alias("term"))
+    # An entry of its own ('') keeps rows without known terms, and carries what is needed once a row. The words' array is
+    # made before it is exploded: what stands beside explode() is evaluated for each word.
+    made = docs.select(*keys, *carried, terms.alias("terms")).withColumn("plain", F.xxhash64(F.sort_array("terms")))
+    own = made.select(*keys, *carried, "plain", F.explode(F.array_union(F.array(F.lit("")), "terms")).alias("term"))
     own = own.select(*keys, "term", *[F.when(F.col("term") == "", F.col(c)).alias(c) for c in ("plain", *carried)])
     small = known.select("term", F.struct("code", "mask").alias("known"))
+    small = small.unionByName(known.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(None).cast(small.schema["known"].dataType).alias("known")))
     if small.count() <= LEXICON_TERMS:
         small = F.broadcast(small)
-    kept = own.join(small, "term", "left").where((F.col("term") == "") | F.col("known").isNotNull())
+    kept = own.join(small, "term")
     held = kept.groupBy(*keys).agg(F.sort_array(F.collect_list("known")).alias("terms"), *[F.max(c).alias(c) for c in ("plain", *carried)])
     return held.select(*keys, *carried, fingerprint_of("terms", "plain").alias("fingerprint"))
 
@@ -130,9 +133,9 @@ def fingerprint_report(docs: DataFrame, low: float = LOW, high: float = HIGH) ->
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("n_chars", F.char_length("text").cast("bigint"))
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))
-    rows = rows.select("span", "place", "doc_id", "n_chars", "text", edited.alias("edited"))
+    rows = rows.select("span", "place", "doc_id", "n_chars", "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2("edited", 256))
     both = rows.select(
-        "span", "place", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        "span", "place", "doc_id", "n_chars", "edited_sha256",
         F.explode(F.array(F.struct(F.lit(0).alias("copy"), F.col("text").alias("text")), F.struct(F.lit(1).alias("copy"), F.col("edited").alias("text")))).alias("x"),
     ).select("span", "place", "doc_id", "n_chars", "edited_sha256", "x.copy", "x.text")
     carried = ("doc_id", "n_chars", "edited_sha256")

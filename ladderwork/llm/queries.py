@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .chats import FORMATTED_SQL, formatted_chats
 from .decontamination import contamination_digest
 from .fingerprints import fingerprint_report
@@ -28,6 +30,7 @@ QUERIES = {
     "op8_revisits": lambda spark, d: revisit_report(table(spark, d, "pages")),
     "op9_jaccard": lambda spark, d: jaccard_components(table(spark, d, "documents")),
     "op10_pii": lambda spark, d: personal_data_digest(table(spark, d, "documents")),
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_chats": FORMATTED_SQL, "op8_revisits": REVISIT_SQL}
