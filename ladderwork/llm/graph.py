@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stage
 
+#: Edges that a task contracts at once.
+CONTRACTED = 2_000_000
+
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root (smallest node of its component), for every node of an edge (src bigint, dst bigint).
@@ -15,12 +22,13 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     in number and long chains halve. Each round is written to the shared folder. Self-loops and repeated edges are
     allowed; no edges give no rows. Hot nodes are aggregated before the shuffle, and joins leave them to AQE's splitting.
     """
-    forward = edges.where("src is not null and dst is not null")
-    alone = forward.where("src = dst").select(F.col("src").alias("node")).distinct()
-    current = stage(forward.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
-    state = _state(current)
+    # Edges are contracted in each task first: a task's edges become one per node, to the smallest node it is linked with.
+    known = edges.where("src is not null and dst is not null").select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
+    forward = stage(known.mapInArrow(_contract, "u bigint, v bigint"), "edges")
+    alone = forward.where("u = v").select(F.col("u").alias("node")).distinct()
+    current = stage(forward.where("u <> v").distinct(), "edges")
     for _ in range(most_rounds):
-        if state[0] == 0:
+        if _settled(current):
             break
         # Large-star: every larger neighbour of u is linked to the smallest of u and its neighbours.
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,18 +39,47 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         current = stage(small, "edges")
-        after = _state(current)
-        if after == state:
-            break
-        state = after
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    found = current.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-    roots = current.select(F.col("v").alias("node")).distinct().join(found, "node", "left_anti")
-    rest = roots.unionByName(alone.join(found, "node", "left_anti")).distinct()
+    found = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    rest = current.select(F.col("v").alias("node")).unionByName(alone).distinct().join(found, "node", "left_anti")
     return found.unionByName(rest.select("node", F.col("node").alias("root")))
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 30)))).first()
-    return tuple(row)
+def _settled(edges: DataFrame) -> bool:
+    """Every node has one edge, and that to a node without any: the edges are stars."""
+    several = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    chained = edges.select(F.col("v").alias("u")).distinct().join(edges.select("u"), "u", "left_semi")
+    return several.unionByName(chained).isEmpty()
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per run of at most CONTRACTED edges of a task: (larger node, smallest node it is linked with), self-loops kept for nodes without other edges."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        held.append(np.stack([c.to_numpy() for c in batch.columns], 1))
+        if sum(map(len, held)) >= CONTRACTED:
+            yield _stars(np.concatenate(held))
+            held = []
+    if held:
+        yield _stars(np.concatenate(held))
+
+
+def _stars(edges: np.ndarray) -> pa.RecordBatch:
+    nodes, at = np.unique(edges, return_inverse=True)
+    at = at.reshape(-1, 2)
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[at[:, 0]], label[at[:, 1]])
+        new = label.copy()
+        for side in (0, 1):
+            np.minimum.at(new, at[:, side], least)
+            np.minimum.at(new, label[at[:, side]], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    star = label != np.arange(len(nodes))
+    lone = ~star & ~np.isin(np.arange(len(nodes)), label[star])
+    keep = star | lone
+    return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(nodes[label[keep]])], names=["u", "v"])

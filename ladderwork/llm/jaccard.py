@@ -11,7 +11,7 @@ A document's shingles are hashed into groups. Two facts about groups do the work
 A vector alone bounds random texts well but in many dimensions boxes overlap, so an R-tree over the whole corpus would
 compare nearly all pairs; the candidate step is what keeps the work in proportion to the corpus.
 
-Components beyond LOCAL sets are not gathered: they are dealt over tasks, and chosen pivots visit all of them, round by
+Components beyond LOCAL shingles are not gathered: they are dealt over tasks, and chosen pivots visit all of them, round by
 round, until every set outside the largest part has been a pivot. No pair of different parts is then unchecked.
 """
 
@@ -31,8 +31,8 @@ from .words import SPACED_LOWER, U64, chunks, mix, utf8, words
 
 #: Dimensions of a count vector; points of a leaf.
 GROUPS, LEAF = 64, 16
-#: Sets of a component that one task resolves; sets of a larger one that stand with the pivots in a task.
-LOCAL, PART = 4096, 1024
+#: Shingles in all sets of a component that one task resolves (8 bytes each); sets of a larger one that stand with the pivots in a task.
+LOCAL, PART = 12_000_000, 1024
 #: Keys that a task gathers before it sends them, and keys a range receives on average.
 SEND_KEYS, RANGE_KEYS = 1_500_000, 2_000_000
 
@@ -407,10 +407,10 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     profile = stage(profiles(docs, size, threshold, ranges), "profiles")
     about = profile.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("n_shingles"), F.col("z").alias("sid"))
     component = connected_components(profile.where("kind = 1").select(F.col("x").alias("src"), F.col("y").alias("dst")))
-    sizes = component.groupBy("root").agg(F.count("*").alias("sets"))
-    first = about.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    named = component.join(sizes, "root").select(F.col("node").alias("sid"), F.col("root").alias("component"), "sets").join(first, "sid")
-    named = stage(named, "candidates")
+    first = about.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    named = stage(component.select(F.col("node").alias("sid"), F.col("root").alias("component")).join(first, "sid"), "candidates")
+    sizes = named.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("weight"))
+    named = stage(named.join(sizes, "component"), "candidates")
 
     def sid_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -419,11 +419,11 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
 
     # A document's row is found by its id; the set id parts rows that share one.
     wanted = docs.select("doc_id", "text").join(named.select("doc_id").distinct(), "doc_id", "left_semi")
-    members = wanted.mapInArrow(sid_of, "doc_id bigint, text string, sid bigint").join(named, ["doc_id", "sid"]).select("component", "sets", "sid", "text")
-    n_sets, n_large = named.agg(F.count("*"), F.coalesce(F.sum((F.col("sets") > local).cast("int")), F.lit(0))).first()
-    links = _local_links(members.where(F.col("sets") <= local), size, threshold, n_sets)
+    members = wanted.mapInArrow(sid_of, "doc_id bigint, text string, sid bigint").join(named, ["doc_id", "sid"]).select("component", "sets", "weight", "sid", "text")
+    n_sets, n_large = named.agg(F.count("*"), F.coalesce(F.sum((F.col("weight") > local).cast("int")), F.lit(0))).first()
+    links = _local_links(members.where(F.col("weight") <= local), size, threshold, n_sets)
     if n_large:
-        large = stage(members.where(F.col("sets") > local).dropDuplicates(["component", "sid"]), "members")
+        large = stage(members.where(F.col("weight") > local).dropDuplicates(["component", "sid"]), "members")
         links = links.unionByName(_large_links(large, size, threshold))
     roots = connected_components(links).withColumnRenamed("node", "sid")
     whole = about.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))

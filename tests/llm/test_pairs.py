@@ -76,7 +76,7 @@ def test_jaccard(spark, rows):
 
 
 def test_jaccard_with_spread_components(spark, rows):
-    got = sorted(tuple(r) for r in jaccard_components(frame(spark, rows), size=5, num=80, local=6).collect())
+    got = sorted(tuple(r) for r in jaccard_components(frame(spark, rows), size=5, num=80, local=600).collect())
     assert got == sorted(brute.components(rows, 5, 80))
 
 
