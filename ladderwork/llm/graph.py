@@ -59,13 +59,14 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held.append(np.stack([c.to_numpy() for c in batch.columns], 1))
         if sum(map(len, held)) >= CONTRACTED:
-            yield _stars(np.concatenate(held))
+            yield _batch(stars(np.concatenate(held)))
             held = []
     if held:
-        yield _stars(np.concatenate(held))
+        yield _batch(stars(np.concatenate(held)))
 
 
-def _stars(edges: np.ndarray) -> pa.RecordBatch:
+def stars(edges: np.ndarray) -> np.ndarray:
+    """Edges (node, smallest node that it is linked with), and (node, node) for nodes with no edge but to themselves."""
     nodes, at = np.unique(edges, return_inverse=True)
     at = at.reshape(-1, 2)
     label = np.arange(len(nodes))
@@ -82,4 +83,8 @@ def _stars(edges: np.ndarray) -> pa.RecordBatch:
     star = label != np.arange(len(nodes))
     lone = ~star & ~np.isin(np.arange(len(nodes)), label[star])
     keep = star | lone
-    return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(nodes[label[keep]])], names=["u", "v"])
+    return np.stack([nodes[keep], nodes[label[keep]]], 1)
+
+
+def _batch(edges: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["u", "v"])

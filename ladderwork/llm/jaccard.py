@@ -25,16 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected_components
+from .graph import connected_components, stars
 from .shared import stage
 from .words import SPACED_LOWER, U64, chunks, mix, utf8, words
 
 #: Dimensions of a count vector; points of a leaf.
 GROUPS, LEAF = 64, 16
+#: Dimensions of the coarse vector that goes with candidate keys; sets of one key in one task beyond which they are chained.
+COARSE, CROWD = 16, 64
 #: Shingles in all sets of a component that one task resolves (8 bytes each); sets of a larger one that stand with the pivots in a task.
 LOCAL, PART = 12_000_000, 1024
 #: Keys that a task gathers before it sends them, and keys a range receives on average.
-SEND_KEYS, RANGE_KEYS = 1_500_000, 2_000_000
+SEND_KEYS, RANGE_KEYS = 1_500_000, 4_000_000
 
 
 class Threshold:
@@ -127,17 +129,64 @@ def keys_of(shingles: np.ndarray, threshold: Threshold) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _star(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(src, dst, numbers of the first entry of each key): every set of a key is linked to the key's smallest set."""
+#: What a set's keys carry: its name, size and a coarse count vector (counts are at most v * scale).
+RECORD = np.dtype([("id", "<i8"), ("n", "<u4"), ("scale", "<u4"), ("v", "u1", COARSE)])
+
+
+def record_of(shingles: np.ndarray, name: int) -> np.ndarray:
+    counts = np.bincount((shingles >> U64(33)).astype(np.int64) % COARSE, minlength=COARSE)
+    scale = -(-int(counts.max()) // 255)
+    return np.array([(name, len(shingles), scale, -(-counts // scale))], RECORD)
+
+
+def _crowded(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sets of a key that more than CROWD sets of this task have are chained to its smallest one, which goes on as a hub.
+    (numbers of entries that go on, hub flags, chain edges)"""
     order = np.lexsort((ids, keys))
-    k, i = keys[order], ids[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
+    begin, n = _runs(keys[order])
+    many = np.repeat(n > CROWD, n)
+    lead = np.zeros(len(order), bool)
+    lead[begin] = True
+    edges = np.stack([np.repeat(ids[order[begin]], n), ids[order]], 1)[many & ~lead]
+    keep = ~many | lead
+    return order[keep], (many & lead)[keep], edges
+
+
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, length) of runs of equal values."""
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
     begin = np.flatnonzero(new)
-    lead = np.repeat(i[begin], np.diff(np.append(begin, len(k))))
-    differ = lead != i
-    edges = np.unique(np.stack([lead[differ], i[differ]], 1), axis=0) if differ.any() else np.zeros((0, 2), np.int64)
-    return edges[:, 0], edges[:, 1], order[begin]
+    return begin, np.diff(np.append(begin, len(ordered)))
+
+
+def _candidates(keys: np.ndarray, at: np.ndarray, hub: np.ndarray, records: np.ndarray, threshold: Threshold) -> np.ndarray:
+    """Edges between sets that share a key and whose count vectors allow a link; a key with a hub chains all its sets."""
+    order = np.lexsort((at, ~hub, keys))
+    keys, at, hub = keys[order], at[order], hub[order]
+    begin, n = _runs(keys)
+    chained = np.repeat(hub[begin], n)
+    found = [np.stack([np.repeat(at[begin], n)[chained], at[chained]], 1)]
+    keys, at = keys[~chained], at[~chained]
+    points, size = records["v"].astype(np.int64) * records["scale"][:, None], records["n"].astype(np.int64)
+    i, step = np.arange(len(keys)), 0
+    while len(i):
+        step += 1
+        i = i[i + step < len(keys)]
+        i = i[keys[i] == keys[i + step]]
+        for k in range(0, len(i), 200_000):
+            x, y = at[i[k : k + 200_000]], at[i[k : k + 200_000] + step]
+            need = threshold.least_shared(size[x] + size[y])
+            near = (x != y) & (np.minimum(size[x], size[y]) >= need)
+            x, y, need = x[near], y[near], need[near]
+            near = np.minimum(points[x], points[y]).sum(1) >= need
+            found.append(np.stack([x[near], y[near]], 1))
+    pairs = np.concatenate(found)
+    return records["id"][pairs[pairs[:, 0] != pairs[:, 1]]]
+
+
+def _unique(edges: np.ndarray) -> np.ndarray:
+    return np.unique(edges, axis=0) if len(edges) else edges
 
 
 SENT = "range int, kind int, a binary, b binary, c binary"
@@ -150,29 +199,30 @@ def profiles(docs: DataFrame, size: int, threshold: Threshold, ranges: int) -> D
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         names = [x.split()[0] for x in SENT.split(", ")]
-        held: dict[int, np.ndarray] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         n_keys = 0
 
         def sent(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            ids = np.array(list(held), np.int64)
-            keys = np.concatenate(list(held.values()))
-            owner = np.repeat(ids, [len(k) for k in held.values()])
-            src, dst, first = _star(keys, owner)
-            keys, owner = keys[first], owner[first]
+            records = np.concatenate([r for _, r in held.values()])
+            keys = np.concatenate([k for k, _ in held.values()])
+            owner = np.repeat(np.arange(len(held)), [len(k) for k, _ in held.values()])
+            go, hub, edges = _crowded(keys, records["id"][owner])
+            keys, owner = keys[go], owner[go]
             r = (keys % U64(ranges)).astype(np.int64)
-            rows = [(int(src[0]) % ranges, 1, src.tobytes(), dst.tobytes(), b"")] if len(src) else []
+            rows = [(int(edges[0, 0]) % ranges, 1, np.ascontiguousarray(_unique(edges)).tobytes(), b"", b"")] if len(edges) else []
             bounds = np.searchsorted(r[order := np.argsort(r, kind="stable")], np.arange(ranges + 1))
             for k in np.flatnonzero(np.diff(bounds)):
                 at = order[bounds[k] : bounds[k + 1]]
                 own, which = np.unique(owner[at], return_inverse=True)
                 # 40 bits beside the range: an equal key by chance only makes a candidate that is then checked.
                 high = (keys[at] >> U64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                rows.append((int(k), 2, np.ascontiguousarray(high).tobytes(), own.tobytes(), which.astype("<u2" if len(own) < 65536 else "<u4").tobytes()))
-            for k in range(0, len(rows), 64):
-                yield sent(rows[k : k + 64])
+                places = which.astype("<u2" if len(own) < 65536 else "<u4").tobytes() + np.packbits(hub[at]).tobytes()
+                rows.append((int(k), 2, np.ascontiguousarray(high).tobytes(), records[own].tobytes(), places))
+            for k in range(0, len(rows), 16):
+                yield sent(rows[k : k + 16])
 
         for batch in batches:
             data, offsets = utf8(batch.column(1))
@@ -186,8 +236,8 @@ def profiles(docs: DataFrame, size: int, threshold: Threshold, ranges: int) -> D
                 yield sent([(int(ids[0]) % ranges, 0, doc.tobytes(), np.ascontiguousarray(about).tobytes(), ids.tobytes())])
                 for s, k in zip(sets, ids.tolist()):
                     if len(s) and k not in held:
-                        held[k] = keys_of(s, threshold)
-                        n_keys += len(held[k])
+                        held[k] = keys_of(s, threshold), record_of(s, k)
+                        n_keys += len(held[k][0])
                 if n_keys >= SEND_KEYS:
                     yield from flush()
                     held, n_keys = {}, 0
@@ -197,24 +247,35 @@ def profiles(docs: DataFrame, size: int, threshold: Threshold, ranges: int) -> D
     def group(key: tuple, sent: pa.Table) -> pa.Table:
         kind, a, b, c = (sent.column(x).to_pylist() for x in ("kind", "a", "b", "c"))
         parts: list[tuple[np.ndarray, ...]] = []
-        keys, owners = [], []
+        keys, owners, hubs, records, n_records = [], [], [], [], 0
+        edges = [np.zeros((0, 2), np.int64)]
         for k, x, y, z in zip(kind, a, b, c):
             if k == 0:
                 about = np.frombuffer(y, np.int64).reshape(-1, 2)
                 parts.append((np.where(about[:, 1] > 0, 2, 0), np.frombuffer(x, np.int64), about[:, 0], np.frombuffer(z, np.int64)))
             elif k == 1:
-                src = np.frombuffer(x, np.int64)
-                parts.append((np.ones(len(src), np.int64), src, np.frombuffer(y, np.int64), src * 0))
+                edges.append(np.frombuffer(x, np.int64).reshape(-1, 2))
             else:
                 n = len(x) // 5
                 wide = np.zeros((n, 8), np.uint8)
                 wide[:, :5] = np.frombuffer(x, np.uint8).reshape(n, 5)
                 keys.append(wide.view("<u8").ravel())
-                own = np.frombuffer(y, np.int64)
-                owners.append(own[np.frombuffer(z, "<u2" if len(own) < 65536 else "<u4")])
+                own = np.frombuffer(y, RECORD)
+                width = 2 if len(own) < 65536 else 4
+                owners.append(np.frombuffer(z, f"<u{width}", n).astype(np.int64) + n_records)
+                hubs.append(np.unpackbits(np.frombuffer(z, np.uint8, offset=width * n), count=n).astype(bool))
+                records.append(own)
+                n_records += len(own)
         if keys:
-            src, dst, _ = _star(np.concatenate(keys), np.concatenate(owners))
-            parts.append((np.ones(len(src), np.int64), src, dst, src * 0))
+            # One place for each set, whatever tasks sent it.
+            merged, place = np.unique(np.concatenate(records)["id"], return_inverse=True)
+            first = np.zeros(len(merged), RECORD)
+            first[place] = np.concatenate(records)
+            edges.append(_candidates(np.concatenate(keys), place[np.concatenate(owners)], np.concatenate(hubs), first, threshold))
+        joined = _unique(np.concatenate(edges))
+        if len(joined):
+            star = stars(joined)
+            parts.append((np.ones(len(star), np.int64), star[:, 1], star[:, 0], star[:, 0] * 0))
         cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 4
         doc = pa.array(cols[1], pa.int64(), mask=cols[0] == 2)
         return pa.table([pa.array(np.where(cols[0] == 2, 0, cols[0]).astype(np.int32)), doc, pa.array(cols[2]), pa.array(cols[3])], names=["kind", "x", "y", "z"])
@@ -403,7 +464,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     """
     threshold = Threshold(num, den)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(64, -(-int(total / 6 * 4 * (den - num) / (den + num)) // RANGE_KEYS))
+    ranges = max(16, -(-int(total / 6 * 4 * (den - num) / (den + num)) // RANGE_KEYS))
     profile = stage(profiles(docs, size, threshold, ranges), "profiles")
     about = profile.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("n_shingles"), F.col("z").alias("sid"))
     component = connected_components(profile.where("kind = 1").select(F.col("x").alias("src"), F.col("y").alias("dst")))
