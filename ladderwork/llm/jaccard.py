@@ -36,7 +36,7 @@ COARSE, CROWD = 16, 64
 #: Shingles in all sets of a component that one task resolves (8 bytes each); sets of a larger one that stand with the pivots in a task.
 LOCAL, PART = 12_000_000, 1024
 #: Keys that a task gathers before it sends them, and keys a range receives on average.
-SEND_KEYS, RANGE_KEYS = 1_500_000, 4_000_000
+SEND_KEYS, RANGE_KEYS = 1_500_000, 2_000_000
 
 
 class Threshold:
@@ -161,14 +161,15 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(keys: np.ndarray, at: np.ndarray, hub: np.ndarray, records: np.ndarray, threshold: Threshold) -> np.ndarray:
-    """Edges between sets that share a key and whose count vectors allow a link; a key with a hub chains all its sets."""
+    """Part of each set (number of its first set) when sets that share a key and whose count vectors allow a link are
+    joined; a key with a hub joins all its sets. Sets of one part already are not compared again."""
     order = np.lexsort((at, ~hub, keys))
     keys, at, hub = keys[order], at[order], hub[order]
     begin, n = _runs(keys)
     chained = np.repeat(hub[begin], n)
-    found = [np.stack([np.repeat(at[begin], n)[chained], at[chained]], 1)]
+    part = _joined(np.arange(len(records)), np.repeat(at[begin], n)[chained], at[chained])
     keys, at = keys[~chained], at[~chained]
-    points, size = records["v"].astype(np.int64) * records["scale"][:, None], records["n"].astype(np.int64)
+    size = records["n"].astype(np.int64)
     i, step = np.arange(len(keys)), 0
     while len(i):
         step += 1
@@ -176,13 +177,26 @@ def _candidates(keys: np.ndarray, at: np.ndarray, hub: np.ndarray, records: np.n
         i = i[keys[i] == keys[i + step]]
         for k in range(0, len(i), 200_000):
             x, y = at[i[k : k + 200_000]], at[i[k : k + 200_000] + step]
+            apart = part[x] != part[y]
+            x, y = x[apart], y[apart]
             need = threshold.least_shared(size[x] + size[y])
-            near = (x != y) & (np.minimum(size[x], size[y]) >= need)
+            near = np.minimum(size[x], size[y]) >= need
             x, y, need = x[near], y[near], need[near]
-            near = np.minimum(points[x], points[y]).sum(1) >= need
-            found.append(np.stack([x[near], y[near]], 1))
-    pairs = np.concatenate(found)
-    return records["id"][pairs[pairs[:, 0] != pairs[:, 1]]]
+            counts = [records["v"][z] * records["scale"][z, None] for z in (x, y)]
+            near = np.minimum(*counts).sum(1) >= need
+            part = _joined(part, x[near], y[near])
+    return part
+
+
+def _joined(part: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Parts after x and y are joined pairwise."""
+    if not len(x):
+        return part
+    own = np.unique(np.stack([part[x], part[y]], 1), axis=0)
+    star = stars(own)
+    to = np.arange(len(part))
+    to[star[:, 0]] = star[:, 1]
+    return to[part]
 
 
 def _unique(edges: np.ndarray) -> np.ndarray:
@@ -271,7 +285,8 @@ def profiles(docs: DataFrame, size: int, threshold: Threshold, ranges: int) -> D
             merged, place = np.unique(np.concatenate(records)["id"], return_inverse=True)
             first = np.zeros(len(merged), RECORD)
             first[place] = np.concatenate(records)
-            edges.append(_candidates(np.concatenate(keys), place[np.concatenate(owners)], np.concatenate(hubs), first, threshold))
+            part = _candidates(np.concatenate(keys), place[np.concatenate(owners)], np.concatenate(hubs), first, threshold)
+            edges.append(np.stack([merged[part], merged], 1)[part != np.arange(len(part))])
         joined = _unique(np.concatenate(edges))
         if len(joined):
             star = stars(joined)
