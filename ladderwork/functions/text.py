@@ -31,8 +31,12 @@ def strip_outer_punctuation(c: Column) -> Column:
 
 
 def canonicalize_text(c: Column) -> Column:
-    """For comparing answers that are no numbers: white space, outer punctuation and case don't count."""
-    return F.lower(F.upper(strip_outer_punctuation(normalize_whitespace(c))))
+    """For comparing answers that are no numbers: white space, outer punctuation and case don't count. Case is folded for
+    letters, sharp s, final sigma and Latin ligatures; other foldings of several letters are left."""
+    out = F.translate(F.lower(strip_outer_punctuation(normalize_whitespace(c))), "ςſ", "σs")
+    for one, several in {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}.items():
+        out = F.replace(out, F.lit(one), F.lit(several))
+    return out
 
 
 def normalize_numeric(c: Column) -> Column:
