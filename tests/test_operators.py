@@ -162,7 +162,7 @@ def test_search(spark):
     assert len(own) > 3 and {r.problem_id for r in nodes} == {1, 2}
     assert root.n_terminal_backups + root.n_dead_end_backups + root.n_expand_backups == 6
     first = sum(r.depth == 1 for r in own)
-    assert root.visit_count == 6 + min(first, 2) and any(r.q_value > 0 for r in own) and any(r.is_terminal for r in own)
+    assert root.visit_count == 6 + min(first, 2) and any((r.q_value or 0) > 0 for r in own) and any(r.is_terminal for r in own)
     again = search.replay_search(asked, recorded.repartition(5), search.SearchSettings(simulations=6)).collect()
     assert sorted(map(str, nodes)) == sorted(map(str, again))
 
