@@ -32,11 +32,11 @@ from .words import SPACED_LOWER, U64, chunks, mix, utf8, words
 #: Dimensions of a count vector; points of a leaf.
 GROUPS, LEAF = 64, 16
 #: Dimensions of the coarse vector that goes with candidate keys; sets of one key in one task beyond which they are chained.
-COARSE, CROWD = 16, 64
+COARSE, CROWD = 48, 64
 #: Shingles in all sets of a component that one task resolves (8 bytes each); sets of a larger one that stand with the pivots in a task.
 LOCAL, PART = 12_000_000, 1024
 #: Keys that a task gathers before it sends them, and keys a range receives on average.
-SEND_KEYS, RANGE_KEYS = 1_500_000, 2_000_000
+SEND_KEYS, RANGE_KEYS = 1_500_000, 4_000_000
 
 
 class Threshold:
@@ -70,17 +70,22 @@ class Threshold:
         first, largest = self._starts[band], self._starts[band + 2] - 1
         most = self._starts[band + 1] - 1 + largest
         differ = most * (self.den - self.num) // (self.den + self.num)
+        # With enough spare groups hardly any set has so many empty ones that its key of sparse sets is needed.
         spare = 0
-        if differ:
-            for spare in range(9):
-                k = differ + 1 + spare
-                mean = k * np.exp(-first / k)
+        while differ and spare <= differ + 8:
+            k = differ + 1 + spare
+            mean = k * np.exp(-first / k)
+            if mean > 30:
+                rare = spare > mean + 3 * np.sqrt(mean)
+            else:
                 term = tail = np.exp(-mean)
                 for e in range(1, spare + 1):
                     term *= mean / e
                     tail += term
-                if 1 - tail < 1e-6:
-                    break
+                rare = 1 - tail < 1e-3
+            if rare:
+                break
+            spare += 1
         return differ + 1 + spare, 1 + spare
 
 
