@@ -36,7 +36,7 @@ COARSE, CROWD = 48, 64
 #: Shingles in all sets of a component that one task resolves (8 bytes each); sets of a larger one that stand with the pivots in a task.
 LOCAL, PART = 12_000_000, 1024
 #: Keys that a task gathers before it sends them, and keys a range receives on average.
-SEND_KEYS, RANGE_KEYS = 1_500_000, 4_000_000
+SEND_KEYS, RANGE_KEYS = 1_500_000, 1_200_000
 
 
 class Threshold:
