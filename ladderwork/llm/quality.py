@@ -97,7 +97,7 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7, steps: int =
         rng.normal(0, 0.5, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(pools, np.float32), np.ones(pools, np.float32),
         rng.normal(0, 1 / np.sqrt(pools), (pools, UNITS)).astype(np.float32), np.full(UNITS, 0.1, np.float32), rng.normal(0, 0.3, UNITS).astype(np.float32), 0.0,
     )
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         net.out[:] = 0
         net.bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
         return net
