@@ -35,8 +35,9 @@ GROUPS, LEAF = 64, 16
 COARSE, CROWD = 48, 64
 #: Shingles in all sets of a component that one task resolves (8 bytes each); sets of a larger one that stand with the pivots in a task.
 LOCAL, PART = 12_000_000, 1024
-#: Keys that a task gathers before it sends them, and keys a range receives on average.
-SEND_KEYS, RANGE_KEYS = 1_500_000, 1_200_000
+#: Pairs whose vectors are compared at once; keys that a task gathers before it sends them, and keys a range receives on average.
+COMPARED = 50_000
+SEND_KEYS, RANGE_KEYS = 400_000, 800_000
 
 
 class Threshold:
@@ -180,8 +181,8 @@ def _candidates(keys: np.ndarray, at: np.ndarray, hub: np.ndarray, records: np.n
         step += 1
         i = i[i + step < len(keys)]
         i = i[keys[i] == keys[i + step]]
-        for k in range(0, len(i), 200_000):
-            x, y = at[i[k : k + 200_000]], at[i[k : k + 200_000] + step]
+        for k in range(0, len(i), COMPARED):
+            x, y = at[i[k : k + COMPARED]], at[i[k : k + COMPARED] + step]
             apart = part[x] != part[y]
             x, y = x[apart], y[apart]
             need = threshold.least_shared(size[x] + size[y])
@@ -260,6 +261,7 @@ def profiles(docs: DataFrame, size: int, threshold: Threshold, ranges: int) -> D
                 if n_keys >= SEND_KEYS:
                     yield from flush()
                     held, n_keys = {}, 0
+                    pa.default_memory_pool().release_unused()
         if held:
             yield from flush()
 
@@ -297,6 +299,7 @@ def profiles(docs: DataFrame, size: int, threshold: Threshold, ranges: int) -> D
             star = stars(joined)
             parts.append((np.ones(len(star), np.int64), star[:, 1], star[:, 0], star[:, 0] * 0))
         cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 4
+        pa.default_memory_pool().release_unused()
         doc = pa.array(cols[1], pa.int64(), mask=cols[0] == 2)
         return pa.table([pa.array(np.where(cols[0] == 2, 0, cols[0]).astype(np.int32)), doc, pa.array(cols[2]), pa.array(cols[3])], names=["kind", "x", "y", "z"])
 

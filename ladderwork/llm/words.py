@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Text bytes taken at once; temporaries are about 40 times as large.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
