@@ -12,6 +12,7 @@ Windows of consecutive words are counted over the whole corpus without moving th
 4. Each block removes the words that repeated windows cover.
 
 Ranges and blocks grow in number with the corpus, not in size. The dealt texts are one exchange that all three passes read.
+A block's rows arrive in any order, and in another one in each pass, so passes that name or use places sort them first.
 """
 
 from __future__ import annotations
@@ -92,6 +93,11 @@ class _Sketch:
             yield int(k), order[bounds[k] : bounds[k + 1]]
 
 
+def _in_order(block: pa.Table) -> pa.Table:
+    """A block's rows by doc_id and text. Rows equal in both are alike, so each word has the same place in every pass."""
+    return block.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
 SENT = "range int, block int, once_a binary, more_a binary, once_b binary, more_b binary"
 ANSWER = "block int, range int, bits_a binary, bits_b binary"
 ASKED = "range int, block int, known boolean, one binary, two binary, place binary, several binary"
@@ -105,7 +111,8 @@ def _rows(schema: str, rows: list[tuple]) -> pa.Table:
 
 
 def repeated_places(dealt: DataFrame, size: int, ranges: int, cells: int) -> DataFrame:
-    """Places (numbers of first words in the block) of windows whose words also start anywhere else. dealt: block, text and more."""
+    """Places (numbers of first words in the block) of windows whose words also start anywhere else. dealt: block, doc_id, text.
+    Places count a block's words in the order of its rows by doc_id and text."""
     sketch = _Sketch(ranges, cells)
 
     def send(key: tuple, block: pa.Table) -> pa.Table:
@@ -132,7 +139,7 @@ def repeated_places(dealt: DataFrame, size: int, ranges: int, cells: int) -> Dat
         return _rows(ANSWER, [(b, key[0].as_py(), x, y) for b, x, y in zip(cols[0], *answers)])
 
     def ask(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
-        (one, two), places, _ = _hashed(block.column("text"), size, (1, 2))
+        (one, two), places, _ = _hashed(_in_order(block).column("text"), size, (1, 2))
         said = {r: (a, b) for r, a, b in zip(answers.column("range").to_pylist(), answers.column("bits_a").to_pylist(), answers.column("bits_b").to_pylist())}
         out, known = [], []
         for r, at in sketch.by_range(one):
@@ -208,6 +215,7 @@ def deduplicated(docs: DataFrame, size: int = 35) -> DataFrame:
     def remove(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
         starts = [unpack(p).astype(np.int64) for p in answers.column("places").to_pylist()]
         starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        block = _in_order(block)
         n_words, n_removed, kept, base = [], [], [], 0
         for i, j, found in _block_windows(block.column("text"), size):
             n = int(found.first[-1])

@@ -63,6 +63,25 @@ def test_substrings_repeated_rows_and_empty_table(spark):
     assert deduplicated_digest(frame(spark, [])).count() == 0
 
 
+def test_substrings_with_rows_in_another_order_in_each_pass(spark, rows):
+    def shuffled(batches):
+        import os
+
+        for batch in batches:
+            order = list(range(batch.num_rows))
+            random.Random(os.urandom(8)).shuffle(order)
+            yield batch.take(order)
+
+    docs = frame(spark, rows + rows[:40], 1).select("doc_id", "text")
+    docs = docs.mapInArrow(shuffled, docs.schema)
+    spark.conf.set("spark.sql.exchange.reuse", "false")  # each pass deals the texts anew
+    try:
+        got = sorted(tuple(r) for r in deduplicated_digest(docs).collect())
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert got == sorted(brute.substrings(rows + rows[:40]))
+
+
 def test_packing():
     import numpy as np
 
