@@ -2,9 +2,13 @@
 
 The lexicon holds terms whose document frequency lies in a band (as a share of all documents), so its inverse document
 frequency does, too. SUBSETS random subsets of it are drawn by hashing terms; a fingerprint is one hash per subset, of the
-document's distinct sorted terms that lie in the subset. Subsets come in several densities, so that short and long
+document's distinct terms that lie in the subset (exclusive or of the terms' hashes). Subsets come in several densities, so that short and long
 documents both have some of which they hold a few terms.
 
+Copies count as documents, so the terms of a group of copies that holds more than HIGH of all rows are out of the band, as
+are frequent words. A document with few terms in the band is hashed over all of its own terms, by the same subsets, and
+pairs with such a document are compared by the hashes over all terms, which each row has.
+
 At least a share LOW of all documents holds each term, so the lexicon has at most (mean distinct terms of a document) /
 LOW terms, however many documents there are. Its size is counted before it is broadcast; beyond LEXICON_TERMS the join
 shuffles instead.
@@ -24,6 +28,8 @@ DENSITIES = (4, 16, 64, 256)
 PER_DENSITY = 16
 SUBSETS = PER_DENSITY * len(DENSITIES)
 LEXICON_TERMS = 400_000
+#: A text with fewer terms of the lexicon, or with under one in so many of its terms there, is hashed over all of its terms.
+FEW, FEW_SHARE = 8, 8
 #: Ranges of ids within which the next document is found by a window.
 ID_RANGES = 128
 
@@ -36,53 +42,82 @@ def distinct_terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """term, number (by alphabet) and mask (bit k: in subset k) of the terms in the band, written to the shared folder."""
+    """The terms in the band, written to the shared folder."""
     words = docs.select(F.explode(distinct_terms(F.col("text"))).alias("term")).where("term <> ''")
     frequency = words.groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*")).first()[0]
-    density = f"element_at(array{DENSITIES}, cast(k div {PER_DENSITY} as int) + 1)"
-    mask = F.expr(f"aggregate(sequence(0, {SUBSETS - 1}), 0L, (m, k) -> m | if(pmod(xxhash64(term, k), {density}) = 0, shiftleft(1L, k), 0L))")
     chosen = frequency.where((F.col("df") >= max(1.0, low * total)) & (F.col("df") <= max(1.0, high * total)))
-    return stage(chosen.select("term", "df", mask.alias("mask"), F.xxhash64("term").alias("code")), "lexicon")
+    return stage(chosen.select("term", "df"), "lexicon")
+
+
+def _signed(bits: int) -> Column:
+    return F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("bigint")
+
 
+def subsets_of(code: Column) -> Column:
+    """Bit k is set if the term of that hash is in subset k: all of as many random bits are set as halve one to its density."""
+    mask = None
+    for draw in range(max(DENSITIES).bit_length() - 1):
+        spared = sum(((1 << PER_DENSITY) - 1) << PER_DENSITY * g for g, d in enumerate(DENSITIES) if d.bit_length() - 1 <= draw)
+        bits = F.xxhash64(code, F.lit(draw)).bitwiseOR(_signed(spared))
+        mask = bits if mask is None else mask.bitwiseAND(bits)
+    return mask
 
-def fingerprint_of(ordered: str, plain: str) -> Column:
-    """One hexadecimal hash per subset, '-' for a subset that holds no term, or for no terms at all the hash of all words.
-    ordered: column of sorted (code, mask) of distinct terms; plain: column of that hash."""
-    hashes = f"transform(sequence(0, {SUBSETS - 1}), k -> filter({ordered}, t -> (shiftright(t.mask, k) & 1) = 1))"
-    parts = f"transform({hashes}, s -> if(size(s) = 0, '-', lpad(hex(shiftrightunsigned(xxhash64(s), 32)), 8, '0')))"
-    return F.expr(f"if(size({ordered}) = 0, '=' || hex({plain}), array_join({parts}, ' '))")
+
+def _pair(k: int) -> Column:
+    """A term's share in the hashes of subset k (low half) and of the one SUBSETS / 2 further (high half). Bit k is shifted
+    over a whole word: in so many columns conditions would make a method that the JVM doesn't compile."""
+    bit = lambda k: F.shiftright(F.shiftleft("mask", 63 - k), 63)
+    return bit(k).bitwiseAND(F.col("low")).bitwiseOR(bit(k + SUBSETS // 2).bitwiseAND(F.col("high")))
+
+
+def _printed(pairs: list[str]) -> Column:
+    """One hexadecimal hash per subset, '-' for a subset that holds no term."""
+    value = f"shiftrightunsigned(shiftleft(element_at(array({', '.join(pairs)}), cast(k % {SUBSETS // 2} as int) + 1), if(k < {SUBSETS // 2}, 32, 0)), 32)"
+    return F.expr(f"array_join(transform(transform(sequence(0, {SUBSETS - 1}), k -> {value}), v -> if(v = 0, '-', lpad(hex(v), 8, '0'))), ' ')")
 
 
 def _agreement(a: str, b: str) -> Column:
-    """For each subset 0 where neither document holds a term, 2 where the hashes are equal, else 1; null unless both have hashes."""
-    codes = f"zip_with(split({a}, ' '), split({b}, ' '), (x, y) -> case when x = '-' and y = '-' then 0 when x = y then 2 else 1 end)"
-    return F.expr(f"if({a} like '=%' or {b} like '=%', null, {codes})")
+    """For each subset 0 where neither document holds a term, 2 where the hashes are equal, else 1. a, b: columns of structs
+    (fingerprint, own); where either fingerprint is of all terms, the hashes of all terms are compared."""
+    codes = lambda x, y: f"zip_with(split({x}, ' '), split({y}, ' '), (x, y) -> case when x = '-' and y = '-' then 0 when x = y then 2 else 1 end)"
+    return F.expr(f"if({a}.fingerprint like '=%' or {b}.fingerprint like '=%', {codes(f'{a}.own', f'{b}.own')}, {codes(f'{a}.fingerprint', f'{b}.fingerprint')})")
 
 
 def _likeness(equal: Column, codes: str) -> Column:
     """Share of equal hashes among subsets of which either document holds terms, of the density that shows most of it; 1 for
-    equal fingerprints, 0 where one has no terms and they differ."""
+    equal fingerprints, 0 where neither has terms in subsets and they differ."""
     parts = [f"slice({codes}, {d * PER_DENSITY + 1}, {PER_DENSITY})" for d in range(len(DENSITIES))]
     shares = [f"size(filter({p}, c -> c = 2)) / greatest(size(filter({p}, c -> c > 0)), {PER_DENSITY // 2})" for p in parts]
     return F.when(equal, 1.0).otherwise(F.coalesce(F.expr(f"cast(greatest({', '.join(shares)}) as double)"), F.lit(0.0)))
 
 
-def fingerprints(docs: DataFrame, keys: list[str], text: str, known: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
-    """keys, carried columns and fingerprint of each row; keys name a row. known: a lexicon."""
+def fingerprints(docs: DataFrame, keys: list[str], text: str, known: DataFrame) -> DataFrame:
+    """keys, fingerprint and own (the hashes of all terms) of each row; keys name a row. known: a lexicon.
+
+    A fingerprint has the subsets' hashes of the terms in the lexicon. Where those are few it is '=', a hash of all the
+    row's terms and the same subsets' hashes of all of them."""
     terms = distinct_terms(F.coalesce(text, F.lit("")))
-    # An entry of its own ('') keeps rows without known terms, and carries what is needed once a row. The words' array is
-    # made before it is exploded: what stands beside explode() is evaluated for each word.
-    made = docs.select(*keys, *carried, terms.alias("terms")).withColumn("plain", F.xxhash64(F.sort_array("terms")))
-    own = made.select(*keys, *carried, "plain", F.explode(F.array_union(F.array(F.lit("")), "terms")).alias("term"))
-    own = own.select(*keys, "term", *[F.when(F.col("term") == "", F.col(c)).alias(c) for c in ("plain", *carried)])
-    small = known.select("term", F.struct("code", "mask").alias("known"))
-    small = small.unionByName(known.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(None).cast(small.schema["known"].dataType).alias("known")))
+    # The words' array is made before it is exploded: what stands beside explode() is evaluated for each word.
+    made = docs.select(*keys, terms.alias("terms"))
+    each = made.select(*keys, F.explode("terms").alias("term"))
+    small = known.select("term", F.lit(True).alias("known"))
     if small.count() <= LEXICON_TERMS:
         small = F.broadcast(small)
-    kept = own.join(small, "term")
-    held = kept.groupBy(*keys).agg(F.sort_array(F.collect_list("known")).alias("terms"), *[F.max(c).alias(c) for c in ("plain", *carried)])
-    return held.select(*keys, *carried, fingerprint_of("terms", "plain").alias("fingerprint"))
+    each = each.join(small, "term", "left")
+    each = each.select(*keys, F.when(F.col("known").isNotNull(), -1).otherwise(0).cast("bigint").alias("known"), F.when(F.col("term") == "", 0).otherwise(F.xxhash64("term")).cast("bigint").alias("code"))
+    low = F.col("code").bitwiseAND(_signed((1 << 32) - 1))
+    each = each.select(*keys, "known", "code", subsets_of(F.col("code")).alias("mask"), low.alias("low"), F.col("code").bitwiseXOR(low).alias("high"))
+    pairs = range(SUBSETS // 2)
+    each = each.select(*keys, "known", "code", *[_pair(k).alias(f"p{k}") for k in pairs])
+    held = each.groupBy(*keys).agg(
+        F.count(F.when(F.col("code") != 0, 1)).alias("n_terms"), (-F.sum("known")).alias("n_known"), F.bit_xor("code").alias("plain"),
+        *[F.bit_xor(f"p{k}").alias(f"all{k}") for k in pairs], *[F.bit_xor(F.col(f"p{k}").bitwiseAND(F.col("known"))).alias(f"band{k}") for k in pairs],
+    )
+    own, band = _printed([f"all{k}" for k in pairs]), _printed([f"band{k}" for k in pairs])
+    few = (F.col("n_known") < FEW) | (F.col("n_known") * FEW_SHARE < F.col("n_terms"))
+    held = held.select(*keys, own.alias("own"), F.when(few, F.lit("=")).otherwise(band).alias("band"), F.hex("plain").alias("plain"))
+    return held.select(*keys, "own", F.when(F.col("band") == "=", F.concat(F.lit("="), "plain", F.lit(" "), "own")).otherwise(F.col("band")).alias("fingerprint"))
 
 
 def _ordered(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -138,15 +173,15 @@ def fingerprint_report(docs: DataFrame, low: float = LOW, high: float = HIGH) ->
         "span", "place", "doc_id", "n_chars", "edited_sha256",
         F.explode(F.array(F.struct(F.lit(0).alias("copy"), F.col("text").alias("text")), F.struct(F.lit(1).alias("copy"), F.col("edited").alias("text")))).alias("x"),
     ).select("span", "place", "doc_id", "n_chars", "edited_sha256", "x.copy", "x.text")
-    carried = ("doc_id", "n_chars", "edited_sha256")
-    prints = fingerprints(both, ["span", "place", "copy"], "text", known, carried)
-    one = lambda copy: F.max(F.when(F.col("copy") == copy, F.col("fingerprint")))
-    wide = prints.groupBy("span", "place").agg(*[F.max(c).alias(c) for c in carried], one(0).alias("fingerprint"), one(1).alias("edited_fingerprint"))
+    carried = ["doc_id", "n_chars", "edited_sha256"]
+    prints = fingerprints(both, ["span", "place", "copy", *carried], "text", known)
+    one = lambda copy: F.max(F.when(F.col("copy") == copy, F.struct("fingerprint", "own")))
+    wide = prints.groupBy("span", "place", *carried).agg(one(0).alias("this"), one(1).alias("edited"))
     wide = stage(wide, "fingerprints")
-    final = _with_next(wide, "fingerprint", "next_fingerprint", ["place"])
-    final = final.withColumns({"with_edited": _agreement("fingerprint", "edited_fingerprint"), "with_next": _agreement("fingerprint", "next_fingerprint")})
-    near = lambda other, codes: _likeness(F.col("fingerprint") == F.col(other), codes)
+    final = _with_next(wide, "this", "next", ["place"])
+    final = final.withColumns({"with_edited": _agreement("this", "edited"), "with_next": _agreement("this", "next")})
+    near = lambda other, codes: _likeness(F.col("this.fingerprint") == F.col(f"{other}.fingerprint"), codes)
     return final.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        near("edited_fingerprint", "with_edited").alias("near_edited"), near("next_fingerprint", "with_next").alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", F.col("this.fingerprint").alias("fingerprint"), F.col("edited.fingerprint").alias("edited_fingerprint"),
+        near("edited", "with_edited").alias("near_edited"), near("next", "with_next").alias("near_next"),
     )

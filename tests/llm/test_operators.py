@@ -88,6 +88,22 @@ def test_fingerprints(spark):
     assert one.near_next == 1.0 and one.edited_sha256 == brute.sha("a ba ")
 
 
+def test_fingerprints_of_a_large_group_of_near_copies(spark):
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(2000)]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    hot, rows = say(120), []
+    for k in range(100):
+        own = hot[:k] + [f"own{k}"] + hot[k + 1 :] if k != 50 else hot + [f"much{j}" for j in range(25)]
+        rows.append((k, " ".join(own)))
+    rows += [(k, " ".join(say(120))) for k in range(100, 300)]
+    got = {r.doc_id: r for r in fingerprints.fingerprint_report(frame(spark, rows)).collect()}
+    assert all(got[k].near_next > 0.6 for k in range(99) if k not in (49, 50)) and min(got[49].near_next, got[50].near_next) > 0.4
+    assert all(got[k].near_edited > 0.1 for k in range(99))
+    assert max(got[k].near_next for k in range(99, 299)) < 0.4
+    assert got[50].fingerprint[0] != "=" == got[49].fingerprint[0]
+
+
 # --- 3 and 8: against SQL
 
 
