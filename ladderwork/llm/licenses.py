@@ -5,8 +5,14 @@ is kept, and the gaps between anchors are aligned in the same way (words may be
 whole). Equal words next to an anchor or to a gap's ends extend the alignment. Coverage is the share of a template's words
 that are aligned.
 
+A notice may stand in a text more than once, where none of its words is unique. So a template is aligned with stretches of
+about its length as well, one from each of its words in the text and of each width in WIDTHS, then with what lies between
+the occurrences found, and with the whole text. Of stretches that overlap the closest alignment counts: twice the aligned
+words less the words it spans.
+
 Documents are rows of tasks and templates are few and fixed, so nothing is shuffled. A template is skipped for a text
-when the words they share, counted with multiplicity, cannot reach the least coverage; that bound drops no result.
+when the words they share, counted with multiplicity, cannot reach the least coverage, and a stretch likewise; that bound
+drops no result.
 """
 
 from __future__ import annotations
@@ -41,6 +47,9 @@ TEMPLATES = {
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
 }
 
+#: Widths of stretches, in lengths of the template.
+WIDTHS = (1, 1.5, 2, 4)
+
 
 def _increasing(values: list[int]) -> list[int]:
     """Places of a longest increasing subsequence of distinct values."""
@@ -95,17 +104,75 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-FOUND = "doc_id bigint, license string, coverage double, n_aligned bigint, first_word bigint, last_word bigint"
+def _stretches(text: list[int], template: list[int], least: int, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Stretches of text[low:high] that start with a word of the template and hold `least` of its words at least, with
+    multiplicity. A stretch equal to the template stands alone: none starts inside it."""
+    needs: dict[int, int] = {}
+    for v in template:
+        needs[v] = needs.get(v, 0) + 1
+    size = len(template)
+    widths = sorted({max(1, int(w * size)) for w in WIDTHS})
+    places = [k for k in range(low, high) if text[k] in needs]
+    have, end = dict.fromkeys(needs, 0), [0] * len(widths)
+    shared, skip = 0, low
+    for p, k in enumerate(places):
+        while end[-1] < len(places) and places[end[-1]] < k + widths[-1]:
+            v = text[places[end[-1]]]
+            shared += have[v] < needs[v]
+            have[v] += 1
+            end[-1] += 1
+        if k >= skip and shared >= least:
+            if text[k : k + size] == template and k + size <= high:
+                yield k, k + size
+                skip = k + size
+            else:
+                for w in widths:
+                    yield k, min(k + w, high)
+        have[text[k]] -= 1
+        shared -= have[text[k]] < needs[text[k]]
+
+
+def occurrences(text: list[int], template: list[int], least: float) -> tuple[list[tuple], tuple | None]:
+    """(aligned words, first place, last place) of the template's occurrences that do not overlap, in order, and of the
+    alignment of most words. least: of coverage."""
+    def aligned(a: int, b: int) -> tuple | None:
+        pairs = align(text[a:b], template)
+        return (len(pairs), a + pairs[0][0], a + pairs[-1][0]) if pairs and len(pairs) / len(template) >= least else None
+
+    need = next(n for n in range(len(template) + 1) if n / len(template) >= least)
+    seen = {x for a, b in _stretches(text, template, max(1, need), 0, len(text)) if (x := aligned(a, b))}
+    whole = aligned(0, len(text))
+    taken: list[tuple] = []
+    used = np.zeros(len(text), bool)
+    for x in sorted(seen, key=lambda x: (x[2] - x[1] + 1 - 2 * x[0], x[1])):
+        if not used[x[1] : x[2] + 1].any():
+            taken.append(x)
+            used[x[1] : x[2] + 1] = True
+    # What is spread wider, between these and over the whole.
+    edges = [-1, *sorted(k for x in taken for k in x[1:]), len(text)]
+    gaps = list(zip(edges[::2], edges[1::2]))
+    while gaps:
+        a, b = gaps.pop()
+        if b - a - 1 >= need and (x := aligned(a + 1, b)):
+            taken.append(x)
+            gaps += [(a, x[1]), (x[2], b)]
+    best = max([*taken, *([whole] if whole else [])], key=lambda x: (x[0], x[1] - x[2]), default=None)
+    return sorted(taken, key=lambda x: x[1]), best
+
+
+FOUND = "doc_id bigint, license string, coverage double, n_aligned bigint, first_word bigint, last_word bigint, found array<struct<license: string, coverage: double, n_aligned: bigint, first_word: bigint, last_word: bigint>>"
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.6) -> DataFrame:
-    """The template that covers best in each document, over whole texts.
+    """All templates in each document at all their places, and the one that covers best, over whole texts.
 
     docs: doc_id, text; other columns are ignored. Words are lower-cased runs of letters, digits and non-ASCII characters.
     One row per row of docs: doc_id, license, coverage, n_aligned, first_word, last_word (places of the first and last
-    aligned word). Of equal coverage the template with more aligned words wins, then the first by name. Where none reaches
-    `least`, license and places are null, coverage and n_aligned 0; so for null and empty texts. Templates without words
-    are left out; repeated rows get equal results; an empty table gives no rows.
+    aligned word), of the best, and found: the same for every occurrence of every template that reaches `least`, by place.
+    Occurrences of one template do not overlap, those of different ones may. Of equal coverage the template with more
+    aligned words wins, then the first by name. Where none reaches `least`, license and places are null, coverage and
+    n_aligned 0 and found is empty; so for null and empty texts. Templates without words are left out; repeated rows get
+    equal results; an empty table gives no rows.
     """
     names = sorted(templates)
     data, offsets = utf8(pa.array([templates[k] for k in names], pa.string()))
@@ -115,6 +182,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, leas
     sequences = [numbers[a:b].tolist() for a, b in zip(read.first[:-1], read.first[1:])]
     needs = np.array([np.bincount(s, minlength=len(known)) for s in sequences]).reshape(len(names), len(known))
     lengths = needs.sum(1)
+    fields = ["license", "coverage", "n_aligned", "first_word", "last_word"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,15 +200,18 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, leas
                     own = number[a:b]
                     have = np.bincount(own[own >= 0], minlength=len(known))
                     possible = np.flatnonzero((np.minimum(needs, have).sum(1) >= least * lengths) & (lengths > 0))
-                    best = None
+                    best, all_found = None, []
+                    # Words that no template has only stand apart, so they stay as they are: -1 is in no template.
+                    text = own.tolist() if len(possible) else []
                     for t in possible.tolist():
-                        # Words that no template has only stand apart, so they stay as they are: -1 is in no template.
-                        pairs = align(own.tolist(), sequences[t])
-                        share = len(pairs) / int(lengths[t])
-                        if share >= least and (best is None or (share, len(pairs)) > best[:2]):
-                            best = (share, len(pairs), names[t], pairs[0][0], pairs[-1][0])
-                    rows.append((best[2], best[0], best[1], best[3], best[4]) if best else (None, 0.0, 0, None, None))
+                        taken, top = occurrences(text, sequences[t], least)
+                        all_found += [(names[t], n / int(lengths[t]), n, x, y) for n, x, y in taken]
+                        if top and (best is None or (top[0] / int(lengths[t]), top[0]) > best[:2]):
+                            best = (top[0] / int(lengths[t]), top[0], names[t], top[1], top[2])
+                    all_found.sort(key=lambda x: (x[3], x[0]))
+                    rows.append((*((best[2], best[0], best[1], best[3], best[4]) if best else (None, 0.0, 0, None, None)), [dict(zip(fields, x)) for x in all_found]))
             kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]], names=[x.split()[0] for x in FOUND.split(", ")])
+            kinds.append(pa.list_(pa.struct(list(zip(fields, kinds)))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]], names=["doc_id", *fields, "found"])
 
     return docs.select("doc_id", "text").mapInArrow(scan, FOUND)

@@ -269,6 +269,27 @@ def test_licenses(spark):
     assert licenses.license_matches(frame(spark, [])).count() == 0
 
 
+def test_repeated_and_several_licenses(spark):
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    full = licenses.TEMPLATES["mit-text"]
+    damaged = full.replace("free of charge", "gratis").replace("restriction", "limits")
+    rows = AWKWARD + [
+        (20, f"one two. {mit} three. {mit} four"), (21, f"{mit} some text {apache} end"), (22, f"a {damaged} b {damaged} c {damaged} d"), (23, f"{mit} {mit} {mit}"), (24, "a license of it"),
+        (25, " x ".join(["go", *full.split()])), (26, f"see. {mit[:-1]} " * 3000),
+    ]
+    got = {r.doc_id: r for r in licenses.license_matches(frame(spark, rows)).collect()}
+    places = lambda k, name: [(x.first_word, x.last_word) for x in got[k].found if x.license == name]
+    assert got[20].license == "mit" and places(20, "mit") == [(2, 6), (8, 12)]
+    assert places(21, "mit") == [(0, 4), (8, 11)]  # three of its five words are in the other notice
+    assert places(21, "apache-2.0") == [(7, 14)] and got[21].coverage == 1
+    n = len(re.findall("[a-z0-9]+", damaged.lower()))
+    assert places(22, "mit-text") == [(1, n), (n + 2, 2 * n + 1), (2 * n + 3, 3 * n + 2)] and got[22].license == "mit-text"
+    assert places(23, "mit") == [(0, 4), (5, 9), (10, 14)]
+    assert got[24].license is None and got[24].found == [] == got[1].found
+    assert got[25].license == "mit-text" and got[25].coverage > 0.9
+    assert places(26, "mit") == [(6 * k + 1, 6 * k + 5) for k in range(3000)]
+
+
 # --- 10: personal data
 
 BASE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
