@@ -23,11 +23,16 @@ def _path_key(path: Column) -> Column:
     return F.sha2(F.array_join(path, "\x01"), 256)
 
 
+def _with_ids(nodes: DataFrame) -> DataFrame:
+    """pos and node_id: nodes of a problem numbered by depth, first branch and key."""
+    order = Window.partitionBy("problem_id").orderBy("depth", "first_branch", "key")
+    name = F.when(F.col("pos") < 100000, F.lpad(F.col("pos").cast("string"), 5, "0")).otherwise(F.col("pos").cast("string"))
+    return nodes.withColumn("pos", F.row_number().over(order)).withColumn("node_id", F.concat(F.lit("node-"), name))
+
+
 def _numbered(paths: DataFrame) -> DataFrame:
     """problem_id, path, hits, first_branch -> nodes with ids, parents and the root."""
-    order = Window.partitionBy("problem_id").orderBy("depth", "first_branch", "key")
-    rows = paths.withColumns({"depth": F.size("path"), "key": _path_key(F.col("path"))})
-    nodes = rows.withColumn("pos", F.row_number().over(order)).withColumn("node_id", F.concat(F.lit("node-"), F.when(F.col("pos") < 100000, F.lpad(F.col("pos").cast("string"), 5, "0")).otherwise(F.col("pos").cast("string"))))
+    nodes = _with_ids(paths.withColumns({"depth": F.size("path"), "key": _path_key(F.col("path"))}))
     parent = nodes.select("problem_id", F.col("key").alias("parent_key"), F.col("node_id").alias("parent_id"))
     up = F.slice("path", 1, F.col("depth") - 1)
     out = nodes.withColumn("parent_key", F.when(F.col("depth") > 1, _path_key(up))).join(parent, ["problem_id", "parent_key"], "left")
@@ -35,24 +40,47 @@ def _numbered(paths: DataFrame) -> DataFrame:
         "problem_id", "pos", "node_id", F.coalesce("parent_id", F.lit("root")).alias("parent_id"), "depth", F.try_element_at("path", F.lit(-1)).alias("step_text"),
         join_steps(F.col("path")).alias("prefix_text"), F.col("path").alias("step_path"), F.col("hits").alias("path_hits"),
     )
+    return _with_roots(paths, out)
+
+
+def _with_roots(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     root = paths.select("problem_id").distinct().select(
         "problem_id", F.lit(0).alias("pos"), F.lit("root").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("depth"), F.lit("").alias("step_text"),
         F.lit("").alias("prefix_text"), F.array().cast("array<string>").alias("step_path"), F.lit(1).cast("bigint").alias("path_hits"),
     )
-    return root.unionByName(out)
+    return root.unionByName(nodes)
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
     return rows.groupBy("problem_id", _path_key(F.col("path"))).agg(F.first("path").alias("path"), F.count("*").alias("hits"), F.min("branch").alias("first_branch")).select("problem_id", "path", "hits", "first_branch")
 
 
-def prefix_tree(completions: DataFrame, max_depth: int = MAX_DEPTH, **steps) -> DataFrame:
-    """Whole reasoning paths (problem_id, branch_index, completion): every prefix of at most max_depth steps is a node, counted
-    by the completions that share it. Completions without steps give nothing; a problem without any gives no root."""
-    split = F.slice(split_steps(F.col("completion"), **steps), 1, max_depth)
+def prefix_tree(completions: DataFrame, max_depth: int | None = None, **steps) -> DataFrame:
+    """Whole reasoning paths (problem_id, branch_index, completion): every prefix (of at most max_depth steps, if given) is a
+    node, counted by the completions that share it. Completions without steps give nothing; a problem without any gives no
+    root.
+
+    A prefix is named by a hash that each step extends, so what is grouped, numbered and joined to its parent holds no text;
+    a node's steps come from one completion that has it, at the end."""
+    split = split_steps(F.col("completion"), **steps)
+    if max_depth:
+        split = F.slice(split, 1, max_depth)
     paths = completions.select("problem_id", F.col("branch_index").alias("branch"), split.alias("steps")).where(F.size("steps") > 0)
-    prefixes = paths.select("problem_id", "branch", "steps", F.explode(F.sequence(F.lit(1), F.size("steps"))).alias("n"))
-    return _numbered(_grouped(prefixes.select("problem_id", "branch", F.slice("steps", 1, F.col("n")).alias("path"))))
+    extended = lambda done, step: F.concat(done, F.array(F.sha2(F.concat(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")), F.lit("\x01"), step), 256)))
+    paths = paths.withColumn("keys", F.aggregate("steps", F.array().cast("array<string>"), extended))
+    whole = F.struct("branch", F.element_at("keys", -1).alias("end"))
+    prefixes = paths.select("problem_id", whole.alias("whole"), "keys", F.posexplode("keys").alias("n", "key"))
+    prefixes = prefixes.withColumn("parent_key", F.when(F.col("n") > 0, F.try_element_at("keys", F.col("n"))))
+    nodes = prefixes.groupBy("problem_id", "key").agg(F.count("*").alias("hits"), F.min("whole").alias("whole"), F.first("n").alias("n"), F.first("parent_key").alias("parent_key"))
+    nodes = _with_ids(nodes.select("problem_id", "key", "parent_key", "hits", "whole", (F.col("n") + 1).alias("depth"), F.col("whole.branch").alias("first_branch")))
+    parents = nodes.select("problem_id", F.col("key").alias("parent_key"), F.col("node_id").alias("parent_id"))
+    texts = paths.select("problem_id", whole.alias("whole"), "steps").dropDuplicates(["problem_id", "whole"])
+    out = nodes.join(parents, ["problem_id", "parent_key"], "left").join(texts, ["problem_id", "whole"]).withColumn("step_path", F.slice("steps", 1, F.col("depth")))
+    out = out.select(
+        "problem_id", "pos", "node_id", F.coalesce("parent_id", F.lit("root")).alias("parent_id"), "depth", F.element_at("step_path", -1).alias("step_text"),
+        join_steps(F.col("step_path")).alias("prefix_text"), "step_path", F.col("hits").alias("path_hits"),
+    )
+    return _with_roots(paths, out)
 
 
 def _branches(expansions: DataFrame, **steps) -> DataFrame:
@@ -67,16 +95,23 @@ def expansion_tree(expansions: DataFrame, **steps) -> DataFrame:
     return _numbered(_grouped(rows.select("problem_id", "branch", F.concat("parent_path", F.array("step")).alias("path"))))
 
 
-def expansion_log(expansions: DataFrame, **steps) -> DataFrame:
-    """Per branch: first step, child and status (empty_step, created by the first branch of a path, reused by later ones)."""
+def expansion_log(expansions: DataFrame, values: DataFrame | None = None, **steps) -> DataFrame:
+    """Per branch: first step, child and status (empty_step, created by the first branch of a path, reused by later ones).
+
+    values (problem_id, node_id, q_value, evaluation_mode) adds the child's q_value to created and reused branches and its
+    evaluation_mode to created ones; other branches have null."""
     rows = _branches(expansions, **steps).withColumn("path", F.when(F.col("step").isNotNull(), F.concat("parent_path", F.array("step"))))
     rows = rows.withColumn("key", _path_key(F.col("path")))
     turn = F.row_number().over(Window.partitionBy("problem_id", "key").orderBy("branch", "completion"))
     nodes = expansion_tree(expansions, **steps).where("depth > 0").select("problem_id", _path_key(F.col("step_path")).alias("key"), F.col("node_id").alias("child_node_id"))
     status = F.when(F.col("step").isNull(), "empty_step").when(F.col("turn") == 1, "created").otherwise("reused")
-    return rows.withColumn("turn", turn).join(nodes, ["problem_id", "key"], "left").select(
+    log = rows.withColumn("turn", turn).join(nodes, ["problem_id", "key"], "left").select(
         "problem_id", F.col("branch").alias("branch_index"), F.col("completion").alias("raw_completion"), F.col("step").alias("first_step_text"), "child_node_id", status.alias("status")
     )
+    if values is None:
+        return log
+    known = values.select("problem_id", F.col("node_id").alias("child_node_id"), "q_value", "evaluation_mode")
+    return log.join(known, ["problem_id", "child_node_id"], "left").select(*log.columns, "q_value", F.when(F.col("status") == "created", F.col("evaluation_mode")).alias("evaluation_mode"))
 
 
 def link_children(nodes: DataFrame) -> DataFrame:
@@ -200,6 +235,30 @@ def event_summary(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("backed_up_value").alias("avg_value"))
 
 
+def _listed(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """problem_id and its rows as an array of structs in order."""
+    fields = [order, *[c for c in rows.columns if c not in ("problem_id", order)]]
+    return rows.groupBy("problem_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+
+
+def tree_records(problems: DataFrame, nodes: DataFrame, paths: DataFrame, events: DataFrame) -> DataFrame:
+    """Full tree records: problem_id, question, prompt, reference_answer, reference_answer_numeric, nodes, initial_paths,
+    simulation_events and statistics.
+
+    problems: from prepare_problems; paths: the root's expansion_log; events: problem_id, simulation_index and more. A
+    problem without nodes, paths or events has empty lists and counts of 0; its extreme values are null."""
+    nested = assemble_trees(problems, nodes).join(_listed(paths, "branch_index", "initial_paths"), "problem_id", "left").join(_listed(events, "simulation_index", "simulation_events"), "problem_id", "left")
+    lists = ("nodes", "initial_paths", "simulation_events")
+    nested = nested.withColumns({c: F.coalesce(c, F.array().cast(_kind(nested, c))) for c in lists})
+    statistics = F.struct(
+        F.size("nodes").alias("node_count"), F.size("initial_paths").alias("initial_branch_count"), F.size("simulation_events").alias("simulation_count"),
+        F.coalesce(F.array_max("nodes.depth"), F.lit(0)).alias("max_depth_reached"), F.array_max("nodes.q_value").alias("max_q_value"), F.array_min("nodes.q_value").alias("min_q_value"),
+    )
+    return nested.select(
+        "problem_id", "question", "prompt", F.col("final_answer").alias("reference_answer"), F.col("final_answer_numeric").alias("reference_answer_numeric"), *lists, statistics.alias("statistics")
+    )
+
+
 def assemble_trees(problems: DataFrame, nodes: DataFrame, events: DataFrame | None = None) -> DataFrame:
     """Nested trees from flat tables, for export: problems' columns, nodes in order, and events in order where given."""
     fields = [c for c in nodes.columns if c not in ("problem_id", "pos")]
@@ -207,6 +266,5 @@ def assemble_trees(problems: DataFrame, nodes: DataFrame, events: DataFrame | No
     own = own.withColumn("nodes", F.transform("nodes", lambda x: F.struct(*[x[f].alias(f) for f in fields])))
     out = problems.join(own, "problem_id", "left")
     if events is not None:
-        kept = [c for c in events.columns if c != "problem_id"]
-        out = out.join(events.groupBy("problem_id").agg(F.sort_array(F.collect_list(F.struct("simulation_index", *[c for c in kept if c != "simulation_index"]))).alias("simulation_events")), "problem_id", "left")
+        out = out.join(_listed(events, "simulation_index", "simulation_events"), "problem_id", "left")
     return out

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A node's ancestor k levels up in a tree of three children per node is (pos - before) / width, where it has one; the levels
+#: reach to places beyond 250,000.
+_LEVELS = " union all ".join(f"select {3**k} as width, {(3**k - 1) // 2} as before" for k in range(12))
+
 SQL = {
     "fx_problems": """
 select o_orderkey as source_index,
@@ -60,11 +64,10 @@ cross join (select 0 as k union all select 1 union all select 2) k
 where n.pos > 0
 """,
     "fx_visits": """
-with recursive anc as (
-  select problem_id, pos as sim, pos as cur, coalesce(q_value, cast(0 as double)) as v from fx_nodes where pos > 0
-  union all
-  select problem_id, sim, cast(floor((cur - 1) / 3) as int), v from anc where cur > 0)
-select problem_id, sim as simulation_index, case when cur = 0 then 'root' else 'node-' || lpad(cast(cur as string), 5, '0') end as node_id, v as backed_up_value from anc
+select problem_id, pos as simulation_index, case when pos < before + width then 'root' else 'node-' || lpad(cast(cast(floor((pos - before) / width) as int) as string), 5, '0') end as node_id,
+  coalesce(q_value, cast(0 as double)) as backed_up_value
+from fx_nodes join (LEVELS) levels on before <= pos
+where pos > 0
 """,
     "fx_completions": """
 select l_orderkey as problem_id, pos - 1 as branch_index,
@@ -84,6 +87,7 @@ from fx_nodes n left join (select problem_id, node_id, count(*) as c, sum(backed
   on v.problem_id = n.problem_id and v.node_id = n.node_id
 """,
 }
+SQL["fx_visits"] = SQL["fx_visits"].replace("LEVELS", _LEVELS)
 #: Those that each one reads, directly or not, in order.
 _NEEDS = {
     "fx_problems": [],
@@ -106,6 +110,6 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_derived(name: str, body: str) -> str:
-    """A DuckDB query over a derived input and those below it."""
-    ctes = ", ".join(f"{n} as ({SQL[n].strip()})" for n in [*_NEEDS[name], name])
+    """A DuckDB query over a derived input and those below it, each of which is computed once."""
+    ctes = ", ".join(f"{n} as materialized ({SQL[n].strip()})" for n in [*_NEEDS[name], name])
     return f"with recursive {ctes} {body.strip()}"

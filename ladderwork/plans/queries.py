@@ -6,14 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import text as X
-from ..operators import grading, pairs, problems, search, trees
+from ..operators import grading, pairs, problems, trees
 from ..sources import records
 from ..streaming import jobs
+from .inputs import SQL as INPUTS
 from .inputs import derived, with_derived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,9 +29,11 @@ def _query(name: str, source: str, sql: str | None, make: Callable[[DataFrame],
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, or where none is set below a temporary one."""
+    """A new path below the shared folder; on a single machine, where none is set, below a temporary one."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="ladderwork-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -94,9 +98,9 @@ def _steps_sql(source: str, keys: str, text: str) -> str:
     marked = r"string_split(regexp_replace(b, '(?i)(Step\s+\d+\s*:)', chr(1) || '\1', 'g'), chr(1))"
     return rf"""
     blocks as (select {keys}, {_block(f"coalesce({text}, '')")} as b from {source}),
-    pieces as (select *, case when len(regexp_extract_all(b, '(?i)Step\s+\d+\s*:')) >= 2 then {_LIST_WS.format(f"{marked}[2:]")} else [] end as m,
+    pieces as materialized (select *, case when len(regexp_extract_all(b, '(?i)Step\s+\d+\s*:')) >= 2 then {_LIST_WS.format(f"{marked}[2:]")} else [] end as m,
       {_LIST_WS.format("string_split(b, chr(10))")} as l from blocks),
-    steps as (select {keys}, m, l, b, list_filter(list_transform(case when len(m) > 0 then m when len(l) > 1 then l else [b] end,
+    steps as materialized (select {keys}, m, l, b, list_filter(list_transform(case when len(m) > 0 then m when len(l) > 1 then l else [b] end,
       lambda x: {_ws("substr(" + _ws("x") + ", 1, 512)")}), lambda x: x <> '') as s from pieces)
     """
 
@@ -132,6 +136,57 @@ _query(
     lambda p: records.run_summary(p, _done(p), "source_index", rollouts=2),
 )
 
+
+
+def _problem_splits(spark: SparkSession, d: str) -> DataFrame:
+    path, asked = scratch(spark, "splits"), derived(spark, d, "fx_problems")
+    for split, rest in (("train", 0), ("test", 1)):
+        records.write_records(asked.where(F.col("source_index") % 2 == rest), f"{path}/{split}", "parquet")
+    return records.read_problem_splits(spark, path)
+
+
+def _existing_output(spark: SparkSession, d: str) -> DataFrame:
+    """Writes in two parts; the guard refuses the second until it is told to append. guarded: how often it refused."""
+    path, asked = scratch(spark, "guarded"), derived(spark, d, "fx_problems")
+    first, second = asked.where("source_index % 4 = 0"), asked.where("source_index % 4 = 1")
+    records.write_records(asked, path, "parquet")
+    records.write_records(first, path, "parquet", "overwrite")
+    refused = 0
+    try:
+        records.write_records(second, path, "parquet")
+    except AnalysisException:
+        refused = 1
+    records.write_records(second, path, "parquet", "append")
+    return spark.read.schema(asked.schema).parquet(path).withColumn("guarded", F.lit(refused))
+
+
+def _summary(spark: SparkSession, d: str) -> DataFrame:
+    path, asked = scratch(spark, "summary"), derived(spark, d, "fx_problems")
+    row = records.run_summary(asked, _done(asked), "source_index", rollouts=2)
+    records.write_summary(row, path)
+    return records.read_records(spark, path, row.schema)
+
+
+def _descriptor(spark: SparkSession, d: str) -> DataFrame:
+    """Descriptors of two files of all problems, as the summary row that goes beside them."""
+    named = derived(spark, d, "fx_problems").agg(F.count("*").alias("n_rows")).select("n_rows", *[records.dataset_descriptor(x, f"{x}.jsonl", x) for x in ("sharegpt", "alpaca", "generic")])
+    one, two = "sharegpt", "alpaca"
+    return named.select(
+        "n_rows", *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in (one, two) for c in ("file_name", "ranking")], F.col(f"{one}.formatting").alias("sharegpt_formatting"),
+        F.col(f"{one}.columns.messages").alias("messages"), F.col(f"{two}.columns.prompt").alias("prompt"), F.col(f"{two}.columns.query").alias("query"), F.col(f"{two}.columns.rejected").alias("rejected"), F.col("generic"),
+    )
+
+
+QUERIES |= {"read_problem_splits": _problem_splits, "existing_output": _existing_output, "write_summary": _summary, "dataset_descriptor": _descriptor}
+ORACLE_SQL["read_problem_splits"] = with_derived("fx_problems", "select case when source_index % 2 = 0 then 'train' else 'test' end as split, source_index, question, answer from fx_problems")
+ORACLE_SQL["existing_output"] = with_derived("fx_problems", "select *, 1 as guarded from fx_problems where source_index % 4 < 2")
+ORACLE_SQL["write_summary"] = ORACLE_SQL["run_summary"]
+ORACLE_SQL["dataset_descriptor"] = with_derived(
+    "fx_problems",
+    """select count(*) as n_rows, 'sharegpt.jsonl' as sharegpt_file_name, true as sharegpt_ranking, 'alpaca.jsonl' as alpaca_file_name, true as alpaca_ranking, 'sharegpt' as sharegpt_formatting,
+      'conversations' as messages, 'instruction' as prompt, 'input' as query, 'rejected' as rejected, cast(null as varchar) as generic from fx_problems""",
+)
+
 # --- problems ----------------------------------------------------------------------------------------------------------
 
 _raw = lambda p: p.withColumn("split", F.lit("train"))
@@ -149,12 +204,17 @@ _query(
 )
 _query("parse_numeric", "fx_problems", f"select source_index, round({_double('n')}, 6) as value from {_FINAL}", lambda p: p.select("source_index", F.round(A.parse_numeric(A.extract_reference(F.col("answer"))), 6).alias("value")))
 _PROMPT = "'" + problems.PROMPT_TEMPLATE.split("{question}")[0].replace("\n", "' || chr(10) || '") + "'"
+#: Fractions of the derived answers as decimals: denominators of 1, 2 and 4 end, those of 3 have 28 digits.
+_SHARE = """case when b = 3 and a % 3 > 0 then case when a > 3 then cast(a // 3 as varchar) else '0' end || '.' || case a % 3 when 1 then repeat('3', d) else repeat('6', d - 1) || '7' end
+  else regexp_replace(rtrim(cast(cast(a as decimal(10, 2)) / b as decimal(10, 2))::varchar, '0'), '\\.$', '') end"""
+_NUMERIC = f"""case when final_answer like '%/%' then (select {_SHARE} from (select a, b, case when a > 3 then 27 else 28 end as d from (select try_cast(split_part(final_answer, '/', 1) as int) as a, try_cast(split_part(final_answer, '/', 2) as int) as b)))
+  else (select {_FIXED} from (select {_norm('final_answer')} as n)) end"""
 _query(
     "prepare_problems", "fx_problems",
     rf"""select 'gsm8k-main-train-' || case when length(cast(source_index as varchar)) < 5 then lpad(cast(source_index as varchar), 5, '0') else cast(source_index as varchar) end as problem_id,
       'gsm8k' as dataset_name, 'main' as dataset_config, 'train' as split, source_index, question, regexp_replace(split_part(answer, '####', 1), '\s+$', '') as solution, answer, final_answer,
-      '<answer>' || final_answer || '</answer>' as answer_tag, {_PROMPT} || question || chr(10) as prompt from (select *, {_ref('answer')} as final_answer from fx_problems)""",
-    lambda p: problems.prepare_problems(_raw(p)).drop("final_answer_numeric"),
+      '<answer>' || final_answer || '</answer>' as answer_tag, {_PROMPT} || question || chr(10) as prompt, {_NUMERIC} as final_answer_numeric from (select *, {_ref('answer')} as final_answer from fx_problems)""",
+    lambda p: problems.prepare_problems(_raw(p)),
 )
 _RANK = "row_number() over (order by md5('{}-' || cast(source_index as varchar)), source_index)"
 _query(
@@ -260,29 +320,40 @@ _query("merge_prediction", "fx_rollouts", f"select {_KEY3}, {_MERGED} as text fr
 # --- trees -------------------------------------------------------------------------------------------------------------
 
 _TREE_SQL = """,
-  paths as (select problem_id, branch_index, {paths}),
+  paths as materialized (select problem_id, branch_index, {paths}),
   grouped as (select problem_id, path, count(*) as path_hits, min(branch_index) as first_branch, len(path) as depth, sha256(array_to_string(path, chr(1))) as key from paths group by problem_id, path),
   numbered as (select *, cast(row_number() over (partition by problem_id order by depth, first_branch, key) as int) as pos from grouped),
-  named as (select *, 'node-' || lpad(cast(pos as varchar), 5, '0') as node_id from numbered),
+  named as materialized (select *, 'node-' || lpad(cast(pos as varchar), 5, '0') as node_id, case when depth > 1 then sha256(array_to_string(path[1:depth - 1], chr(1))) end as parent_key from numbered),
   tree as (select a.problem_id, a.pos, a.node_id, coalesce(b.node_id, 'root') as parent_id, cast(a.depth as int) as depth, a.path[-1] as step_text, array_to_string(a.path, chr(10)) as prefix_text, a.path_hits
-    from named a left join named b on b.problem_id = a.problem_id and b.path = a.path[1:len(a.path) - 1]
+    from named a left join named b on b.problem_id = a.problem_id and b.key = a.parent_key
     union all select distinct problem_id, 0, 'root', null, 0, '', '', 1 from paths)
 """
 _STEPS = with_derived("fx_completions", "") + ", " + _steps_sql("fx_completions", "problem_id, branch_index", "completion")
-_WHOLE = _STEPS + _TREE_SQL.format(paths="s[1:k] as path from (select *, unnest(range(1, least(len(s), 8) + 1)) as k from steps)")
+_WHOLE = _STEPS + _TREE_SQL.format(paths="s[1:k] as path from (select *, unnest(range(1, len(s) + 1)) as k from steps)")
 _FIRST = _STEPS + _TREE_SQL.format(paths="[s[1]] as path from steps where len(s) > 0")
 _flat = lambda t: t.drop("step_path")
 QUERIES["prefix_tree"] = lambda spark, d: _flat(trees.prefix_tree(derived(spark, d, "fx_completions")))
 ORACLE_SQL["prefix_tree"] = _WHOLE + "select * from tree"
 QUERIES["expansion_tree"] = lambda spark, d: _flat(trees.expansion_tree(derived(spark, d, "fx_completions")))
 ORACLE_SQL["expansion_tree"] = _FIRST + "select * from tree"
-QUERIES["expansion_log"] = lambda spark, d: trees.expansion_log(derived(spark, d, "fx_completions"))
-ORACLE_SQL["expansion_log"] = (
-    _FIRST
-    + """select c.problem_id, c.branch_index, c.completion as raw_completion, s.s[1] as first_step_text, t.node_id as child_node_id,
+
+
+def _logged(spark: SparkSession, d: str) -> DataFrame:
+    values = derived(spark, d, "fx_nodes").select("problem_id", "node_id", "q_value", F.when(F.col("pos") % 2 == 0, "terminal").otherwise("rollout").alias("evaluation_mode"))
+    return trees.expansion_log(derived(spark, d, "fx_completions"), values)
+
+
+QUERIES["expansion_log"] = _logged
+_LOG = """ log as (select l.*, case when status <> 'empty_step' then v.q_value end as q_value, case when status = 'created' then case when v.pos % 2 = 0 then 'terminal' when v.pos % 2 = 1 then 'rollout' end end as evaluation_mode
+      from logged l left join fx_nodes v on v.problem_id = l.problem_id and v.node_id = l.child_node_id)"""
+_LOGGED = (
+    with_derived("fx_ucb", "") + ", fx_completions as (" + INPUTS["fx_completions"] + ")," + _FIRST[_FIRST.index("blocks as (") :]
+    + """, logged as (select c.problem_id, c.branch_index, c.completion as raw_completion, s.s[1] as first_step_text, t.node_id as child_node_id,
       case when len(s.s) = 0 then 'empty_step' when row_number() over (partition by c.problem_id, s.s[1] order by c.branch_index, c.completion) = 1 then 'created' else 'reused' end as status
-      from fx_completions c join steps s on s.problem_id = c.problem_id and s.branch_index = c.branch_index left join tree t on t.problem_id = c.problem_id and t.depth = 1 and t.step_text = s.s[1]"""
+      from fx_completions c join steps s on s.problem_id = c.problem_id and s.branch_index = c.branch_index left join tree t on t.problem_id = c.problem_id and t.depth = 1 and t.step_text = s.s[1]),"""
+    + _LOG
 )
+ORACLE_SQL["expansion_log"] = _LOGGED + " select * from log"
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
@@ -293,7 +364,7 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["prefix_tree_conversations"] = lambda spark, d: _flat(trees.prefix_tree(_turns(spark, d)))
 ORACLE_SQL["prefix_tree_conversations"] = (
     "with turns as (select conv_id as problem_id, turn as branch_index, text as completion from conversations), " + _steps_sql("turns", "problem_id, branch_index", "completion")
-    + _TREE_SQL.format(paths="s[1:k] as path from (select *, unnest(range(1, least(len(s), 8) + 1)) as k from steps)") + "select * from tree"
+    + _TREE_SQL.format(paths="s[1:k] as path from (select *, unnest(range(1, len(s) + 1)) as k from steps)") + "select * from tree"
 )
 _query(
     "link_children", "fx_nodes", "select c.problem_id, c.parent_id as node_id, cast(row_number() over (partition by c.problem_id, c.parent_id order by c.pos) - 1 as int) as n, c.node_id as child_id from fx_nodes c join fx_nodes p on p.problem_id = c.problem_id and p.node_id = c.parent_id",
@@ -381,23 +452,51 @@ def _nested(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["assemble_trees"] = lambda spark, d: _nested(spark, d).select("problem_id", "question", F.posexplode("nodes").alias("pos", "x")).select("problem_id", "question", "pos", "x.*")
 ORACLE_SQL["assemble_trees"] = with_derived("fx_rollouts", "select n.problem_id, p.question, n.pos, n.node_id, n.parent_id, n.depth, n.step_text, n.q_value from fx_nodes n join fx_problems p on p.source_index = n.problem_id")
+
+
+def _tree_records(spark: SparkSession, d: str) -> DataFrame:
+    """Tree records of all problems, their lists as counts and their first and last entries."""
+    asked = problems.prepare_problems(_raw(derived(spark, d, "fx_problems"))).withColumn("problem_id", F.col("source_index"))
+    events = derived(spark, d, "fx_visits").where("node_id = 'root'").select("problem_id", "simulation_index", F.expr(_EVENT).alias("event_type"), "backed_up_value")
+    records_ = trees.tree_records(asked, derived(spark, d, "fx_nodes"), _logged(spark, d), events)
+    path, event = F.try_element_at("initial_paths", F.lit(1)), F.try_element_at("simulation_events", F.lit(-1))
+    return records_.select(
+        "problem_id", "question", "reference_answer", "reference_answer_numeric", "statistics.*", F.element_at("nodes.node_id", -1).alias("last_node_id"),
+        path["status"].alias("first_status"), path["q_value"].alias("first_q_value"), event["event_type"].alias("last_event_type"), event["backed_up_value"].alias("last_value"),
+    )
+
+
+QUERIES["tree_records"] = _tree_records
+ORACLE_SQL["tree_records"] = (
+    _LOGGED
+    + f""", p as (select source_index as problem_id, question, final_answer as reference_answer, {_NUMERIC} as reference_answer_numeric from (select *, {_ref('answer')} as final_answer from ({INPUTS['fx_problems']}))),
+  n as (select problem_id, count(*) as node_count, max(depth) as max_depth_reached, max(q_value) as max_q_value, min(q_value) as min_q_value, arg_max(node_id, pos) as last_node_id from fx_nodes group by problem_id),
+  i as (select problem_id, count(*) as initial_branch_count from log group by problem_id),
+  e as (select problem_id, count(*) as simulation_count, max(simulation_index) as last from fx_visits where node_id = 'root' group by problem_id),
+  x as (select problem_id, simulation_index, {_EVENT} as last_event_type, backed_up_value as last_value from fx_visits where node_id = 'root')
+  select p.problem_id, question, reference_answer, reference_answer_numeric, cast(node_count as int) as node_count, cast(coalesce(initial_branch_count, 0) as int) as initial_branch_count, cast(coalesce(simulation_count, 0) as int) as simulation_count,
+    max_depth_reached, max_q_value, min_q_value, last_node_id, log.status as first_status, log.q_value as first_q_value, last_event_type, last_value
+  from p left join n using (problem_id) left join i using (problem_id) left join e using (problem_id) left join log on log.problem_id = p.problem_id and log.branch_index = 0
+    left join x on x.problem_id = p.problem_id and x.simulation_index = e.last"""
+)
 QUERIES["explode_nodes"] = lambda spark, d: pairs.explode_nodes(_nested(spark, d))
 ORACLE_SQL["explode_nodes"] = with_derived("fx_nodes", "select problem_id, pos, node_id, parent_id, depth, step_text, q_value from fx_nodes")
-QUERIES["replay_search"] = lambda spark, d: search.replay_search(derived(spark, d, "fx_problems").select(F.col("source_index").alias("problem_id"), "answer"), derived(spark, d, "fx_completions"))
 
 # --- pairs -------------------------------------------------------------------------------------------------------------
 
 _CLASSIFIED = f""", ch as (select problem_id, parent_id, node_id, pos, depth, {_block('step_text')} as t, q_value as s from fx_nodes where parent_id is not null),
-  groups as (select c.problem_id, c.parent_id, count(*) as n_children, min(c.pos) as group_pos, any_value(p.depth) as parent_depth from ch c join fx_nodes p on p.problem_id = c.problem_id and p.node_id = c.parent_id group by all having count(*) > 1),
-  cand as (select l.problem_id, l.parent_id, g.group_pos, g.parent_depth, l.node_id as ln, l.pos as lp, l.t as lt, l.s as ls, l.depth as ld, r.node_id as rn, r.pos as rp, r.t as rt, r.s as rs
-    from ch l join ch r on r.problem_id = l.problem_id and r.parent_id = l.parent_id and l.pos < r.pos join groups g on g.problem_id = l.problem_id and g.parent_id = l.parent_id),
-  classified as (select *, case when ls is null or rs is null or lt = '' or rt = '' then 'missing_score' when lt = rt then 'same_text' when abs(ls - rs) < 0.2 then case when ls = rs then 'tie' else 'small_gap' end else 'pair' end as class from cand),
+  kids as materialized (select problem_id, parent_id, count(*) as n_children, min(pos) as group_pos, list({{'n': node_id, 'p': pos, 't': t, 's': s}} order by pos) as k from ch group by problem_id, parent_id having count(*) > 1),
+  groups as materialized (select c.problem_id, c.parent_id, n_children, group_pos, p.depth as parent_depth, k from kids c join fx_nodes p on p.problem_id = c.problem_id and p.node_id = c.parent_id),
+  firsts as (select *, unnest(range(1, n_children)) as i from groups),
+  twos as (select *, unnest(range(i + 1, n_children + 1)) as j from firsts),
+  cand as materialized (select problem_id, parent_id, group_pos, parent_depth, k[i].n as ln, k[i].p as lp, k[i].t as lt, k[i].s as ls, k[j].n as rn, k[j].p as rp, k[j].t as rt, k[j].s as rs from twos),
+  classified as materialized (select *, case when ls is null or rs is null or lt = '' or rt = '' then 'missing_score' when lt = rt then 'same_text' when abs(ls - rs) < 0.2 then case when ls = rs then 'tie' else 'small_gap' end else 'pair' end as class from cand),
   made as (select *, problem_id || '__' || parent_id || '__' || case when ls > rs then ln || '__' || rn else rn || '__' || ln end as pair_id, case when ls > rs then lt else rt end as chosen_text, case when ls > rs then rt else lt end as rejected_text,
     greatest(ls, rs) as chosen_score, least(ls, rs) as rejected_score, greatest(ls, rs) - least(ls, rs) as score_gap from classified where class = 'pair')"""
 _pairs_sql = lambda body, source="fx_nodes": with_derived(source, "") + _CLASSIFIED + body
 _classified = lambda spark, d: pairs.classify_pairs(pairs.candidate_pairs(derived(spark, d, "fx_nodes")))
 QUERIES["sibling_groups"] = lambda spark, d: pairs.sibling_groups(derived(spark, d, "fx_nodes")).drop("parent_prefix_text")
-ORACLE_SQL["sibling_groups"] = _pairs_sql(" select * from groups")
+ORACLE_SQL["sibling_groups"] = _pairs_sql(" select problem_id, parent_id, n_children, group_pos, parent_depth from groups")
 QUERIES["candidate_pairs"] = lambda spark, d: pairs.candidate_pairs(derived(spark, d, "fx_nodes")).select("problem_id", "parent_id", F.col("l.node_id").alias("left_id"), F.col("r.node_id").alias("right_id"))
 ORACLE_SQL["candidate_pairs"] = _pairs_sql(" select problem_id, parent_id, ln as left_id, rn as right_id from cand")
 QUERIES["classify_pairs"] = lambda spark, d: _classified(spark, d).groupBy("class").agg(F.count("*").alias("n"))

@@ -31,14 +31,18 @@ def stream_pairs(trees: DataFrame, out: str, checkpoint: str, **options) -> Stre
 
 
 def stream_append_trees(trees: DataFrame, out: str, checkpoint: str, key: str = "problem_id") -> StreamingQuery:
-    """Appends finished trees below out/trees, leaving out those that are there, and rewrites out/summary after each batch."""
+    """Appends finished trees below out/trees, leaving out those that are there, and rewrites out/summary after each batch.
+
+    Of trees of one key in a batch one is kept; trees of a null or empty key are never left out. The summary's count reads
+    no column, so only the files' footers."""
 
     def add(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         target = f"{out}/trees"
         hadoop = session._jvm.org.apache.hadoop.fs.Path(target)
         exists = hadoop.getFileSystem(session._jsc.hadoopConfiguration()).exists(hadoop)
-        first = batch.dropDuplicates([key])
+        named = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
+        first = batch.where(named).dropDuplicates([key]).unionByName(batch.where(~named))
         new = resume_filter(first, session.read.schema(batch.schema).parquet(target), key) if exists else first
         new.write.mode("append").parquet(target)
         done = session.read.schema(batch.schema).parquet(target)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ladderwork.functions import answers, text
-from ladderwork.operators import grading, pairs, problems, search, trees
+from ladderwork.operators import grading, pairs, problems, trees
 from ladderwork.sources import records
 from ladderwork.streaming import jobs
 
@@ -152,21 +152,6 @@ def test_events_back_up(spark):
     assert got == {"root": (2, 1.5), "a": (1, 0.5), "b": (1, 0.5)}
 
 
-def test_search(spark):
-    asked = spark.createDataFrame([(1, "#### 4"), (2, "#### 9")], "problem_id long, answer string")
-    said = ["Step 1: two and two\nStep 2: done <answer>4</answer>", "Step 1: guess\nStep 2: <answer>5</answer>", "<answer>4</answer>"]
-    recorded = spark.createDataFrame([(1, k, x) for k, x in enumerate(said)] + [(3, 0, "x")], "problem_id long, branch_index int, completion string")
-    nodes = search.replay_search(asked, recorded, search.SearchSettings(simulations=6)).collect()
-    own = [r for r in nodes if r.problem_id == 1]
-    root = next(r for r in own if r.node_id == "root")
-    assert len(own) > 3 and {r.problem_id for r in nodes} == {1, 2}
-    assert root.n_terminal_backups + root.n_dead_end_backups + root.n_expand_backups == 6
-    first = sum(r.depth == 1 for r in own)
-    assert root.visit_count == 6 + min(first, 2) and any((r.q_value or 0) > 0 for r in own) and any(r.is_terminal for r in own)
-    again = search.replay_search(asked, recorded.repartition(5), search.SearchSettings(simulations=6)).collect()
-    assert sorted(map(str, nodes)) == sorted(map(str, again))
-
-
 def test_records(spark, tmp_path):
     path = str(tmp_path / "in.jsonl")
     (tmp_path / "in.jsonl").write_text('{"a": 1, "t": "é"}\n\n  \n{"a": null}\n', encoding="utf-8")
@@ -219,6 +204,22 @@ def test_streams_resume(spark, tmp_path):
     assert spark.read.parquet(f"{out}/trees").count() == 2
 
 
+def test_stream_keeps_trees_without_ids(spark, tmp_path):
+    schema = "problem_id string, n int"
+    rows = [("a", 1), ("a", 2), (None, 3), (None, 4), ("", 5), ("", 6)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    stream = jobs.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+    jobs.stream_append_trees(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out/trees")).count() == 5
+
+
+def test_paths_deeper_than_a_search(spark):
+    rows = [(1, k, "\n".join([*(f"s{j}" for j in range(11)), f"end {k}"])) for k in range(2)]
+    done = spark.createDataFrame(rows, "problem_id long, branch_index int, completion string")
+    assert {r.depth: r.n for r in trees.prefix_tree(done).groupBy("depth").agg(F.count("*").alias("n")).collect()} == {k: 1 for k in range(12)} | {12: 2}
+    assert trees.prefix_tree(done, max_depth=8).agg(F.max("depth")).first()[0] == 8
+
+
 def test_decimals_keep_exactness():
     assert answers.parse_decimal("1/2/3") == Decimal("1.5") and answers.parse_decimal("12.5%") == Decimal("0.125")
     assert answers.parse_decimal("x") is None and answers.parse_decimal("1/0") is None
