@@ -15,11 +15,11 @@ from .shared import stage
 CONTRACTED = 2_000_000
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, root (smallest node of its component), for every node of an edge (src bigint, dst bigint).
 
     Alternating large-star and small-star steps: each links a node's neighbours to its smallest one, so edges never grow
-    in number and long chains halve. Each round is written to the shared folder. Self-loops and repeated edges are
+    in number and long chains halve; rounds end when no edge changes any more. Each round is written to the shared folder. Self-loops and repeated edges are
     allowed; no edges give no rows. Hot nodes are aggregated before the shuffle, and joins leave them to AQE's splitting.
     """
     # Edges are contracted in each task first: a task's edges become one per node, to the smallest node it is linked with.
@@ -27,9 +27,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     forward = stage(known.mapInArrow(_contract, "u bigint, v bigint"), "edges")
     alone = forward.where("u = v").select(F.col("u").alias("node")).distinct()
     current = stage(forward.where("u <> v").distinct(), "edges")
-    for _ in range(most_rounds):
-        if _settled(current):
-            break
+    while not _settled(current):
         # Large-star: every larger neighbour of u is linked to the smallest of u and its neighbours.
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -39,8 +37,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         current = stage(small, "edges")
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     found = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
     rest = current.select(F.col("v").alias("node")).unionByName(alone).distinct().join(found, "node", "left_anti")
     return found.unionByName(rest.select("node", F.col("node").alias("root")))

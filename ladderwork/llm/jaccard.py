@@ -4,40 +4,51 @@ A document's shingles are hashed into groups. Two facts about groups do the work
 
 * Lossless candidates. If two sets differ in at most D shingles and their shingles are dealt to more than D groups, some
   group has the same shingles in both. So sets that agree on a whole group, for a number of groups that their sizes fix,
-  are candidates; all others are apart. Agreeing sets are chained (not paired), which gives candidate components.
+  are candidates; all others are apart. Agreeing sets are chained (not paired), which gives candidate components. Groups
+  are dealt by a seed, and linked sets agree under every seed: chance components (texts that share a frequent line) are
+  keyed again under other seeds until they fall apart no further.
 * Bounds. A vector of group counts is a point; the summed minima of two points bound the shared shingles. Inside a
-  component an R-tree of these points drops far boxes and points, and surviving pairs are verified on their shingles.
+  component an R-tree of these points, with nested boxes, drops far boxes and points, and surviving pairs are verified on
+  their shingles.
 
 A vector alone bounds random texts well but in many dimensions boxes overlap, so an R-tree over the whole corpus would
 compare nearly all pairs; the candidate step is what keeps the work in proportion to the corpus.
 
+A key is 10 bytes: what is left of its hash beside its range, and a short code of its set. A task chains the sets that share
+a key before it sends one of them on, so a key that a third of all sets hold is one entry per batch of a task.
+
 Components beyond LOCAL shingles are not gathered: they are dealt over tasks, and chosen pivots visit all of them, round by
-round, until every set outside the largest part has been a pivot. No pair of different parts is then unchecked.
+round, until every set outside the largest part has been a pivot. No pair of different parts is then unchecked. LOCAL, PART
+and the other sizes below switch plans only, never results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components, stars
-from .shared import stage
+from .shared import by_ids, join_frequent, stage
 from .words import SPACED_LOWER, U64, chunks, mix, utf8, words
 
-#: Dimensions of a count vector; points of a leaf.
-GROUPS, LEAF = 64, 16
-#: Dimensions of the coarse vector that goes with candidate keys; sets of one key in one task beyond which they are chained.
-COARSE, CROWD = 48, 64
-#: Shingles in all sets of a component that one task resolves (8 bytes each); sets of a larger one that stand with the pivots in a task.
+#: Least and most dimensions of a tree's count vectors (one for PER_GROUP shingles of its middle set); entries of a tree's node.
+GROUPS, MOST_GROUPS, PER_GROUP, LEAF = 64, 1024, 8, 16
+#: Shingles in all sets of a component that one task resolves (8 bytes each); sets of a larger one, and pivots, that meet in a task.
 LOCAL, PART = 12_000_000, 1024
-#: Pairs whose vectors are compared at once; keys that a task gathers before it sends them, and keys a range receives on average.
-COMPARED = 50_000
-SEND_KEYS, RANGE_KEYS = 400_000, 800_000
+#: Shingles of small components that share a task's group.
+BUNDLE = 2_000_000
+#: Keys that a task gathers before it sends them, and keys a range receives on average.
+SEND_KEYS, RANGE_KEYS = 400_000, 1_500_000
+#: Sets of a component from which on a task keys it again under other seeds; share of its weight that a large one must lose to go on.
+KEYED_AGAIN, SHRUNK = 24, 0.1
+#: Bits of a set's name in the candidate graph. Names that collide only join candidates, which are then verified.
+CODE = (1 << 48) - 1
 
 
 class Threshold:
@@ -116,10 +127,10 @@ def set_id(shingles: np.ndarray) -> int:
     return int(mix((mix(shingles ^ U64(0x1234567))).sum(keepdims=True) + U64(len(shingles))).view(np.int64)[0]) if len(shingles) else 0
 
 
-def keys_of(shingles: np.ndarray, threshold: Threshold) -> np.ndarray:
-    """Keys of which linked sets share one."""
+def keys_of(shingles: np.ndarray, threshold: Threshold, seed: int = 0) -> np.ndarray:
+    """Keys of which linked sets share one, whatever the seed."""
     own = threshold.band(len(shingles))
-    spread, content, out = mix(shingles ^ U64(0x77)), mix(shingles ^ U64(0x99)), []
+    spread, content, out = mix(shingles ^ U64(0x77 + (seed << 20))), mix(shingles ^ U64(0x99)), []
     for band in (own, own - 1):
         if band < 0:
             continue
@@ -135,27 +146,13 @@ def keys_of(shingles: np.ndarray, threshold: Threshold) -> np.ndarray:
     return np.concatenate(out)
 
 
-#: What a set's keys carry: its name, size and a coarse count vector (counts are at most v * scale).
-RECORD = np.dtype([("id", "<i8"), ("n", "<u4"), ("scale", "<u4"), ("v", "u1", COARSE)])
-
-
-def record_of(shingles: np.ndarray, name: int) -> np.ndarray:
-    counts = np.bincount((shingles >> U64(33)).astype(np.int64) % COARSE, minlength=COARSE)
-    scale = -(-int(counts.max()) // 255)
-    return np.array([(name, len(shingles), scale, -(-counts // scale))], RECORD)
-
-
-def _crowded(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sets of a key that more than CROWD sets of this task have are chained to its smallest one, which goes on as a hub.
-    (numbers of entries that go on, hub flags, chain edges)"""
-    order = np.lexsort((ids, keys))
+def _chained(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of entries that go on, chain edges): of the entries of a key one goes on, and the others' names are joined to its."""
+    order = np.lexsort((names, keys))
     begin, n = _runs(keys[order])
-    many = np.repeat(n > CROWD, n)
-    lead = np.zeros(len(order), bool)
-    lead[begin] = True
-    edges = np.stack([np.repeat(ids[order[begin]], n), ids[order]], 1)[many & ~lead]
-    keep = ~many | lead
-    return order[keep], (many & lead)[keep], edges
+    lead = np.repeat(names[order[begin]], n)
+    others = names[order] != lead
+    return order[begin], np.unique(np.stack([lead[others], names[order][others]], 1), axis=0)
 
 
 def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,34 +163,6 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.append(begin, len(ordered)))
 
 
-def _candidates(keys: np.ndarray, at: np.ndarray, hub: np.ndarray, records: np.ndarray, threshold: Threshold) -> np.ndarray:
-    """Part of each set (number of its first set) when sets that share a key and whose count vectors allow a link are
-    joined; a key with a hub joins all its sets. Sets of one part already are not compared again."""
-    order = np.lexsort((at, ~hub, keys))
-    keys, at, hub = keys[order], at[order], hub[order]
-    begin, n = _runs(keys)
-    chained = np.repeat(hub[begin], n)
-    part = _joined(np.arange(len(records)), np.repeat(at[begin], n)[chained], at[chained])
-    keys, at = keys[~chained], at[~chained]
-    size = records["n"].astype(np.int64)
-    i, step = np.arange(len(keys)), 0
-    while len(i):
-        step += 1
-        i = i[i + step < len(keys)]
-        i = i[keys[i] == keys[i + step]]
-        for k in range(0, len(i), COMPARED):
-            x, y = at[i[k : k + COMPARED]], at[i[k : k + COMPARED] + step]
-            apart = part[x] != part[y]
-            x, y = x[apart], y[apart]
-            need = threshold.least_shared(size[x] + size[y])
-            near = np.minimum(size[x], size[y]) >= need
-            x, y, need = x[near], y[near], need[near]
-            counts = [records["v"][z] * records["scale"][z, None] for z in (x, y)]
-            near = np.minimum(*counts).sum(1) >= need
-            part = _joined(part, x[near], y[near])
-    return part
-
-
 def _joined(part: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Parts after x and y are joined pairwise."""
     if not len(x):
@@ -205,59 +174,59 @@ def _joined(part: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return to[part]
 
 
-def _unique(edges: np.ndarray) -> np.ndarray:
-    return np.unique(edges, axis=0) if len(edges) else edges
+SENT = "range int, docs binary, sizes binary, sids binary, edges binary, keys binary"
+ABOUT = "doc_id bigint, n_shingles bigint, sid bigint"
+EDGES = "src bigint, dst bigint"
 
 
-SENT = "range int, kind int, a binary, b binary, c binary"
-PROFILE = "kind int, x bigint, y bigint, z bigint"
+def _sent(**columns: list) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns.get(c.split()[0], [None] * n), pa.int32() if c.endswith("int") else pa.binary()) for c in SENT.split(", ")], names=[c.split()[0] for c in SENT.split(", ")])
 
 
-def profiles(docs: DataFrame, size: int, threshold: Threshold, ranges: int) -> DataFrame:
-    """Rows (kind 0: doc_id, number of shingles, set id) for every document and (kind 1: set id, set id) for candidates."""
+def send_keys(texts: DataFrame, size: int, threshold: Threshold, ranges: int, seed: int = 0) -> DataFrame:
+    """texts (doc_id, text, component) as rows of SENT: documents with the names of their sets (docs, sizes, sids), chain edges
+    of sets that share a key in a task (edges), and for each range its keys with the codes of their sets (keys). Sets of
+    different components share no key."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        names = [x.split()[0] for x in SENT.split(", ")]
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[tuple[int, int], np.ndarray] = {}
         n_keys = 0
 
-        def sent(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
-
         def flush() -> Iterator[pa.RecordBatch]:
-            records = np.concatenate([r for _, r in held.values()])
-            keys = np.concatenate([k for k, _ in held.values()])
-            owner = np.repeat(np.arange(len(held)), [len(k) for k, _ in held.values()])
-            go, hub, edges = _crowded(keys, records["id"][owner])
-            keys, owner = keys[go], owner[go]
+            keys = np.concatenate([k for k in held.values()])
+            codes = np.repeat(np.array([sid & CODE for _, sid in held], np.int64), [len(k) for k in held.values()])
+            on, edges = _chained(keys, codes)
+            if len(edges):
+                yield _sent(edges=[np.ascontiguousarray(stars(edges)).tobytes()])
+            keys, codes = keys[on], codes[on]
             r = (keys % U64(ranges)).astype(np.int64)
-            rows = [(int(edges[0, 0]) % ranges, 1, np.ascontiguousarray(_unique(edges)).tobytes(), b"", b"")] if len(edges) else []
-            bounds = np.searchsorted(r[order := np.argsort(r, kind="stable")], np.arange(ranges + 1))
-            for k in np.flatnonzero(np.diff(bounds)):
-                at = order[bounds[k] : bounds[k + 1]]
-                own, which = np.unique(owner[at], return_inverse=True)
-                # 40 bits beside the range: an equal key by chance only makes a candidate that is then checked.
-                high = (keys[at] >> U64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                places = which.astype("<u2" if len(own) < 65536 else "<u4").tobytes() + np.packbits(hub[at]).tobytes()
-                rows.append((int(k), 2, np.ascontiguousarray(high).tobytes(), records[own].tobytes(), places))
-            for k in range(0, len(rows), 16):
-                yield sent(rows[k : k + 16])
+            # 32 bits beside the range: an equal key by chance only makes a candidate that is then checked.
+            rest = (keys // U64(ranges)).astype("<u4").view(np.uint8).reshape(-1, 4)
+            entry = np.concatenate([rest, codes.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]], 1)
+            order = np.argsort(r, kind="stable")
+            bounds = np.searchsorted(r[order], np.arange(ranges + 1))
+            some = np.flatnonzero(np.diff(bounds))
+            for k in range(0, len(some), 64):
+                own = some[k : k + 64].tolist()
+                yield _sent(range=own, keys=[np.ascontiguousarray(entry[order[bounds[x] : bounds[x + 1]]]).tobytes() for x in own])
 
         for batch in batches:
             data, offsets = utf8(batch.column(1))
+            components = batch.column(2).to_numpy(zero_copy_only=False)
             for i, j in chunks(offsets):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
                 ids = np.array([set_id(s) for s in sets], np.int64)
-                rows = pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i)], names=["doc_id"]).to_pandas()["doc_id"]
-                null = rows.isna().to_numpy()
-                doc = rows.fillna(0).to_numpy(np.int64)
-                about = np.stack([np.array([len(s) for s in sets], np.int64), null.astype(np.int64)], 1)
-                yield sent([(int(ids[0]) % ranges, 0, doc.tobytes(), np.ascontiguousarray(about).tobytes(), ids.tobytes())])
-                for s, k in zip(sets, ids.tolist()):
-                    if len(s) and k not in held:
-                        held[k] = keys_of(s, threshold), record_of(s, k)
-                        n_keys += len(held[k][0])
+                docs = batch.column(0).slice(i, j - i)
+                # A size below zero marks a document without an id.
+                about = np.array([len(s) for s in sets], np.int64)
+                about[np.array(docs.is_null(), bool)] ^= -1
+                yield _sent(docs=[docs.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()], sizes=[about.tobytes()], sids=[ids.tobytes()])
+                for s, sid, c in zip(sets, ids.tolist(), components[i:j].tolist()):
+                    if len(s) and (c, sid) not in held:
+                        keys = keys_of(s, threshold, seed)
+                        held[c, sid] = mix(keys ^ mix(np.array([c], np.int64).view(U64))) if c else keys
+                        n_keys += len(keys)
                 if n_keys >= SEND_KEYS:
                     yield from flush()
                     held, n_keys = {}, 0
@@ -265,79 +234,86 @@ def profiles(docs: DataFrame, size: int, threshold: Threshold, ranges: int) -> D
         if held:
             yield from flush()
 
-    def group(key: tuple, sent: pa.Table) -> pa.Table:
-        kind, a, b, c = (sent.column(x).to_pylist() for x in ("kind", "a", "b", "c"))
-        parts: list[tuple[np.ndarray, ...]] = []
-        keys, owners, hubs, records, n_records = [], [], [], [], 0
-        edges = [np.zeros((0, 2), np.int64)]
-        for k, x, y, z in zip(kind, a, b, c):
-            if k == 0:
-                about = np.frombuffer(y, np.int64).reshape(-1, 2)
-                parts.append((np.where(about[:, 1] > 0, 2, 0), np.frombuffer(x, np.int64), about[:, 0], np.frombuffer(z, np.int64)))
-            elif k == 1:
-                edges.append(np.frombuffer(x, np.int64).reshape(-1, 2))
-            else:
-                n = len(x) // 5
-                wide = np.zeros((n, 8), np.uint8)
-                wide[:, :5] = np.frombuffer(x, np.uint8).reshape(n, 5)
-                keys.append(wide.view("<u8").ravel())
-                own = np.frombuffer(y, RECORD)
-                width = 2 if len(own) < 65536 else 4
-                owners.append(np.frombuffer(z, f"<u{width}", n).astype(np.int64) + n_records)
-                hubs.append(np.unpackbits(np.frombuffer(z, np.uint8, offset=width * n), count=n).astype(bool))
-                records.append(own)
-                n_records += len(own)
-        if keys:
-            # One place for each set, whatever tasks sent it.
-            merged, place = np.unique(np.concatenate(records)["id"], return_inverse=True)
-            first = np.zeros(len(merged), RECORD)
-            first[place] = np.concatenate(records)
-            part = _candidates(np.concatenate(keys), place[np.concatenate(owners)], np.concatenate(hubs), first, threshold)
-            edges.append(np.stack([merged[part], merged], 1)[part != np.arange(len(part))])
-        joined = _unique(np.concatenate(edges))
-        if len(joined):
-            star = stars(joined)
-            parts.append((np.ones(len(star), np.int64), star[:, 1], star[:, 0], star[:, 0] * 0))
-        cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 4
+    return texts.mapInArrow(send, SENT)
+
+
+def documents_of(sent: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and sid of each document."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, sizes, sids in zip(*(c.to_pylist() for c in batch.columns)):
+                n = np.frombuffer(sizes, np.int64)
+                columns = [pa.array(np.frombuffer(docs, np.int64), mask=n < 0), pa.array(np.where(n < 0, n ^ -1, n)), pa.array(np.frombuffer(sids, np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "sid"])
+
+    return sent.where("docs is not null").select("docs", "sizes", "sids").mapInArrow(unpack, ABOUT)
+
+
+def candidate_components(sent: DataFrame) -> DataFrame:
+    """code, root for the codes of all sets that share a key with another."""
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for edges in batch.column(0).to_pylist():
+                own = np.frombuffer(edges, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1])], names=["src", "dst"])
+
+    def chain(key: tuple, rows: pa.Table) -> pa.Table:
+        entry = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 10) for x in rows.column("keys").to_pylist()])
+        wide = np.zeros((len(entry), 8), np.uint8)
+        wide[:, :6] = entry[:, 4:]
+        _, edges = _chained(np.ascontiguousarray(entry[:, :4]).view("<u4").ravel(), wide.view("<i8").ravel())
+        edges = stars(edges) if len(edges) else edges
         pa.default_memory_pool().release_unused()
-        doc = pa.array(cols[1], pa.int64(), mask=cols[0] == 2)
-        return pa.table([pa.array(np.where(cols[0] == 2, 0, cols[0]).astype(np.int32)), doc, pa.array(cols[2]), pa.array(cols[3])], names=["kind", "x", "y", "z"])
+        return pa.table([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["src", "dst"])
 
-    return docs.select("doc_id", "text").mapInArrow(send, SENT).groupBy("range").applyInArrow(group, PROFILE)
+    within = sent.where("edges is not null").select("edges").mapInArrow(chained, EDGES)
+    across = sent.where("keys is not null").select("range", "keys").groupBy("range").applyInArrow(chain, EDGES)
+    return connected_components(within.unionByName(across)).withColumnRenamed("node", "code")
 
 
 class Tree:
-    """An R-tree of count vectors in two levels: boxes of LEAF points, sorted along the axes of widest spread."""
+    """An R-tree of count vectors: leaves of LEAF points, sorted along the axes of widest spread, and boxes of LEAF boxes above them."""
 
     def __init__(self, sets: list[np.ndarray], threshold: Threshold):
         self.sets, self.threshold = sets, threshold
         self.size = np.array([len(s) for s in sets], np.int64)
-        self.points = np.zeros((len(sets), GROUPS), np.int32)
+        self.groups = int(np.clip(np.median(self.size) // PER_GROUP, GROUPS, MOST_GROUPS)) if len(sets) else GROUPS
+        self.points = np.zeros((len(sets), self.groups), np.int32)
         for k, s in enumerate(sets):
-            self.points[k] = np.bincount((s >> U64(33)).astype(np.int64) % GROUPS, minlength=GROUPS)
+            self.points[k] = self.point(s)
         axes = np.argsort(-self.points.astype(np.float64).std(0))[:3] if len(sets) else np.zeros(0, int)
         self.order = np.lexsort([self.points[:, a] for a in axes[::-1]] + [self.size // 8]) if len(sets) else np.zeros(0, int)
-        begin = np.arange(0, len(sets), LEAF)
-        self.top = np.maximum.reduceat(self.points[self.order], begin, axis=0) if len(sets) else self.points
-        self.least = np.minimum.reduceat(self.size[self.order], begin) if len(sets) else self.size
+        #: (largest counts, least size, largest size) of each box, from the points up.
+        self.levels = [(self.points[self.order], self.size[self.order], self.size[self.order])]
+        while len(self.levels[-1][0]) > LEAF:
+            top, least, most = self.levels[-1]
+            begin = np.arange(0, len(top), LEAF)
+            self.levels.append((np.maximum.reduceat(top, begin, axis=0), np.minimum.reduceat(least, begin), np.maximum.reduceat(most, begin)))
+
+    def point(self, shingles: np.ndarray) -> np.ndarray:
+        return np.bincount((shingles >> U64(33)).astype(np.int64) % self.groups, minlength=self.groups).astype(np.int32)
 
     def near(self, shingles: np.ndarray, skip: np.ndarray | None = None) -> np.ndarray:
         """Numbers of the sets that link with these shingles, but for those in skip."""
-        point, n = np.bincount((shingles >> U64(33)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32), len(shingles)
-        box = np.flatnonzero(np.minimum(self.top, point).sum(1) >= self.threshold.least_shared(n + self.least))
-        if not len(box):
-            return box
-        at = (box[:, None] * LEAF + np.arange(LEAF)).ravel()
-        at = self.order[at[at < len(self.order)]]
-        if skip is not None:
-            at = at[~skip[at]]
-        need = self.threshold.least_shared(n + self.size[at])
-        possible = (np.minimum(self.size[at], n) >= need) & (np.minimum(self.points[at], point).sum(1) >= need)
+        point, n = self.point(shingles), len(shingles)
+        box = np.arange(len(self.levels[-1][0]))
+        for level in range(len(self.levels) - 1, -1, -1):
+            top, least, most = self.levels[level]
+            if level == 0 and skip is not None:
+                box = box[~skip[self.order[box]]]
+            need = self.threshold.least_shared(n + least[box])
+            box = box[np.minimum(most[box], n) >= need]
+            box = box[np.minimum(top[box], point).sum(1) >= self.threshold.least_shared(n + least[box])]
+            if level:
+                box = (box[:, None] * LEAF + np.arange(LEAF)).ravel()
+                box = box[box < len(self.levels[level - 1][0])]
         out = []
-        for k, least in zip(at[possible].tolist(), need[possible].tolist()):
+        for k in self.order[box].tolist():
             other = self.sets[k]
             where = np.minimum(np.searchsorted(other, shingles), len(other) - 1)
-            if int((other[where] == shingles).sum()) >= least:
+            if int((other[where] == shingles).sum()) >= self.threshold.least_shared(n + len(other)):
                 out.append(k)
         return np.array(out, np.int64)
 
@@ -369,33 +345,47 @@ class Forest:
 
 
 def resolve(sets: list[np.ndarray], threshold: Threshold) -> np.ndarray:
-    """Part of each set (number of its first set) when linked sets are joined. Exact: every pair of different parts has been bounded or verified."""
+    """Part of each set (number of its first set) when linked sets are joined. Exact: every pair of different parts has been
+    told apart by the keys of a seed, bounded or verified."""
+    part = np.arange(len(sets))
+    left = [(part, 1)]
+    while left:
+        own, seed = left.pop()
+        if len(own) < KEYED_AGAIN:
+            part[own] = own[_searched([sets[k] for k in own], threshold)]
+            continue
+        keys = [keys_of(sets[k], threshold, seed) for k in own]
+        _, edges = _chained(np.concatenate(keys), np.repeat(np.arange(len(own)), [len(k) for k in keys]))
+        label = _joined(np.arange(len(own)), edges[:, 0], edges[:, 1])
+        order = np.argsort(label, kind="stable")
+        pieces = np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
+        for piece in pieces:
+            if len(piece) > (1 - SHRUNK) * len(own):
+                part[own[piece]] = own[piece][_searched([sets[k] for k in own[piece]], threshold)]
+            elif len(piece) > 1:
+                left.append((own[piece], seed + 1))
+    return part
+
+
+def _searched(sets: list[np.ndarray], threshold: Threshold) -> np.ndarray:
+    """Parts by searches of the sets' R-tree, from its middle on, until every set outside the largest part has searched."""
     n = len(sets)
     forest = Forest(n)
-    if n == 2:
-        small, large = sorted(sets, key=len)
-        if np.isin(small, large, assume_unique=True).sum() >= threshold.least_shared(len(small) + len(large)):
-            forest.up[1] = 0
-        return forest.up
     tree, visited = Tree(sets, threshold), np.zeros(n, bool)
     middle = np.median(tree.points, axis=0)
     queue = [int(np.abs(tree.points - middle).sum(1).argmin())]
-    links = np.zeros(n, np.int64)
     while True:
         for k in queue:
             if visited[k]:
                 continue
             visited[k] = True
             part = forest.roots()
-            found = tree.near(sets[k], part == part[k])
-            links[found] += 1
-            forest.join(k, found)
+            forest.join(k, tree.near(sets[k], part == part[k]))
         part = forest.roots()
         own, size = np.unique(part, return_counts=True)
         rest = np.flatnonzero((part != own[size.argmax()]) & ~visited)
         if not len(rest):
             return part
-        # The most central of the large part may hold those outside; then each outside set visits.
         queue = rest[:64].tolist()
 
 
@@ -404,11 +394,18 @@ def _words_of(column: pa.Array, size: int) -> list[np.ndarray]:
     return [s for i, j in chunks(offsets) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)]
 
 
-LINKS = "src bigint, dst bigint"
+LINKS = EDGES
 
 
-def _local_links(members: DataFrame, size: int, threshold: Threshold, n_sets: int) -> DataFrame:
-    """Links (set id, id of the first set of its part) of components of bounded size; many components share a task's group."""
+def _with_sizes(members: DataFrame) -> DataFrame:
+    """members (component, n, ...) with the number of sets and of shingles of their component."""
+    sizes = members.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("weight"))
+    return join_frequent(members.drop("sets", "weight"), sizes, "component")
+
+
+def _local_links(members: DataFrame, size: int, threshold: Threshold) -> DataFrame:
+    """Links (set id, id of the first set of its part) of components of bounded size. A large one is a task's group of its own;
+    small ones share groups of about BUNDLE shingles."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         ids, component = rows.column("sid").to_numpy(), rows.column("component").to_numpy()
@@ -419,15 +416,20 @@ def _local_links(members: DataFrame, size: int, threshold: Threshold, n_sets: in
             part = resolve(_words_of(rows.column("text").take(pa.array(at[first])), size), threshold)
             src.append(own[part])
             dst.append(own)
+        pa.default_memory_pool().release_unused()
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pa.table([pa.array(join(src)), pa.array(join(dst))], names=["src", "dst"])
 
-    bundles = max(64, n_sets // 1024)
-    return members.withColumn("bundle", F.pmod(F.xxhash64("component"), F.lit(bundles))).groupBy("bundle").applyInArrow(run, LINKS)
+    total = members.where(F.col("weight") <= BUNDLE).agg(F.sum("n")).first()[0] or 0
+    bundles = max(64, -(-int(total) // BUNDLE))
+    alone = F.col("weight") > BUNDLE
+    bundle = F.when(alone, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(bundles)))
+    return members.select("component", "sid", "text", alone.alias("alone"), bundle.alias("bundle")).groupBy("alone", "bundle").applyInArrow(run, LINKS)
 
 
-def _pivot_links(members: DataFrame, pivots: DataFrame, size: int, threshold: Threshold) -> DataFrame:
-    """Links between pivots (component, sid) and all members of their components. Members are dealt to parts; pivots go to each part."""
+def _pivot_links(members: DataFrame, pivots: DataFrame, n_pivots: int, size: int, threshold: Threshold) -> DataFrame:
+    """Links between pivots (component, sid) and all members of their components. Members are dealt to parts and pivots to
+    slices, and each part meets each slice."""
 
     def run(key: tuple, own: pa.Table, chosen: pa.Table) -> pa.Table:
         src, dst = [], []
@@ -441,38 +443,71 @@ def _pivot_links(members: DataFrame, pivots: DataFrame, size: int, threshold: Th
                 dst += ids[found].tolist()
         return pa.table([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
+    slices = -(-n_pivots // PART)
     parts = F.ceil(F.col("sets") / PART).cast("int")
-    dealt = members.withColumn("part", F.pmod(F.xxhash64("sid"), parts).cast("int"))
-    sent = members.join(pivots, ["component", "sid"], "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    sent = sent.select(*[F.col(c).alias(c) for c in ("component", "part", "sid", "text")])
-    return dealt.groupBy("component", "part").cogroup(sent.groupBy("component", "part")).applyInArrow(run, LINKS)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("sid"), parts).cast("int")).withColumn("slice", upto(F.lit(slices)))
+    sent = members.join(pivots, ["component", "sid"], "left_semi").withColumn("slice", F.pmod(F.xxhash64("sid", F.lit(1)), F.lit(slices)).cast("int"))
+    sent = sent.withColumn("part", upto(parts)).select(*[F.col(c).alias(c) for c in ("component", "part", "slice", "sid", "text")])
+    keys = ["component", "part", "slice"]
+    return dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(run, LINKS)
+
+
+def _first_of_each(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """component, sid of the first rows of each component; each task keeps no more than that many before rows are gathered."""
+    n = F.row_number().over(Window.partitionBy("component").orderBy(*order))
+    return rows.withColumn("_n", n).where(F.col("_n") <= most).select("component", "sid")
 
 
-def _large_links(members: DataFrame, size: int, threshold: Threshold, first_pivots: int = 8, most_rounds: int = 40, round_pivots: int = 256) -> DataFrame:
-    """Links that join the parts of components too large for a task."""
+def _large_links(members: DataFrame, size: int, threshold: Threshold, first_pivots: int = 8, round_pivots: int = 256) -> DataFrame:
+    """Links that join the parts of components too large for a task. Rounds double their pivots, so they end: at the latest
+    when every set has been one."""
+    spread = [F.xxhash64("sid"), F.col("sid")]
     links = visited = None
-    ranked = Window.partitionBy("component")
-    pivots = members.select("component", "sid", F.row_number().over(ranked.orderBy(F.xxhash64("sid"), "sid")).alias("n")).where(F.col("n") <= first_pivots).select("component", "sid")
-    for turn in range(most_rounds):
+    pivots = _first_of_each(members, spread, first_pivots)
+    for turn in count():
         pivots = stage(pivots, "pivots")
-        found = stage(_pivot_links(members, pivots, size, threshold), "links")
+        n_pivots = pivots.count()
+        if not n_pivots:
+            return links
+        found = stage(_pivot_links(members, pivots, n_pivots, size, threshold), "links")
         links = found if links is None else links.unionByName(found)
         visited = pivots if visited is None else visited.unionByName(pivots)
         if turn == 0:
             # Next those that most first pivots link with: the centre of a group of copies links with all of it.
             counts = found.groupBy(F.col("dst").alias("sid")).agg(F.count("*").alias("links"))
             centre = members.select("component", "sid").join(counts, "sid").join(visited, ["component", "sid"], "left_anti")
-            pivots = centre.withColumn("n", F.row_number().over(ranked.orderBy(F.desc("links"), "sid"))).where(F.col("n") <= first_pivots).select("component", "sid")
-            continue
+            pivots = _first_of_each(centre, [F.desc("links"), F.col("sid")], first_pivots)
+            if not pivots.isEmpty():
+                continue
         roots = connected_components(links).select(F.col("node").alias("sid"), "root")
         part = stage(members.select("component", "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "parts")
         sizes = part.groupBy("component", "root").agg(F.count("*").alias("n"))
         largest = sizes.groupBy("component").agg(F.max_by("root", F.struct("n", "root")).alias("root"))
-        outside = part.join(largest, ["component", "root"], "left_anti").join(visited, ["component", "sid"], "left_anti")
-        pivots = outside.withColumn("n", F.row_number().over(ranked.orderBy(F.xxhash64("sid"), "sid"))).where(F.col("n") <= round_pivots * 2 ** min(turn, 6)).select("component", "sid")
-        if pivots.isEmpty():
-            return links
-    raise RuntimeError(f"a component has sets outside its largest part after {most_rounds} rounds")
+        outside = part.join(F.broadcast(largest), ["component", "root"], "left_anti").join(visited, ["component", "sid"], "left_anti")
+        pivots = _first_of_each(outside, spread, round_pivots * 2**turn)
+
+
+def _ranges(bytes_of_text: int, threshold: Threshold) -> int:
+    return max(16, -(-int(bytes_of_text / 6 * 4 * (threshold.den - threshold.num) / (threshold.den + threshold.num)) // RANGE_KEYS))
+
+
+def _keyed_again(large: DataFrame, size: int, threshold: Threshold, local: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Members of components beyond `local`, keyed under further seeds: (those whose component is small by then, those of
+    components that keys split no further)."""
+    done: list[DataFrame] = []
+    for seed in count(1):
+        weight, size_of_text = large.agg(F.sum("n"), F.sum(F.octet_length("text"))).first()
+        if not weight:
+            return done, None
+        sent = stage(send_keys(large.select(F.lit(0).cast("bigint").alias("doc_id"), "text", "component"), size, threshold, _ranges(size_of_text, threshold), seed), "keys")
+        roots = candidate_components(sent)
+        parted = large.drop("component").withColumn("code", F.col("sid").bitwiseAND(F.lit(CODE))).join(roots, "code").withColumn("component", F.col("root")).select("component", "sid", "n", "text")
+        parted = stage(_with_sizes(stage(parted, "members")), "members")
+        done.append(parted.where(F.col("weight") <= local))
+        large = parted.where(F.col("weight") > local)
+        if (large.agg(F.sum("n")).first()[0] or 0) > (1 - SHRUNK) * weight:
+            return done, large
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, local: int = LOCAL) -> DataFrame:
@@ -482,42 +517,53 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     shingles of `size` words; of fewer words the whole sequence is one shingle; without words it is empty and links with
     nothing. Documents link when den * shared >= num * union. One row per row of docs: doc_id, n_shingles, component_id
     (smallest doc_id of its component; its own when it links with nothing). Rows that repeat a doc_id are rows of their
-    own; a null doc_id is never a component's id, and such a row is compared only through copies of its text that have
-    one. An empty table gives no rows. Sets are named by 64 bits.
+    own; a null doc_id is never a component's id (null where no other row of its component has one) but links as others
+    do. A very long text is one set in one task. An empty table gives no rows. Sets are named by 64 bits.
     """
     threshold = Threshold(num, den)
+    docs = docs.select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(16, -(-int(total / 6 * 4 * (den - num) / (den + num)) // RANGE_KEYS))
-    profile = stage(profiles(docs, size, threshold, ranges), "profiles")
-    about = profile.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("n_shingles"), F.col("z").alias("sid"))
-    component = connected_components(profile.where("kind = 1").select(F.col("x").alias("src"), F.col("y").alias("dst")))
-    first = about.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    named = stage(component.select(F.col("node").alias("sid"), F.col("root").alias("component")).join(first, "sid"), "candidates")
-    sizes = named.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("weight"))
-    named = stage(named.join(sizes, "component"), "candidates")
+    sent = stage(send_keys(docs.withColumn("component", F.lit(0).cast("bigint")), size, threshold, _ranges(total, threshold)), "keys")
+    about = stage(documents_of(sent), "documents")
+    first = about.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"))
+    named = first.withColumn("code", F.col("sid").bitwiseAND(F.lit(CODE))).join(candidate_components(sent), "code").select("sid", "doc_id", "n", F.col("root").alias("component"))
+    named = stage(_with_sizes(stage(named, "candidates")), "candidates")
 
     def sid_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [set_id(s) for s in _words_of(batch.column(1), size)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], names=["doc_id", "text", "sid"])
 
-    # A document's row is found by its id; the set id parts rows that share one.
-    wanted = docs.select("doc_id", "text").join(named.select("doc_id").distinct(), "doc_id", "left_semi")
-    members = wanted.mapInArrow(sid_of, "doc_id bigint, text string, sid bigint").join(named, ["doc_id", "sid"]).select("component", "sets", "weight", "sid", "text")
-    n_sets, n_large = named.agg(F.count("*"), F.coalesce(F.sum((F.col("weight") > local).cast("int")), F.lit(0))).first()
-    links = _local_links(members.where(F.col("weight") <= local), size, threshold, n_sets)
-    if n_large:
-        large = stage(members.where(F.col("weight") > local).dropDuplicates(["component", "sid"]), "members")
-        links = links.unionByName(_large_links(large, size, threshold))
-    roots = connected_components(links).withColumnRenamed("node", "sid")
-    whole = about.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = whole.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    joined = whole.join(least, "root", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # A document's row is found by its id; the set id parts rows that share one. Sets without ids are found by theirs alone.
+    made = "doc_id bigint, text string, sid bigint"
+    wanted = by_ids(docs, named, "doc_id", "left_semi").mapInArrow(sid_of, made)
+    kept = ["component", "sets", "weight", "sid", "n", "text"]
+    members = wanted.join(named, ["doc_id", "sid"]).select(*kept)
+    if not named.where("doc_id is null").isEmpty():
+        texts = docs.where("doc_id is null").mapInArrow(sid_of, made).groupBy("sid").agg(F.first("text").alias("text"))
+        members = members.unionByName(texts.join(named.where("doc_id is null"), "sid").select(*kept))
+    small = [members.where(F.col("weight") <= local)]
+    links = None
+    if not named.where(F.col("weight") > local).isEmpty():
+        large = stage(members.where(F.col("weight") > local).dropDuplicates(["component", "sid"]).select("component", "sid", "n", "text"), "members")
+        done, rest = _keyed_again(large, size, threshold, local)
+        small += done
+        if rest is not None:
+            links = _large_links(rest, size, threshold)
+    for part in small:
+        found = _local_links(part, size, threshold)
+        links = found if links is None else links.unionByName(found)
+    roots = stage(connected_components(links).withColumnRenamed("node", "sid"), "roots")
+    # Each set that links or has copies gets its component's smallest id; the root and a set with many copies are keys of many rows.
+    labelled = stage(first.join(roots, "sid", "left").where("root is not null or copies > 1").select("sid", F.coalesce("root", "sid").alias("root"), "doc_id"), "labels")
+    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    labels = join_frequent(labelled.select("sid", "root"), least, "root").select("sid", "component_id")
+    joined = join_frequent(about, labels, "sid")
+    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def distinct_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs without those that a smaller doc_id of their component stands for. Rows that share a doc_id are one document;
     rows of a null doc_id stay; documents without words stay."""
-    gone = jaccard_components(docs, size, num, den).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = jaccard_components(docs, size, num, den).where("doc_id <> component_id")
+    return by_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)

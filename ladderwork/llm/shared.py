@@ -6,12 +6,21 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key that holds more than one in so many rows is frequent, so there are fewer frequent keys than this.
+FREQUENT = 2000
+#: Ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a new temporary one (a single machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a single machine takes a new
+    temporary folder; on a cluster it is an error, since executors could not read what another has written."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="ladderwork-")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     return set_dir.rstrip("/")
@@ -27,3 +36,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or where df has such a column one with underscores before it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """Rows of df whose key is ("left_semi") or isn't ("left_anti") among ids, which are written, counted and broadcast if they are
+    few: then df's rows, texts included, are not shuffled. A null key is never among them."""
+    ids = stage(ids.where(F.col(key).isNotNull()).select(key).distinct(), "ids")
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+
+
+def join_frequent(rows: DataFrame, of_key: DataFrame, key: str) -> DataFrame:
+    """rows.join(of_key, key, "left") for any share of rows with one key. of_key has at most one row for a key. Its rows of frequent
+    keys, fewer than FREQUENT, are broadcast, so that rows of these keys stay where they are. rows is read three times."""
+    total = rows.count()
+    many = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > max(16, total // FREQUENT)).select(key)
+    many = F.broadcast(stage(many, "frequent"))
+    one = rows.join(many, key, "left_semi").join(F.broadcast(of_key.join(many, key, "left_semi")), key, "left")
+    return rows.join(many, key, "left_anti").join(of_key, key, "left").unionByName(one)
