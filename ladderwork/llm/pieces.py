@@ -25,6 +25,10 @@ MARK = "▁".encode()
 UNKNOWN_COST = 10.0
 #: Vocabularies of merges give runs of marks a score below this. Such a piece counts 0.5 more than an unknown character.
 LOWEST_SCORE = -1e8
+#: Cells of a table of words that are searched in step.
+CELLS = 200_000
+#: Bytes of text, or ids, taken at once.
+CHUNK_BYTES, CHUNK_IDS = 1 << 19, 1 << 18
 _ANY = byte_classes(b"", lower=False)
 
 
@@ -47,8 +51,34 @@ def load_pieces(path: str) -> list[tuple[bytes, float, str]]:
     return out
 
 
+class Vocabulary:
+    """Bytes of the pieces, for decoding."""
+
+    def __init__(self, pieces: list[tuple[bytes, float, str]]):
+        plain = [b.replace(MARK, b" ") if kind == "piece" else b for b, _, kind in pieces]
+        self.size = np.array([len(b) for b in plain])
+        self.at = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(plain), np.uint8)
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Texts of the id lists."""
+        out = []
+        for i, j in chunks(offsets, CHUNK_IDS):
+            own = ids[offsets[i] : offsets[j]]
+            size = self.size[own]
+            end = np.cumsum(size)
+            take = np.arange(int(end[-1]) if len(end) else 0) - np.repeat(end - size, size) + np.repeat(self.at[own], size)
+            data = self.bytes[take].tobytes()
+            at = np.append(0, end)[offsets[i : j + 1] - offsets[i]]
+            out += [data[s + 1 : e] for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+        return out
+
+
 class Automaton:
-    """Transitions completed over failure links (a dense table), the longest piece that ends in each state, and the next output link."""
+    """Transitions completed over failure links, the longest piece that ends in each state, and the next output link.
+
+    Transitions are a table with a row for each state that a longer piece goes on from; other states move as the state that
+    their failure link names, and share its row."""
 
     def __init__(self, pieces: list[tuple[bytes, float, str]]):
         self.pieces = pieces
@@ -64,40 +94,47 @@ class Automaton:
         self.byte_id[0xFE] = self.byte_id[MARK[0]]  # how `_marked` writes a mark character of the text itself
         self.unknown = float(min((self.score[k] for k in usable if self.score[k] > LOWEST_SCORE), default=0.0) - UNKNOWN_COST)
         self.score[self.score <= LOWEST_SCORE] = self.unknown + 0.5
-        children: list[dict[int, int]] = [{}]
-        ends: list[int] = [-1]
+        child: dict[int, int] = {}
+        ends, depth = [-1], [0]
         for k in usable:
             node = 0
             for byte in pieces[k][0]:
-                nxt = children[node].get(byte)
-                if nxt is None:
-                    nxt = children[node][byte] = len(children)
-                    children.append({})
+                edge = node << 8 | byte
+                node = child.setdefault(edge, len(ends))
+                if node == len(ends):
                     ends.append(-1)
-                node = nxt
+                    depth.append(depth[edge >> 8] + 1)
             if ends[node] < 0 or self.score[k] > self.score[ends[node]]:
                 ends[node] = k
-        n = len(children)
-        self.goto = np.zeros((n, 256), np.int32)
+        n = len(ends)
+        edge, node = np.fromiter(child.keys(), np.int64, len(child)), np.fromiter(child.values(), np.int64, len(child))
+        del child
+        source, byte = edge >> 8, edge & 255
+        #: The row of each state in `goto`; 0 is the root's.
+        self.row = np.full(n, -1, np.int32)
+        inner = np.unique(np.append(0, source))
+        self.row[inner] = np.arange(len(inner))
+        self.goto = np.zeros((len(inner), 256), np.int32)
         fail = np.zeros(n, np.int32)
         self.ends = np.array(ends, np.int32)
         #: The state itself or the nearest one along failure links where a piece ends; 0 is none.
         self.output = np.zeros(n, np.int32)
         self.next_output = np.zeros(n, np.int32)
-        level = [0]
-        while level:
-            below = []
-            for node in level:
-                own = children[node]
-                if node:
-                    self.goto[node] = self.goto[fail[node]]
-                    self.next_output[node] = self.output[fail[node]]
-                    self.output[node] = node if self.ends[node] >= 0 else self.next_output[node]
-                for byte, child in own.items():
-                    fail[child] = self.goto[fail[node], byte] if node else 0
-                    self.goto[node, byte] = child
-                    below.append(child)
-            level = below
+        level_of = np.array(depth)
+        for level in range(int(level_of.max()) + 1):
+            own = np.flatnonzero(level_of == level)
+            if level:
+                self.next_output[own] = self.output[fail[own]]
+                self.output[own] = np.where(self.ends[own] >= 0, own, self.next_output[own])
+                leaves = own[self.row[own] < 0]
+                self.row[leaves] = self.row[fail[leaves]]
+                going = np.setdiff1d(own, leaves)
+                self.goto[self.row[going]] = self.goto[self.row[fail[going]]]
+                at = np.flatnonzero(level_of[source] == level)
+                fail[node[at]] = self.goto[self.row[fail[source[at]]], byte[at]]
+            else:
+                at = np.flatnonzero(source == 0)
+            self.goto[self.row[source[at]], byte[at]] = node[at]
 
     def best(self, texts: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Texts as rows of bytes (padded). Ids of all rows one after the other, and how many each row has."""
@@ -114,7 +151,7 @@ class Automaton:
             byte = texts[live, p]
             lead = (byte & 0xC0) != 0x80
             char_start[live[lead]] = p
-            state[live] = self.goto[state[live], byte]
+            state[live] = self.goto[self.row[state[live]], byte]
             # A whole character ends here: it may stand as unknown.
             following = np.where(p + 1 < length[live], texts[live, min(p + 1, most - 1)], 0)
             closing = live[(following & 0xC0) != 0x80]
@@ -196,7 +233,7 @@ class Automaton:
         while i < len(order):
             j = i + 1
             wide = int(np.searchsorted(by_size, by_size[i] * 1.25 + 2, "right"))
-            j = max(j, min(wide, i + 400_000 // int(by_size[wide - 1])))
+            j = max(j, min(wide, i + CELLS // int(by_size[wide - 1])))
             rows = order[i:j]
             most = int(real[rows].max())
             table = np.zeros((len(rows), most), np.uint8)
@@ -221,20 +258,6 @@ class Automaton:
         total = np.cumsum(counts)
         return ids[np.arange(int(total[-1])) - np.repeat(total - counts, counts) + np.repeat(at, counts)], counts
 
-    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """Texts of the id lists."""
-        if not hasattr(self, "_plain"):
-            plain = [b.replace(MARK, b" ") if kind == "piece" else b for b, _, kind in self.pieces]
-            self._plain_size = np.array([len(b) for b in plain])
-            self._plain_at = np.cumsum(self._plain_size) - self._plain_size
-            self._plain = np.frombuffer(b"".join(plain), np.uint8)
-        size = self._plain_size[ids]
-        end = np.cumsum(size)
-        take = np.arange(int(end[-1]) if len(end) else 0) - np.repeat(end - size, size) + np.repeat(self._plain_at[ids], size)
-        data = self._plain[take].tobytes()
-        at = np.append(0, end)[offsets]
-        return [data[s + 1 : e] for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
-
 
 def _marked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts with one byte 0xFF before each that isn't empty and for each space, and the first byte of a mark character of
@@ -250,32 +273,44 @@ def _marked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, firsts
 
 
-_BUILT: dict[int, Automaton] = {}
+_BUILT: dict[tuple, Automaton | Vocabulary] = {}
 
 
-def _automaton(pieces: list[tuple[bytes, float, str]]) -> Automaton:
+def _built(kind: type, pieces: list[tuple[bytes, float, str]]) -> Automaton | Vocabulary:
     """Built once in each Python worker."""
-    key = hash((len(pieces), *pieces[:: max(1, len(pieces) // 997)]))
+    key = kind, hash((len(pieces), *pieces[:: max(1, len(pieces) // 997)]))
     if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Automaton(pieces)
+        if len(_BUILT) > 3:
+            _BUILT.clear()
+        _BUILT[key] = kind(pieces)
     return _BUILT[key]
 
 
+def _encoded(automaton: Automaton, column: pa.Array) -> pa.ListArray:
+    data, offsets = utf8(column)
+    parts, ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for i, j in chunks(offsets, CHUNK_BYTES):
+        ids, at = automaton.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        parts.append(ids)
+        ends.append(at[1:] + ends[-1][-1])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(parts), pa.int32()), mask=column.is_null() if column.null_count else None)
+
+
+def _decoded(vocabulary: Vocabulary, column: pa.Array) -> pa.Array:
+    size = np.array(column.value_lengths().fill_null(0), np.int64)
+    out = vocabulary.decode(column.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(size)))
+    mask = np.array(column.is_null())
+    return pa.array([None if null else b.decode("utf-8", "replace") for b, null in zip(out, mask)], pa.string())
+
+
 def encoder(pieces: list[tuple[bytes, float, str]]):
     """Column function: text to array<int> of piece ids. Null gives null, an empty text no ids."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode_pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        automaton = _automaton(pieces)
         for column in batches:
-            data, offsets = utf8(column)
-            parts, ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-            for i, j in chunks(offsets, 1 << 21):
-                ids, at = automaton.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                parts.append(ids)
-                ends.append(at[1:] + ends[-1][-1])
-            yield pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(parts), pa.int32()), mask=column.is_null() if column.null_count else None)
+            yield _encoded(_built(Automaton, pieces), column)
+            pa.default_memory_pool().release_unused()
 
     return encode_pieces
 
@@ -285,29 +320,43 @@ def decoder(pieces: list[tuple[bytes, float, str]]):
 
     @F.arrow_udf(T.StringType())
     def decode_pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        automaton = _automaton(pieces)
         for column in batches:
-            flat = column.flatten()
-            size = np.array(column.value_lengths().fill_null(0), np.int64)
-            out = automaton.decode(flat.to_numpy(zero_copy_only=False).astype(np.int64), np.append(0, np.cumsum(size)))
-            mask = np.array(column.is_null())
-            yield pa.array([None if null else b.decode("utf-8", "replace") for b, null in zip(out, mask)], pa.string())
+            yield _decoded(_built(Vocabulary, pieces), column)
 
     return decode_pieces
 
 
+def both_ways(pieces: list[tuple[bytes, float, str]]):
+    """Column function: text to its piece_ids and the text decoded from them, in one step; null gives nulls."""
+    kind = pa.struct([("piece_ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+
+    @F.arrow_udf(T.StructType().add("piece_ids", T.ArrayType(T.IntegerType())).add("decoded", "string"))
+    def encode_and_decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            ids = _encoded(_built(Automaton, pieces), column)
+            yield pa.StructArray.from_arrays([ids, _decoded(_built(Vocabulary, pieces), ids)], fields=list(kind))
+            pa.default_memory_pool().release_unused()
+
+    return encode_and_decode
+
+
 def tokenized(docs: DataFrame, model_path: str) -> DataFrame:
-    """docs with piece_ids (array<int>) and n_tokens; null texts have null ids and 0 tokens. Columns of these names are replaced."""
+    """docs with piece_ids (array<int>) and n_tokens; columns of these names are replaced, all others kept.
+
+    Null texts have null ids and 0 tokens, empty texts no ids and 0 tokens; a very long text is encoded whole; repeated rows
+    get equal ids; an empty table gives no rows."""
     out = docs.withColumn("piece_ids", encoder(load_pieces(model_path))("text"))
     return out.withColumn("n_tokens", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("bigint"))
 
 
 def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_chars, n_tokens, ids_sha256 (of comma-joined ids), decoded_sha256 (of the decoded text) and exact (text equals its decoded ids)."""
-    ids = tokenized(docs.select("doc_id", "text"), model_path)
-    decoded = ids.withColumn("decoded", decoder(load_pieces(model_path))("piece_ids"))
-    return decoded.select(
-        "doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("n_chars"), "n_tokens",
+    """doc_id, n_chars, n_tokens, ids_sha256 (of comma-joined ids), decoded_sha256 (of the decoded text) and exact (text equals its decoded ids).
+
+    Columns of docs other than doc_id and text are ignored. Null texts count as empty in the digests and are exact; one row
+    per row of docs, so repeated rows stay and an empty table gives none."""
+    made = docs.select("doc_id", "text", both_ways(load_pieces(model_path))("text").alias("made")).select("doc_id", "text", "made.*")
+    return made.select(
+        "doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("n_chars"), F.coalesce(F.size("piece_ids"), F.lit(0)).cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.coalesce("piece_ids", F.array().cast("array<int>")), ","), 256).alias("ids_sha256"),
         F.sha2(F.coalesce("decoded", F.lit("")), 256).alias("decoded_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("exact"),
     )
