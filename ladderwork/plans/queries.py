@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import text as X
-from ..operators import grading, pairs, problems, trees
+from ..operators import grading, pairs, problems, search, trees
 from ..sources import records
 from ..streaming import jobs
 from .inputs import SQL as INPUTS
@@ -482,6 +482,17 @@ ORACLE_SQL["tree_records"] = (
 QUERIES["explode_nodes"] = lambda spark, d: pairs.explode_nodes(_nested(spark, d))
 ORACLE_SQL["explode_nodes"] = with_derived("fx_nodes", "select problem_id, pos, node_id, parent_id, depth, step_text, q_value from fx_nodes")
 
+
+
+def _search(spark: SparkSession, d: str) -> DataFrame:
+    asked = derived(spark, d, "fx_problems").select(F.col("source_index").alias("problem_id"), "answer")
+    nodes, events = search.replay_search(asked, derived(spark, d, "fx_completions"), scratch(spark, "search"))
+    kinds = [F.count_if(F.col("event_type") == f"{k}_backup").alias(f"n_{k}_backups") for k in ("terminal", "dead_end", "expand")]
+    return nodes.join(events.groupBy("problem_id").agg(*kinds), "problem_id", "left").drop("prefix_text")
+
+
+QUERIES["replay_search"] = _search
+
 # --- pairs -------------------------------------------------------------------------------------------------------------
 
 _CLASSIFIED = f""", ch as (select problem_id, parent_id, node_id, pos, depth, {_block('step_text')} as t, q_value as s from fx_nodes where parent_id is not null),

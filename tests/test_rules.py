@@ -1,13 +1,15 @@
 """Rules of single operators on literal examples."""
 
 import json
+import math
+import re
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from ladderwork.functions import answers, text
-from ladderwork.operators import grading, pairs, problems, trees
+from ladderwork.operators import grading, pairs, problems, search, trees
 from ladderwork.sources import records
 from ladderwork.streaming import jobs
 
@@ -152,6 +154,85 @@ def test_events_back_up(spark):
     assert got == {"root": (2, 1.5), "a": (1, 0.5), "b": (1, 0.5)}
 
 
+def plain_search(answer, recorded, s):
+    """One problem's search, step by step: {node_id: (parent_id, step, q_value, visits, total, terminal)} and event types."""
+    tag = lambda t: re.search(r"<answer>(.*?)</answer>", t)
+    nodes, events = [dict(id="root", up=None, path=(), q=None, n=0, t=0.0, end=False, kids=None)], []
+
+    def valued(path):
+        text = "\n".join(path)
+        if tag(text):
+            return float(tag(text)[1] == answer), True
+        tries = [recorded[(k + len(path)) % len(recorded)] for k in range(s.rollouts)]
+        return sum(bool(tag(f"{text}\n{x}")) and tag(f"{text}\n{x}")[1] == answer for x in tries) / s.rollouts, False
+
+    def expand(node, n):
+        made = []
+        node["kids"] = []
+        for k in range(n if recorded else 0):
+            step = next((x for x in recorded[(k + len(node["path"])) % len(recorded)].split("\n") if x.strip()), None)
+            path = (*node["path"], step)
+            if step is None:
+                continue
+            known = [x for x in nodes if x["path"] == path]
+            if not known:
+                q, end = valued(path)
+                known = [dict(id=f"node-{len(nodes):05d}", up=node["id"], path=path, q=q, n=0, t=0.0, end=end or len(path) >= s.max_depth, kids=None)]
+                nodes.append(known[0])
+                node["kids"].append(known[0])
+            made.append(known[0])
+        return made
+
+    def visit(path, value):
+        for x in path:
+            x["n"], x["t"] = x["n"] + 1, x["t"] + value
+
+    def bound(p, c):
+        spread = math.log(p["n"] + 2)
+        return c["q"] + s.ucb_c * math.sqrt(spread) if not c["n"] else c["t"] / c["n"] + s.ucb_c * math.sqrt(spread / c["n"]) + 0.05 * c["q"]
+
+    expand(nodes[0], s.root_branches)
+    for child in nodes[0]["kids"]:
+        visit([nodes[0], child], child["q"])
+    for _ in range(s.simulations):
+        path = [nodes[0]]
+        while path[-1]["kids"]:
+            path.append(max(path[-1]["kids"], key=lambda c: round(bound(path[-1], c), 9)))
+        leaf = path[-1]
+        if leaf["end"]:
+            events.append("terminal_backup")
+            visit(path, leaf["q"] or 0.0)
+        elif made := expand(leaf, s.expansion_branches):
+            best = max(made, key=lambda c: c["q"])
+            events.append("expand_backup")
+            visit([*path, best], best["q"])
+        else:
+            events.append("dead_end_backup")
+            leaf["end"] = True
+            visit(path, leaf["q"] or 0.0)
+    return {x["id"]: (x["up"], x["path"][-1] if x["path"] else "", x["q"], x["n"], round(x["t"], 9), x["end"]) for x in nodes}, events
+
+
+def test_search(spark, tmp_path):
+    said = {
+        1: ["two and two\ndone <answer>4</answer>", "guess\n<answer>5</answer>", "<answer>4</answer>", "other\n<answer>4</answer>", "two and two\n\n"], 2: [" ", ""], 3: [], 4: ["a\nb", "a\nc <answer>7</answer>", "d"],
+        5: [f"s{k % 3}\n<answer>{k}</answer>" for k in range(7)],
+    }
+    answers = {1: "4", 2: "9", 3: "1", 4: "7", 5: "3"}
+    asked = spark.createDataFrame([(k, f"#### {a}") for k, a in answers.items()], "problem_id long, answer string")
+    recorded = spark.createDataFrame([(k, j, x) for k, texts in said.items() for j, x in enumerate(texts)] + [(99, 0, "x")], "problem_id long, branch_index int, completion string")
+    settings = search.SearchSettings(simulations=5, max_depth=3)
+    nodes, events = search.replay_search(asked, recorded.repartition(3), str(tmp_path), settings)
+    found, happened = nodes.collect(), events.orderBy("problem_id", "simulation_index").collect()
+    assert {r.problem_id for r in found} == set(answers)
+    for k, answer in answers.items():
+        want, kinds = plain_search(answer, said[k], settings)
+        own = {r.node_id: (r.parent_id, r.step_text, r.q_value, r.visit_count, round(r.total_value, 9), r.is_terminal) for r in found if r.problem_id == k}
+        assert own == want and [r.event_type for r in happened if r.problem_id == k] == kinds
+    backed = trees.backup(trees.visits_of_events(events.where("problem_id = 5"))).collect()
+    assert {r.node_id: r.visit_count for r in backed}["root"] == 5
+
+
 def test_records(spark, tmp_path):
     path = str(tmp_path / "in.jsonl")
     (tmp_path / "in.jsonl").write_text('{"a": 1, "t": "é"}\n\n  \n{"a": null}\n', encoding="utf-8")
