@@ -23,11 +23,46 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .words import ALNUM, chunks, utf8, words
 
-#: Notices by which licences are named in texts, and openings of their full texts.
+_AS_IS = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+#: Notices by which licences are named in texts, openings of long licences and whole texts of short ones.
 TEMPLATES = {
+    "bsd-2-clause": _BSD + _AS_IS,
+    "bsd-3-clause": (
+        _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission. " + _AS_IS
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        "copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD "
+        "TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from "
+        "the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it "
+        "and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim "
+        "that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated "
+        "but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "3. This notice may not be removed or altered from any source distribution."
+    ),
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "apache-2.0-notice": (
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
@@ -47,6 +82,8 @@ TEMPLATES = {
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
 }
 
+#: Bytes of all templates at most.
+TEMPLATE_BYTES = 8 << 20
 #: Widths of stretches, in lengths of the template.
 WIDTHS = (1, 1.5, 2, 4)
 
@@ -163,6 +200,16 @@ def occurrences(text: list[int], template: list[int], least: float) -> tuple[lis
 FOUND = "doc_id bigint, license string, coverage double, n_aligned bigint, first_word bigint, last_word bigint, found array<struct<license: string, coverage: double, n_aligned: bigint, first_word: bigint, last_word: bigint>>"
 
 
+def templates_of(table: DataFrame, most_bytes: int = TEMPLATE_BYTES) -> dict[str, str]:
+    """A table of whole licence texts (name, text) as templates; of rows that share a name the first text counts, rows of a
+    null name or text are left out. They go to each task, so together they may hold most_bytes, else it is an error."""
+    known = table.where("name is not null and text is not null").groupBy("name").agg(F.min("text").alias("text"))
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"templates hold {size} bytes, {most_bytes} at most")
+    return {r["name"]: r["text"] for r in known.collect()}
+
+
 def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.6) -> DataFrame:
     """All templates in each document at all their places, and the one that covers best, over whole texts.
 

@@ -7,8 +7,8 @@ only in the rewritten text map back to source characters.
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import free_name
+
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -189,12 +191,15 @@ def all_identifiers(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[i
     tape = deobfuscate(text)
     added: list[tuple[int, int, int]] = []
     if tape is not None:
-        taken = {k: [x for x in base if x[0] == k] for k in range(len(KINDS))}
+        # Spans of a kind that are taken, in order; none overlaps another, so only its neighbours can overlap a new one.
+        taken = [[(s, e) for k, s, e in base if k == kind] for kind in range(len(KINDS))]
         for kind, s, e in identifiers(tape.text):
             s, e = tape.span(s, e)
-            if all(e <= x[1] or x[2] <= s for x in taken[kind]):
+            own = taken[kind]
+            at = bisect_left(own, (s, e))
+            if (at == 0 or own[at - 1][1] <= s) and (at == len(own) or e <= own[at][0]):
                 added.append((kind, s, e))
-                taken[kind].append((kind, s, e))
+                own.insert(at, (s, e))
     return base, added
 
 
@@ -247,8 +252,12 @@ def personal_data_digest(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with every identifier replaced by its kind; n_chars follows the new text where docs has it."""
-    out = personal_data(docs).withColumn("text", F.col("pii.redacted"))
+    """docs with every identifier replaced by its kind; n_chars follows the new text where docs has it.
+
+    All other columns are kept as they are, one named pii too. Null texts stay null; a very long text is one cell in one task;
+    repeated rows get equal texts; an empty table gives no rows."""
+    name = free_name(docs, "found")
+    out = docs.withColumn(name, _scan("text")).withColumn("text", F.col(f"{name}.redacted"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast("bigint"), "n_chars"))
     return out.select(*docs.columns)

@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import free_name, stage
 from .words import chunks, utf8
 
 WIDTH, STEP, FILTERS, UNITS, CHUNK = 6, 2, 16, 24, 256
 HALF = CHUNK // 2
-#: Labelled rows the network is fitted on at most, and bytes of each of them that a fitting step may see.
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 3000
+#: Labelled rows the network is fitted on at most, and bytes of their whole texts together: the driver holds that many.
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 24 << 20
 
 
 @dataclass
@@ -81,17 +82,12 @@ def chunk_pools(data: np.ndarray, offsets: np.ndarray, tables: np.ndarray) -> tu
 
 
 def fit(texts: list[str | None], labels: list[int], seed: int = 7, steps: int = 320, batch: int = 64, rate: float = 3e-3) -> Network:
-    """Adam on the log loss; the rarer label weighs as much as the other. Without both labels the score is their share."""
+    """Adam on the log loss over whole texts; the rarer label weighs as much as the other. Without both labels the score is their
+    share. A step's gradient goes through each unit's winning chunk of each text, found over all of its chunks."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float64)
     share = float(y.mean()) if len(y) else 0.5
-    raw = []
-    for text in texts:
-        b = (text or "").encode()
-        if len(b) > SAMPLE_BYTES:
-            at = int(rng.integers(0, len(b) - SAMPLE_BYTES + 1))
-            b = b[at : at + SAMPLE_BYTES]
-        raw.append(np.frombuffer(b, np.uint8))
+    raw = [np.frombuffer((text or "").encode(), np.uint8) for text in texts]
     pools = 3 * FILTERS
     net = Network(
         rng.normal(0, 0.5, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(pools, np.float32), np.ones(pools, np.float32),
@@ -121,8 +117,7 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7, steps: int =
             last[first + halves - 1] = True
             left = np.flatnonzero(~last)
             owner = np.repeat(np.arange(len(rows)), halves - 1)
-            top_at = r.argmax(1)
-            top, mean = np.take_along_axis(r, top_at[:, None], 1)[:, 0], r.mean(1)
+            top, mean = r.max(1), r.mean(1)
             right_wins = top[left + 1] > top[left]
             m = (mean[left] + mean[left + 1]) / 2
             z = (np.concatenate([np.maximum(top[left], top[left + 1]), m, m * m], 1) - net.centre) / net.scale
@@ -135,28 +130,33 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7, steps: int =
             d = (w * (p - y[rows]) / len(rows)).astype(np.float32)
             grad = {"out": best.T @ d + 1e-4 * net.out, "bias": float(d.sum())}
             is_best = (a == best[owner]) & (a > 0)
-            da = is_best * (d[:, None] * net.out)[owner]
-            grad["units"] = z.T @ da + 1e-4 * net.units
+            won = np.flatnonzero(is_best.any(1))
+            da = is_best[won] * (d[:, None] * net.out)[owner[won]]
+            grad["units"] = z[won].T @ da + 1e-4 * net.units
             grad["unit_bias"] = da.sum(0)
             dz = (da @ net.units.T) / net.scale
-            d_top, d_mean = dz[:, :FILTERS], (dz[:, FILTERS : 2 * FILTERS] + 2 * m * dz[:, 2 * FILTERS :]) / 2
-            per_half = np.zeros((len(r), FILTERS), np.float32)
-            np.add.at(per_half, left, d_mean)
-            np.add.at(per_half, left + 1, d_mean)
+            d_top, d_mean = dz[:, :FILTERS], (dz[:, FILTERS : 2 * FILTERS] + 2 * m[won] * dz[:, 2 * FILTERS :]) / 2
+            # Half chunks of winning chunks, and the gradient of each of their positions.
+            used, at = np.unique(np.concatenate([left[won], left[won] + 1]), return_inverse=True)
+            per_half = np.zeros((len(used), FILTERS), np.float32)
+            np.add.at(per_half, at, np.concatenate([d_mean, d_mean]))
             dr = np.repeat(per_half[:, None] / (HALF // STEP), HALF // STEP, 1)
+            seen = r[used]
+            top_at = seen.argmax(1)
             half, f = np.nonzero(d_top)
-            which = left[half] + right_wins[half, f]
+            which = np.searchsorted(used, left[won[half]] + right_wins[won[half], f])
             np.add.at(dr, (which, top_at[which, f], f), d_top[half, f])
-            dr *= r > 0
+            dr *= seen > 0
             flat = dr.reshape(-1, FILTERS)
             busy = np.flatnonzero(flat.any(1))
-            g = np.zeros_like(net.tables)
+            place = (used[:, None] * (HALF // STEP) + np.arange(HALF // STEP)).ravel()[busy] * STEP
+            flat, g = flat[busy], np.zeros_like(net.tables)
             for k in range(WIDTH):
-                by = padded[busy * STEP + k]
+                by = padded[place + k]
                 order = np.argsort(by, kind="stable")
                 own, begin = np.unique(by[order], return_index=True)
                 if len(own):
-                    g[k][own] = np.add.reduceat(flat[busy][order], begin)
+                    g[k][own] = np.add.reduceat(flat[order], begin)
             grad["tables"] = g + 1e-5 * net.tables
             step += 1
             for k, x in grad.items():
@@ -176,12 +176,23 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Network:
-    """Fits on at most sample_rows labelled rows that are not held out: those of the lowest hashes of their ids, so any
-    partitioning draws the same. Rows of no label or an unknown document are left out."""
-    known = labels.where(~held_out("doc_id") & F.col("quality").isin(0, 1)).select("doc_id", "quality").dropDuplicates(["doc_id"])
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").toPandas().sort_values(["doc_id"], kind="stable")
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Network:
+    """Fits on whole texts of labelled rows that are not held out: the sample_rows of the lowest hashes of their ids, so any
+    partitioning draws the same, and of these, in that order, those that fit into sample_bytes together. Rows of no label,
+    of labels that contradict each other or of an unknown document are left out; of rows that share an id the first text
+    counts; a null text is empty."""
+    usable = labels.where(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
+    agreed = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most").select("doc_id", "quality")
+    chosen = agreed.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(sample_rows)
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = stage(found.groupBy("doc_id", "quality", "rank").agg(F.min("text").alias("text")), "labelled")
+    kept, total = [], 0
+    for row in texts.select("doc_id", F.octet_length("text").alias("size")).orderBy("rank", "doc_id").collect():
+        if total + row["size"] <= sample_bytes:
+            kept.append((row["doc_id"],))
+            total += row["size"]
+    ids = docs.sparkSession.createDataFrame(kept, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
+    rows = texts.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", "quality").toPandas().sort_values("doc_id", kind="stable")
     return fit(rows["text"].tolist(), rows["quality"].tolist())
 
 
@@ -197,12 +208,20 @@ def score(net: Network):
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """docs with held_out, score (0 to 1) and predicted (1 if score >= threshold). Labels, lang, source and doc_id are no
-    inputs of the score; null and empty texts score alike; repeated rows score alike; an empty table gives no rows."""
+    """docs with held_out, score (0 to 1) and predicted (1 if score >= threshold); columns of these names are replaced. Labels,
+    lang, source and doc_id are no inputs of the score; null and empty texts score alike; a very long text is scored whole;
+    repeated rows score alike; an empty table gives no rows."""
     scored = docs.withColumn("score", score(train(docs, labels))("text"))
     return scored.withColumns({"held_out": held_out("doc_id"), "predicted": (F.col("score") >= threshold).cast("int")})
 
 
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """Rows of docs whose text scores at least the threshold, as they are, whatever their columns are called. Null and empty
+    texts are judged as empty; repeated rows stay or go together; an empty table stays empty."""
+    name = free_name(docs, "quality_score")
+    return docs.withColumn(name, score(train(docs, labels))("text")).where(F.col(name) >= threshold).select(*docs.columns)
+
+
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's columns of op5."""
     return classify(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import join_frequent, stage
+
 #: Header fields that a 304 response updates in a stored one.
 UPDATED_HEADERS = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
 #: Records per time slot, were they spread evenly.
@@ -87,9 +89,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     before = Window.partitionBy("url").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select("url", "slot", F.max("last").over(before).alias("carried"))
     found = own.join(carried, ["url", "slot"], "left").select("record_id", F.coalesce("found", "carried")["record_id"].alias("response_id"))
-    revisits = records.where("kind = 'revisit'").join(found, "record_id", "left")
+    revisits = records.where("kind = 'revisit'").join(stage(found, "found"), "record_id", "left")
     stored = records.where(is_response).select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"))
-    both = revisits.join(stored, "response_id", "left")
+    both = join_frequent(revisits, stored, "response_id")
     named = lambda c, name: F.try_element_at(F.coalesce(c, F.create_map().cast("map<string,string>")), F.lit(name))
     tags = [_weak(named(F.col(c), "etag")) for c in ("stored", "headers")]
     dates = [named(F.col(c), "last-modified") for c in ("stored", "headers")]

@@ -54,10 +54,12 @@ def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
 
 
 def join_frequent(rows: DataFrame, of_key: DataFrame, key: str) -> DataFrame:
-    """rows.join(of_key, key, "left") for any share of rows with one key. of_key has at most one row for a key. Its rows of frequent
-    keys, fewer than FREQUENT, are broadcast, so that rows of these keys stay where they are. rows is read three times."""
+    """rows.join(of_key, key, "left") for any share of rows with one key, or none. of_key has at most one row for a key. Its rows of
+    frequent keys, fewer than FREQUENT, are broadcast, so that rows of these keys stay where they are, as do rows of a null
+    key. rows is read several times."""
     total = rows.count()
     many = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > max(16, total // FREQUENT)).select(key)
     many = F.broadcast(stage(many, "frequent"))
     one = rows.join(many, key, "left_semi").join(F.broadcast(of_key.join(many, key, "left_semi")), key, "left")
-    return rows.join(many, key, "left_anti").join(of_key, key, "left").unionByName(one)
+    named = rows.where(F.col(key).isNotNull())
+    return named.join(many, key, "left_anti").join(of_key, key, "left").unionByName(one).unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
