@@ -1,7 +1,8 @@
 """Benchmark decontamination with a positional inverted index that is sharded by document.
 
-1. The words of a block of test items are its vocabulary; their hashes go to the tasks (a block has a bounded number of words).
-2. One pass over the training texts stores, shard by shard, the positions of the vocabulary's terms: `index`.
+1. Test items are taken in blocks of a bounded number of words. The words of some blocks, bounded in number too, are a
+   vocabulary, whose hashes go to the tasks.
+2. One pass over the training texts for each vocabulary stores, shard by shard, the positions of its terms: `index`.
 3. Document frequencies, summed over shards, order the terms of each test window from the rarest.
 4. Each shard intersects the posting lists, offset-adjusted, from the rarest term on: `search`. Rows never leave
    their shard, so a passage that a third of all documents hold makes no large group.
@@ -18,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import by_ids, free_name, stage
 from .words import ALNUM, chunks, utf8, words
 
-#: Words of test items that one block, and so one broadcast, holds.
-BLOCK_WORDS = 250_000
+#: Words of test items that one block, and so one broadcast, holds; distinct words of the blocks that one pass over the texts serves.
+BLOCK_WORDS, PASS_WORDS = 250_000, 2_000_000
 #: Words of training text in a shard.
 SHARD_WORDS = 2_000_000
 #: Candidates held at once while a shard is searched.
@@ -80,9 +81,29 @@ def blocks(items: DataFrame, window: int, most: int = BLOCK_WORDS) -> Iterator[B
     yield Block.of(held, window)
 
 
-def index(docs: DataFrame, block: Block, gap: int) -> DataFrame:
+def passes(items: DataFrame, window: int) -> Iterator[list[Block]]:
+    """Blocks that share a pass over the texts; their terms are numbers of one vocabulary."""
+
+    def merged(group: list[Block]) -> list[Block]:
+        known, at = np.unique(np.concatenate([b.vocabulary[0] for b in group]), return_index=True)
+        vocabulary = known, np.concatenate([b.vocabulary[1] for b in group])[at]
+        for b in group:
+            number = np.append(np.searchsorted(known, b.vocabulary[0]), -1)  # the last is what padding, -1, names
+            b.term, b.vocabulary = number[b.term].astype(np.int32), vocabulary
+        return group
+
+    held: list[Block] = []
+    for block in blocks(items, window):
+        if held and sum(len(b.vocabulary[0]) for b in [*held, block]) > PASS_WORDS:
+            yield merged(held)
+            held = []
+        held.append(block)
+    yield merged(held)
+
+
+def index(docs: DataFrame, vocabulary: tuple[np.ndarray, np.ndarray], gap: int) -> DataFrame:
     """One row per shard: its documents, where their positions begin, and the positions of each term. `gap` parts documents."""
-    known, second = block.vocabulary
+    known, second = vocabulary
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -210,16 +231,16 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, window: int = 13, slop:
     Null and empty texts have no words and no hits; items without words match nothing; repeated doc_ids keep a row each;
     an item_id of null is skipped; empty tables give no rows or no hits.
     """
-    held = blocks(items.where("item_id is not null"), window)
-    first, second = next(held), next(held, None)
-    if second is None:
-        return _block_matches(docs, first, window, slop)
-    # Each block makes its own pass, so rows need a name that all passes agree on.
+    groups = passes(items.where("item_id is not null"), window)
+    first, second = next(groups), next(groups, None)
+    if second is None and len(first) == 1:
+        return next(_block_matches(docs, first, window, slop))
+    # Each block has its own search, so rows need a name that all agree on.
     named = stage(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
     rows, found = named.select(F.col("row").alias("doc_id"), "text"), None
-    for block in chain([first, second], held):
-        one = _block_matches(rows, block, window, slop)
-        found = one if found is None else found.unionByName(one)
+    for group in chain([first], [second] if second else [], groups):
+        for one in _block_matches(rows, group, window, slop):
+            found = one if found is None else found.unionByName(one)
     merged = found.groupBy(F.col("doc_id").alias("row")).agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"),
@@ -230,9 +251,12 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, window: int = 13, slop:
     return named.select("row", "doc_id").join(merged, "row").select("doc_id", "n_words", disjoint.alias("runs"), "items", "near_items")
 
 
-def _block_matches(docs: DataFrame, block: Block, window: int, slop: int) -> DataFrame:
-    shards = stage(index(docs, block, gap=window + slop + 1), "postings")
-    return search(shards, block.order(document_frequencies(shards, len(block.vocabulary[0]))), slop)
+def _block_matches(docs: DataFrame, group: list[Block], window: int, slop: int) -> Iterator[DataFrame]:
+    """Matches of each block of a pass; the texts are read once."""
+    shards = stage(index(docs, group[0].vocabulary, gap=window + slop + 1), "postings")
+    df = document_frequencies(shards, len(group[0].vocabulary[0]))
+    for block in group:
+        yield search(shards, block.order(df), slop)
 
 
 def _join_runs(done, run):
@@ -252,6 +276,15 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, slop: int
     )
 
 
+def clean_documents(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
+    """Rows of docs that are not contaminated, as they are. The verdict is of a text, by 64 bits of its hash, so rows without an
+    id, and rows that share one, are judged by their own texts. Null and empty texts are clean; empty tables are kept."""
+    name = free_name(docs, "text_code")
+    coded = docs.withColumn(name, F.xxhash64("text"))
+    gone = contamination(coded.select(F.col(name).alias("doc_id"), "text"), items, window, 0, share).where("contaminated").select(F.col("doc_id").alias(name))
+    return by_ids(coded, gone, name, "left_anti").select(*docs.columns)
+
+
 def contamination_digest(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The contract's columns of op1."""
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
