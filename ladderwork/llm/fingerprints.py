@@ -30,8 +30,9 @@ SUBSETS = PER_DENSITY * len(DENSITIES)
 LEXICON_TERMS = 400_000
 #: A text with fewer terms of the lexicon, or with under one in so many of its terms there, is hashed over all of its terms.
 FEW, FEW_SHARE = 8, 8
-#: Ranges of ids within which the next document is found by a window.
-ID_RANGES = 128
+#: Bytes of text in a range of ids, within which the next document is found by a window, on average; and ranges at most, as the
+#: driver holds where they begin (16 bytes each).
+RANGE_BYTES, MOST_RANGES = 16 << 20, 1 << 16
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -120,21 +121,22 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str, known: DataFrame)
     return held.select(*keys, "own", F.when(F.col("band") == "=", F.concat(F.lit("="), "plain", F.lit(" "), "own")).otherwise(F.col("band")).alias("fingerprint"))
 
 
-def _ordered(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Rows with their range of ids and place in it. Ranges are cut at quantiles of the ids, so none is much larger than others."""
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / ID_RANGES for k in range(1, ID_RANGES)], 20_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-
-    def side(low: int, high: int) -> Column:
-        """Number of cuts at or below the id, by halving."""
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col("doc_id") < cuts[middle], side(low, middle)).otherwise(side(middle + 1, high))
-
-    named = docs.withColumn("span", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(side(0, len(cuts))) if cuts else F.lit(0))
-    place = Window.partitionBy("span").orderBy("doc_id", "text")
-    return named.withColumn("place", F.row_number().over(place)), len(cuts)
+def _ordered(docs: DataFrame) -> DataFrame:
+    """Rows with their range (span) of ids and place in it, by id and text. Ranges are as many as the texts need to be small;
+    where they begin is found over ids and the first characters of the texts alone, so rows of one id are parted, too."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = min(MOST_RANGES, max(16, -(-size // RANGE_BYTES)))
+    # Hexadecimal digits order as the bytes that they stand for.
+    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-(1 << 63))), "_head": F.hex(F.encode(F.substring("text", 1, 8), "UTF-8"))})
+    parts = keyed.select("_id", "_head").repartitionByRange(ranges, "_id", "_head").withColumn("part", F.spark_partition_id())
+    begins = sorted({tuple(r.begin) for r in parts.groupBy("part").agg(F.min(F.struct("_id", "_head")).alias("begin")).collect()})[1:]
+    ids, heads = (f"split('{','.join(str(x[k]) for x in begins)}', ',')" for k in (0, 1))
+    ids = f"cast({ids} as array<bigint>)"
+    halves = ", ".join(str(1 << k) for k in range(len(begins).bit_length() - 1, -1, -1))
+    passed = f"try_element_at({ids}, a + b) < _id or (try_element_at({ids}, a + b) = _id and try_element_at({heads}, a + b) <= _head)"
+    span = F.expr(f"aggregate(array({halves}), 0, (a, b) -> if({passed}, a + b, a))") if begins else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("span").orderBy("_id", "text"))
+    return keyed.withColumn("span", span).withColumn("place", place).drop("_id", "_head")
 
 
 def _with_next(rows: DataFrame, value: str, name: str, order: list[str]) -> DataFrame:
@@ -157,14 +159,13 @@ def fingerprint_report(docs: DataFrame, low: float = LOW, high: float = HIGH) ->
     """Fingerprints of texts and of their edited copies, with likenesses.
 
     docs: doc_id, text; other columns are ignored. The edited copy: the last floor(n_chars / 2) characters are replaced by
-    the first as many (or all) of the next document, by doc_id and text; after the last comes the first. Null is an empty
-    text; rows of a null doc_id come first; rows that repeat a doc_id are rows of their own; one row is its own next; an
-    empty table gives no rows. Equal texts have equal fingerprints.
+    the first as many (or all) of the next document, by doc_id and then text; after the last comes the first.
+    Null is an empty text; rows of a null doc_id come first; rows that repeat a doc_id are rows of their own; one row is its
+    own next; a very long text is one cell of one task; an empty table gives no rows. Equal texts have equal fingerprints.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = lexicon(docs, low, high)
-    placed, _ = _ordered(docs)
-    rows = _with_next(placed, "text", "next_text", ["place"])
+    rows = _with_next(_ordered(docs), "text", "next_text", ["place"])
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("n_chars", F.char_length("text").cast("bigint"))
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))
