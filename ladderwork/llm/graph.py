@@ -25,6 +25,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     # Edges are contracted in each task first: a task's edges become one per node, to the smallest node it is linked with.
     known = edges.where("src is not null and dst is not null").select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
     forward = stage(known.mapInArrow(_contract, "u bigint, v bigint"), "edges")
+    if forward.count() < CONTRACTED:
+        # What is left is bounded and contracted once more, in one task; that settles it.
+        forward = stage(forward.coalesce(1).mapInArrow(_contract, "u bigint, v bigint"), "edges")
+        return _labelled(forward.where("u <> v"), forward.where("u = v").select(F.col("u").alias("node")))
     alone = forward.where("u = v").select(F.col("u").alias("node")).distinct()
     current = stage(forward.where("u <> v").distinct(), "edges")
     while not _settled(current):
@@ -37,8 +41,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         current = stage(small, "edges")
-    found = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    rest = current.select(F.col("v").alias("node")).unionByName(alone).distinct().join(found, "node", "left_anti")
+    return _labelled(current, alone)
+
+
+def _labelled(stars_: DataFrame, alone: DataFrame) -> DataFrame:
+    """node, root of edges to roots and of nodes without edges, which may be roots too."""
+    found = stars_.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    rest = stars_.select(F.col("v").alias("node")).unionByName(alone).distinct().join(found, "node", "left_anti")
     return found.unionByName(rest.select("node", F.col("node").alias("root")))
 
 

@@ -1,19 +1,25 @@
 """N-gram Jaccard join with count vectors and R-trees.
 
-A document's shingles are hashed into groups. Two facts about groups do the work:
-
-* Lossless candidates. If two sets differ in at most D shingles and their shingles are dealt to more than D groups, some
-  group has the same shingles in both. So sets that agree on a whole group, for a number of groups that their sizes fix,
-  are candidates; all others are apart. Agreeing sets are chained (not paired), which gives candidate components. Groups
-  are dealt by a seed, and linked sets agree under every seed: chance components (texts that share a frequent line) are
-  keyed again under other seeds until they fall apart no further.
-* Bounds. A vector of group counts is a point; the summed minima of two points bound the shared shingles. Inside a
-  component an R-tree of these points, with nested boxes, drops far boxes and points, and surviving pairs are verified on
-  their shingles.
+* Lossless candidates. A set's shingles are hashed into groups. If two sets differ in at most D shingles and there are more
+  than D groups, some group has the same shingles in both; if one of them has more than D strong groups, some strong group
+  has. A group is strong when it holds two shingles or more, not all of them frequent ones: chance hardly makes two of these
+  equal. So a set's keys are its strong groups, or where those are too few all of its groups, for a number of groups that
+  its size fixes. Sets that share a key are chained (not paired), which gives candidate components; all others are apart.
+  Groups are dealt by a seed, and linked sets share a key under every seed, so a component is keyed again, by its own
+  frequencies and another seed, until it falls apart no further.
+* Prefixes. A task that has a whole component knows all of its frequencies. Ordered by these, rare ones first, linked sets
+  share one of the shingles that each may lack and one more, so there sets are chained by these, again until the component
+  falls apart no further.
+* Bounds. The vector of a set's counts in some groups is a point, and the summed minima of two points bound the shared
+  shingles. Inside a component an R-tree of these points, with nested boxes, drops far boxes and
+  points, and surviving pairs are verified on their shingles.
 
 A vector alone bounds random texts well but in many dimensions boxes overlap, so an R-tree over the whole corpus would
 compare nearly all pairs; the candidate step is what keeps the work in proportion to the corpus.
 
+Frequencies are counted over all texts: each task counts what it holds at a time, and shingles that it has more than once
+are summed over tasks. They tell which keys serve, not which sets link; results are the same for any frequencies.
+
 A key is 10 bytes: what is left of its hash beside its range, and a short code of its set. A task chains the sets that share
 a key before it sends one of them on, so a key that a third of all sets hold is one entry per batch of a task.
 
@@ -26,7 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import count as numbers
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .graph import connected_components, stars
 from .shared import by_ids, join_frequent, stage
-from .words import SPACED_LOWER, U64, chunks, mix, utf8, words
+from .words import SPACED_LOWER, U64, chunks, mix, release_memory, utf8, words
 
 #: Least and most dimensions of a tree's count vectors (one for PER_GROUP shingles of its middle set); entries of a tree's node.
 GROUPS, MOST_GROUPS, PER_GROUP, LEAF = 64, 1024, 8, 16
@@ -43,10 +49,16 @@ GROUPS, MOST_GROUPS, PER_GROUP, LEAF = 64, 1024, 8, 16
 LOCAL, PART = 12_000_000, 1024
 #: Shingles of small components that share a task's group.
 BUNDLE = 2_000_000
+#: Shingles that a task counts at once; the most frequent ones, which all tasks know (8 bytes each), and sets that hold one at least.
+COUNTED, KNOWN, FREQUENT_FROM = 4_000_000, 500_000, 6
+#: Groups beyond those that may differ, so that strong ones are more than those.
+SPARE = 1.12
 #: Keys that a task gathers before it sends them, and keys a range receives on average.
 SEND_KEYS, RANGE_KEYS = 400_000, 1_500_000
-#: Sets of a component from which on a task keys it again under other seeds; share of its weight that a large one must lose to go on.
+#: Sets of a component from which on it is keyed again; share of its weight that must fall off for that to go on.
 KEYED_AGAIN, SHRUNK = 24, 0.1
+#: Cells in which a task counts a component's shingles. Those that share a cell count together: any order will do.
+TALLY = 1 << 22
 #: Bits of a set's name in the candidate graph. Names that collide only join candidates, which are then verified.
 CODE = (1 << 48) - 1
 
@@ -61,6 +73,10 @@ class Threshold:
         """Shared shingles that sets of together `total` need at least."""
         return -(-self.num * total // (self.num + self.den))
 
+    def prefix(self, n: int) -> int:
+        """Length of the prefix of a set of n: a linked set shares at least the rest and one more."""
+        return n + 1 - -(-self.num * n // self.den)
+
     @lru_cache(maxsize=None)  # noqa: B019
     def band(self, n: int) -> int:
         """Sizes fall into bands so that linked sets are in the same or in neighbouring bands."""
@@ -75,30 +91,17 @@ class Threshold:
 
     @lru_cache(maxsize=None)  # noqa: B019
     def groups(self, band: int) -> tuple[int, int]:
-        """(groups, empty groups from which on a set also sends the key of sparse sets) for pairs whose smaller set is in the band."""
+        """(groups, groups that may differ) for pairs whose smaller set is in the band."""
         self.starts(1)
         while len(self._starts) < band + 4:
             self.starts(self._starts[-1])
         first, largest = self._starts[band], self._starts[band + 2] - 1
-        most = self._starts[band + 1] - 1 + largest
-        differ = most * (self.den - self.num) // (self.den + self.num)
-        # With enough spare groups hardly any set has so many empty ones that its key of sparse sets is needed.
-        spare = 0
-        while differ and spare <= differ + 8:
-            k = differ + 1 + spare
-            mean = k * np.exp(-first / k)
-            if mean > 30:
-                rare = spare > mean + 3 * np.sqrt(mean)
-            else:
-                term = tail = np.exp(-mean)
-                for e in range(1, spare + 1):
-                    term *= mean / e
-                    tail += term
-                rare = 1 - tail < 1e-3
-            if rare:
+        differ = (self._starts[band + 1] - 1 + largest) * (self.den - self.num) // (self.den + self.num)
+        for more in np.arange(1, 2.5, 0.1):
+            mean = first / (more * (differ + 1))
+            if more * (1 - np.exp(-mean) * (1 + mean)) >= SPARE:
                 break
-            spare += 1
-        return differ + 1 + spare, 1 + spare
+        return int(np.ceil(more * (differ + 1))) if differ else 1, differ
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -127,25 +130,34 @@ def set_id(shingles: np.ndarray) -> int:
     return int(mix((mix(shingles ^ U64(0x1234567))).sum(keepdims=True) + U64(len(shingles))).view(np.int64)[0]) if len(shingles) else 0
 
 
-def keys_of(shingles: np.ndarray, threshold: Threshold, seed: int = 0) -> np.ndarray:
-    """Keys of which linked sets share one, whatever the seed."""
+def keys_of(shingles: np.ndarray, frequent: np.ndarray, threshold: Threshold, seed: int = 0) -> np.ndarray:
+    """Keys of which linked sets share one, whatever the seed and whichever shingles are frequent."""
     own = threshold.band(len(shingles))
     spread, content, out = mix(shingles ^ U64(0x77 + (seed << 20))), mix(shingles ^ U64(0x99)), []
     for band in (own, own - 1):
         if band < 0:
             continue
-        k, sparse_from = threshold.groups(band)
+        k, differ = threshold.groups(band)
         g = (spread % U64(k)).astype(np.int64)
         total = np.zeros(k, U64)
         np.add.at(total, g, content)
-        filled = np.bincount(g, minlength=k) > 0
-        names = (np.flatnonzero(filled).astype(U64) << U64(16)) | U64(band)
-        out.append(mix(total[filled] ^ mix(names)))
-        if k - int(filled.sum()) >= sparse_from:
-            out.append(mix(np.array([(1 << 60) | band], U64)))
+        size = np.bincount(g, minlength=k)
+        used = (size > 1) & (np.bincount(g[~frequent], minlength=k) > 0)
+        if used.sum() <= differ:
+            used = size > 0
+            if used.sum() <= differ:  # the groups that agree may all be empty
+                out.append(mix(np.array([(1 << 60) | band], U64)))
+        names = (np.flatnonzero(used).astype(U64) << U64(16)) | U64(band)
+        out.append(mix(total[used] ^ mix(names)))
     return np.concatenate(out)
 
 
+def rarest(shingles: np.ndarray, counts: np.ndarray, threshold: Threshold) -> np.ndarray:
+    """The prefix of a set in the order of counts, rare ones first: linked sets share a shingle of both prefixes, in any order
+    that both go by."""
+    return shingles[np.lexsort((shingles, counts))[: threshold.prefix(len(shingles))]]
+
+
 def _chained(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(numbers of entries that go on, chain edges): of the entries of a key one goes on, and the others' names are joined to its."""
     order = np.lexsort((names, keys))
@@ -174,31 +186,121 @@ def _joined(part: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return to[part]
 
 
-SENT = "range int, docs binary, sizes binary, sids binary, edges binary, keys binary"
+READ = "docs binary, sizes binary, sids binary, shingles binary, counts binary"
+SENT = "range int, keys binary, edges binary"
 ABOUT = "doc_id bigint, n_shingles bigint, sid bigint"
 EDGES = "src bigint, dst bigint"
 
 
-def _sent(**columns: list) -> pa.RecordBatch:
+def _rows(schema: str, **columns: list) -> pa.RecordBatch:
+    fields = [c.split() for c in schema.split(", ")]
     n = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([pa.array(columns.get(c.split()[0], [None] * n), pa.int32() if c.endswith("int") else pa.binary()) for c in SENT.split(", ")], names=[c.split()[0] for c in SENT.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * n), pa.int32() if kind == "int" else pa.binary()) for c, kind in fields], names=[c for c, _ in fields])
+
+
+def _salted(shingles: np.ndarray, component: int) -> np.ndarray:
+    """Shingles as they are named inside a component; sets of different components share none. 0 is no component."""
+    return mix(shingles ^ mix(np.array([component], np.int64).view(U64))) if component else shingles
+
 
+def read_sets(texts: DataFrame, size: int) -> DataFrame:
+    """texts (doc_id, text, component) as written rows of READ: documents with the names of their sets (docs, sizes, sids), and
+    shingles (in their components) that a task has met in more sets than one, with how many (shingles, counts)."""
 
-def send_keys(texts: DataFrame, size: int, threshold: Threshold, ranges: int, seed: int = 0) -> DataFrame:
-    """texts (doc_id, text, component) as rows of SENT: documents with the names of their sets (docs, sizes, sids), chain edges
-    of sets that share a key in a task (edges), and for each range its keys with the codes of their sets (keys). Sets of
-    different components share no key."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        seen: set[tuple[int, int]] = set()
+        n_held = 0
+
+        def flush() -> pa.RecordBatch:
+            value, n = np.unique(np.concatenate(held), return_counts=True)
+            return _rows(READ, shingles=[value[n > 1].tobytes()], counts=[n[n > 1].tobytes()])
+
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            components = batch.column(2).to_pylist()
+            for i, j in chunks(offsets):
+                sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
+                ids = np.array([set_id(s) for s in sets], np.int64)
+                docs = batch.column(0).slice(i, j - i)
+                # A size below zero marks a document without an id.
+                about = np.array([len(s) for s in sets], np.int64)
+                about[np.array(docs.is_null(), bool)] ^= -1
+                yield _rows(READ, docs=[docs.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()], sizes=[about.tobytes()], sids=[ids.tobytes()])
+                for c, s, sid in zip(components[i:j], sets, ids.tolist()):
+                    if len(s) and (c, sid) not in seen:
+                        seen.add((c, sid))
+                        held.append(_salted(s, c))
+                        n_held += len(s)
+                if n_held >= COUNTED:
+                    yield flush()
+                    held.clear()
+                    seen.clear()
+                    n_held = 0
+                    release_memory()
+        if held:
+            yield flush()
+        held.clear()
+        release_memory()
+
+    return stage(texts.mapInArrow(read, READ), "sets")
+
+
+def documents_of(read: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and sid of each document."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, sizes, sids in zip(*(c.to_pylist() for c in batch.columns)):
+                n = np.frombuffer(sizes, np.int64)
+                columns = [pa.array(np.frombuffer(docs, np.int64), mask=n < 0), pa.array(np.where(n < 0, n ^ -1, n)), pa.array(np.frombuffer(sids, np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "sid"])
+
+    return read.where("docs is not null").select("docs", "sizes", "sids").mapInArrow(unpack, ABOUT)
+
+
+def frequent_shingles(read: DataFrame) -> np.ndarray:
+    """The KNOWN most frequent shingles, sorted."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shingles, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(shingles, np.int64)), pa.array(np.frombuffer(counts, np.int64))], names=["shingle", "n"])
+
+    met = read.where("shingles is not null").select("shingles", "counts").mapInArrow(unpack, "shingle bigint, n bigint")
+    found = met.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
+    found = stage(found.select("shingle", F.floor(F.log2("n") * 4).cast("int").alias("level")), "frequent_shingles")
+    least, total = 1 << 30, 0
+    for level, n in sorted(map(tuple, found.groupBy("level").agg(F.count("*")).collect()), reverse=True):
+        total += n
+        if total > KNOWN:
+            break
+        least = level
+    rows = found.where(F.col("level") >= least).select("shingle").toPandas()
+    return np.sort(rows["shingle"].to_numpy(np.int64).view(U64))
+
+
+def _among(shingles: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(shingles), bool)
+    return known[np.minimum(np.searchsorted(known, shingles), len(known) - 1)] == shingles
+
+
+def send_keys(texts: DataFrame, known: np.ndarray, size: int, threshold: Threshold, ranges: int, seed: int = 0) -> DataFrame:
+    """texts (text, component) as rows of SENT: for each range the keys of sets with the codes of these (keys), and chain edges of
+    sets that share a key in a task (edges, to any range). Sets of different components share no key. known: frequent
+    shingles."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], np.ndarray] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: set[tuple[int, int]] = set()
         n_keys = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys = np.concatenate([k for k in held.values()])
-            codes = np.repeat(np.array([sid & CODE for _, sid in held], np.int64), [len(k) for k in held.values()])
+            keys, codes = (np.concatenate(x) for x in zip(*held))
             on, edges = _chained(keys, codes)
             if len(edges):
-                yield _sent(edges=[np.ascontiguousarray(stars(edges)).tobytes()])
+                yield _rows(SENT, range=[int(edges[0, 0]) % ranges], edges=[np.ascontiguousarray(stars(edges)).tobytes()])
             keys, codes = keys[on], codes[on]
             r = (keys % U64(ranges)).astype(np.int64)
             # 32 bits beside the range: an equal key by chance only makes a candidate that is then checked.
@@ -209,68 +311,49 @@ def send_keys(texts: DataFrame, size: int, threshold: Threshold, ranges: int, se
             some = np.flatnonzero(np.diff(bounds))
             for k in range(0, len(some), 64):
                 own = some[k : k + 64].tolist()
-                yield _sent(range=own, keys=[np.ascontiguousarray(entry[order[bounds[x] : bounds[x + 1]]]).tobytes() for x in own])
+                yield _rows(SENT, range=own, keys=[np.ascontiguousarray(entry[order[bounds[x] : bounds[x + 1]]]).tobytes() for x in own])
 
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            components = batch.column(2).to_numpy(zero_copy_only=False)
+            data, offsets = utf8(batch.column(0))
+            components = batch.column(1).to_pylist()
             for i, j in chunks(offsets):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
                 ids = np.array([set_id(s) for s in sets], np.int64)
-                docs = batch.column(0).slice(i, j - i)
-                # A size below zero marks a document without an id.
-                about = np.array([len(s) for s in sets], np.int64)
-                about[np.array(docs.is_null(), bool)] ^= -1
-                yield _sent(docs=[docs.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()], sizes=[about.tobytes()], sids=[ids.tobytes()])
-                for s, sid, c in zip(sets, ids.tolist(), components[i:j].tolist()):
-                    if len(s) and (c, sid) not in held:
-                        keys = keys_of(s, threshold, seed)
-                        held[c, sid] = mix(keys ^ mix(np.array([c], np.int64).view(U64))) if c else keys
+                for s, sid, c in zip(sets, ids.tolist(), components[i:j]):
+                    if len(s) and (c, sid) not in seen:
+                        seen.add((c, sid))
+                        own = _salted(s, c)
+                        keys = keys_of(own, _among(own, known), threshold, seed)
+                        held.append((keys, np.full(len(keys), sid & CODE, np.int64)))
                         n_keys += len(keys)
                 if n_keys >= SEND_KEYS:
                     yield from flush()
-                    held, n_keys = {}, 0
-                    pa.default_memory_pool().release_unused()
+                    n_keys = 0
+                    held.clear()
+                    seen.clear()
+                    release_memory()
         if held:
             yield from flush()
+        held.clear()
+        release_memory()
 
-    return texts.mapInArrow(send, SENT)
-
-
-def documents_of(sent: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and sid of each document."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for docs, sizes, sids in zip(*(c.to_pylist() for c in batch.columns)):
-                n = np.frombuffer(sizes, np.int64)
-                columns = [pa.array(np.frombuffer(docs, np.int64), mask=n < 0), pa.array(np.where(n < 0, n ^ -1, n)), pa.array(np.frombuffer(sids, np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "sid"])
-
-    return sent.where("docs is not null").select("docs", "sizes", "sids").mapInArrow(unpack, ABOUT)
+    return texts.select("text", "component").mapInArrow(send, SENT)
 
 
 def candidate_components(sent: DataFrame) -> DataFrame:
     """code, root for the codes of all sets that share a key with another."""
 
-    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for edges in batch.column(0).to_pylist():
-                own = np.frombuffer(edges, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1])], names=["src", "dst"])
-
     def chain(key: tuple, rows: pa.Table) -> pa.Table:
-        entry = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 10) for x in rows.column("keys").to_pylist()])
+        entry = np.concatenate([np.frombuffer(x or b"", np.uint8).reshape(-1, 10) for x in rows.column("keys").to_pylist()])
         wide = np.zeros((len(entry), 8), np.uint8)
         wide[:, :6] = entry[:, 4:]
         _, edges = _chained(np.ascontiguousarray(entry[:, :4]).view("<u4").ravel(), wide.view("<i8").ravel())
+        edges = np.concatenate([edges, *(np.frombuffer(x or b"", np.int64).reshape(-1, 2) for x in rows.column("edges").to_pylist())])
         edges = stars(edges) if len(edges) else edges
-        pa.default_memory_pool().release_unused()
+        release_memory()
         return pa.table([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["src", "dst"])
 
-    within = sent.where("edges is not null").select("edges").mapInArrow(chained, EDGES)
-    across = sent.where("keys is not null").select("range", "keys").groupBy("range").applyInArrow(chain, EDGES)
-    return connected_components(within.unionByName(across)).withColumnRenamed("node", "code")
+    return connected_components(sent.groupBy("range").applyInArrow(chain, EDGES)).withColumnRenamed("node", "code")
 
 
 class Tree:
@@ -295,26 +378,30 @@ class Tree:
     def point(self, shingles: np.ndarray) -> np.ndarray:
         return np.bincount((shingles >> U64(33)).astype(np.int64) % self.groups, minlength=self.groups).astype(np.int32)
 
-    def near(self, shingles: np.ndarray, skip: np.ndarray | None = None) -> np.ndarray:
-        """Numbers of the sets that link with these shingles, but for those in skip."""
+    def near(self, shingles: np.ndarray, part: np.ndarray | None = None, own: int = -1) -> np.ndarray:
+        """Numbers of the sets that link with these shingles; given the sets' parts, at most one of each part, and none of part own."""
         point, n = self.point(shingles), len(shingles)
         box = np.arange(len(self.levels[-1][0]))
         for level in range(len(self.levels) - 1, -1, -1):
             top, least, most = self.levels[level]
-            if level == 0 and skip is not None:
-                box = box[~skip[self.order[box]]]
+            if level == 0 and part is not None:
+                box = box[part[self.order[box]] != own]
             need = self.threshold.least_shared(n + least[box])
             box = box[np.minimum(most[box], n) >= need]
             box = box[np.minimum(top[box], point).sum(1) >= self.threshold.least_shared(n + least[box])]
             if level:
                 box = (box[:, None] * LEAF + np.arange(LEAF)).ravel()
                 box = box[box < len(self.levels[level - 1][0])]
-        out = []
+        out, met = [], set()
         for k in self.order[box].tolist():
+            if part is not None and part[k] in met:
+                continue
             other = self.sets[k]
             where = np.minimum(np.searchsorted(other, shingles), len(other) - 1)
             if int((other[where] == shingles).sum()) >= self.threshold.least_shared(n + len(other)):
                 out.append(k)
+                if part is not None:
+                    met.add(part[k])
         return np.array(out, np.int64)
 
 
@@ -346,24 +433,27 @@ class Forest:
 
 def resolve(sets: list[np.ndarray], threshold: Threshold) -> np.ndarray:
     """Part of each set (number of its first set) when linked sets are joined. Exact: every pair of different parts has been
-    told apart by the keys of a seed, bounded or verified."""
+    told apart by prefixes, bounded or verified."""
     part = np.arange(len(sets))
-    left = [(part, 1)]
+    left = [part]
     while left:
-        own, seed = left.pop()
+        own = left.pop()
         if len(own) < KEYED_AGAIN:
             part[own] = own[_searched([sets[k] for k in own], threshold)]
             continue
-        keys = [keys_of(sets[k], threshold, seed) for k in own]
+        tally = np.zeros(TALLY, np.int32)
+        for k in own:
+            np.add.at(tally, sets[k] % U64(TALLY), 1)
+        keys = [rarest(sets[k], tally[sets[k] % U64(TALLY)], threshold) for k in own]
         _, edges = _chained(np.concatenate(keys), np.repeat(np.arange(len(own)), [len(k) for k in keys]))
+        del tally, keys
         label = _joined(np.arange(len(own)), edges[:, 0], edges[:, 1])
         order = np.argsort(label, kind="stable")
-        pieces = np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
-        for piece in pieces:
+        for piece in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
             if len(piece) > (1 - SHRUNK) * len(own):
                 part[own[piece]] = own[piece][_searched([sets[k] for k in own[piece]], threshold)]
             elif len(piece) > 1:
-                left.append((own[piece], seed + 1))
+                left.append(own[piece])
     return part
 
 
@@ -380,7 +470,7 @@ def _searched(sets: list[np.ndarray], threshold: Threshold) -> np.ndarray:
                 continue
             visited[k] = True
             part = forest.roots()
-            forest.join(k, tree.near(sets[k], part == part[k]))
+            forest.join(k, tree.near(sets[k], part, part[k]))
         part = forest.roots()
         own, size = np.unique(part, return_counts=True)
         rest = np.flatnonzero((part != own[size.argmax()]) & ~visited)
@@ -403,9 +493,9 @@ def _with_sizes(members: DataFrame) -> DataFrame:
     return join_frequent(members.drop("sets", "weight"), sizes, "component")
 
 
-def _local_links(members: DataFrame, size: int, threshold: Threshold) -> DataFrame:
+def _local_links(members: DataFrame, total: int, size: int, threshold: Threshold) -> DataFrame:
     """Links (set id, id of the first set of its part) of components of bounded size. A large one is a task's group of its own;
-    small ones share groups of about BUNDLE shingles."""
+    small ones share groups of about BUNDLE shingles. total: shingles of all."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         ids, component = rows.column("sid").to_numpy(), rows.column("component").to_numpy()
@@ -416,12 +506,11 @@ def _local_links(members: DataFrame, size: int, threshold: Threshold) -> DataFra
             part = resolve(_words_of(rows.column("text").take(pa.array(at[first])), size), threshold)
             src.append(own[part])
             dst.append(own)
-        pa.default_memory_pool().release_unused()
+        release_memory()
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pa.table([pa.array(join(src)), pa.array(join(dst))], names=["src", "dst"])
 
-    total = members.where(F.col("weight") <= BUNDLE).agg(F.sum("n")).first()[0] or 0
-    bundles = max(64, -(-int(total) // BUNDLE))
+    bundles = max(64, -(-total // BUNDLE))
     alone = F.col("weight") > BUNDLE
     bundle = F.when(alone, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(bundles)))
     return members.select("component", "sid", "text", alone.alias("alone"), bundle.alias("bundle")).groupBy("alone", "bundle").applyInArrow(run, LINKS)
@@ -465,7 +554,7 @@ def _large_links(members: DataFrame, size: int, threshold: Threshold, first_pivo
     spread = [F.xxhash64("sid"), F.col("sid")]
     links = visited = None
     pivots = _first_of_each(members, spread, first_pivots)
-    for turn in count():
+    for turn in numbers():
         pivots = stage(pivots, "pivots")
         n_pivots = pivots.count()
         if not n_pivots:
@@ -493,17 +582,18 @@ def _ranges(bytes_of_text: int, threshold: Threshold) -> int:
 
 
 def _keyed_again(large: DataFrame, size: int, threshold: Threshold, local: int) -> tuple[list[DataFrame], DataFrame | None]:
-    """Members of components beyond `local`, keyed under further seeds: (those whose component is small by then, those of
-    components that keys split no further)."""
+    """Members of components beyond `local`, keyed again by another seed and the frequencies inside each: (those whose component is small by
+    then, those of components that fall apart no further)."""
     done: list[DataFrame] = []
-    for seed in count(1):
+    for seed in numbers(1):
         weight, size_of_text = large.agg(F.sum("n"), F.sum(F.octet_length("text"))).first()
         if not weight:
             return done, None
-        sent = stage(send_keys(large.select(F.lit(0).cast("bigint").alias("doc_id"), "text", "component"), size, threshold, _ranges(size_of_text, threshold), seed), "keys")
-        roots = candidate_components(sent)
-        parted = large.drop("component").withColumn("code", F.col("sid").bitwiseAND(F.lit(CODE))).join(roots, "code").withColumn("component", F.col("root")).select("component", "sid", "n", "text")
-        parted = stage(_with_sizes(stage(parted, "members")), "members")
+        texts = large.select(F.lit(0).cast("bigint").alias("doc_id"), "text", "component")
+        roots = candidate_components(send_keys(texts, frequent_shingles(read_sets(texts, size)), size, threshold, _ranges(size_of_text, threshold), seed))
+        coded = large.select("sid", "n", F.col("sid").bitwiseAND(F.lit(CODE)).alias("code")).join(roots, "code").select("sid", "n", F.col("root").alias("component"))
+        named = _with_sizes(stage(coded, "candidates"))
+        parted = stage(large.select("sid", "text").join(named, "sid").select("component", "sets", "weight", "sid", "n", "text"), "members")
         done.append(parted.where(F.col("weight") <= local))
         large = parted.where(F.col("weight") > local)
         if (large.agg(F.sum("n")).first()[0] or 0) > (1 - SHRUNK) * weight:
@@ -523,8 +613,10 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     threshold = Threshold(num, den)
     docs = docs.select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sent = stage(send_keys(docs.withColumn("component", F.lit(0).cast("bigint")), size, threshold, _ranges(total, threshold)), "keys")
-    about = stage(documents_of(sent), "documents")
+    texts = docs.withColumn("component", F.lit(0).cast("bigint"))
+    read = read_sets(texts, size)
+    about = stage(documents_of(read), "documents")
+    sent = send_keys(texts, frequent_shingles(read), size, threshold, _ranges(total, threshold))
     first = about.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"))
     named = first.withColumn("code", F.col("sid").bitwiseAND(F.lit(CODE))).join(candidate_components(sent), "code").select("sid", "doc_id", "n", F.col("root").alias("component"))
     named = stage(_with_sizes(stage(named, "candidates")), "candidates")
@@ -542,8 +634,8 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     if not named.where("doc_id is null").isEmpty():
         texts = docs.where("doc_id is null").mapInArrow(sid_of, made).groupBy("sid").agg(F.first("text").alias("text"))
         members = members.unionByName(texts.join(named.where("doc_id is null"), "sid").select(*kept))
-    small = [members.where(F.col("weight") <= local)]
-    links = None
+    small, links = [members.where(F.col("weight") <= local)], None
+    total = int(named.agg(F.sum("n")).first()[0] or 0)
     if not named.where(F.col("weight") > local).isEmpty():
         large = stage(members.where(F.col("weight") > local).dropDuplicates(["component", "sid"]).select("component", "sid", "n", "text"), "members")
         done, rest = _keyed_again(large, size, threshold, local)
@@ -551,7 +643,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
         if rest is not None:
             links = _large_links(rest, size, threshold)
     for part in small:
-        found = _local_links(part, size, threshold)
+        found = _local_links(part, total, size, threshold)
         links = found if links is None else links.unionByName(found)
     roots = stage(connected_components(links).withColumnRenamed("node", "sid"), "roots")
     # Each set that links or has copies gets its component's smallest id; the root and a set with many copies are keys of many rows.

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import U64, Words, byte_classes, chunks, utf8
+from .words import U64, Words, byte_classes, chunks, release_memory, utf8
 
 MARK = "▁".encode()
 UNKNOWN_COST = 10.0
@@ -310,7 +310,7 @@ def encoder(pieces: list[tuple[bytes, float, str]]):
     def encode_pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             yield _encoded(_built(Automaton, pieces), column)
-            pa.default_memory_pool().release_unused()
+            release_memory()
 
     return encode_pieces
 
@@ -335,7 +335,7 @@ def both_ways(pieces: list[tuple[bytes, float, str]]):
         for column in batches:
             ids = _encoded(_built(Automaton, pieces), column)
             yield pa.StructArray.from_arrays([ids, _decoded(_built(Vocabulary, pieces), ids)], fields=list(kind))
-            pa.default_memory_pool().release_unused()
+            release_memory()
 
     return encode_and_decode
 

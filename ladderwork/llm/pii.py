@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import free_name
+from .words import release_memory
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -232,6 +233,8 @@ def _scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             name = lambda spans: [{"kind": KINDS[k], "start": s, "end": e} for k, s, e in sorted(spans)]
             rows.append({"base": name(base), "added": name(added), "spans": _joined(base + added), "base_spans": _joined(base), "redacted": redact(text, base + added) if base or added else text})
         yield pa.array(rows, made)
+        rows.clear()
+        release_memory()
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

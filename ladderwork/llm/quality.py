@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import free_name, stage
-from .words import chunks, utf8
+from .words import chunks, release_memory, utf8
 
 WIDTH, STEP, FILTERS, UNITS, CHUNK = 6, 2, 16, 24, 256
 HALF = CHUNK // 2
@@ -203,6 +203,7 @@ def score(net: Network):
     def quality_score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             yield pa.array(net.scores(*utf8(column)), pa.float64())
+            release_memory()
 
     return quality_score
 

@@ -6,7 +6,7 @@ import brute
 import pytest
 
 from ladderwork.llm.graph import connected_components
-from ladderwork.llm.jaccard import Threshold, distinct_documents, jaccard_components, keys_of, shingle_sets
+from ladderwork.llm.jaccard import Threshold, distinct_documents, jaccard_components, keys_of, rarest, shingle_sets
 from ladderwork.llm.substrings import deduplicated, deduplicated_digest, pack, unpack
 
 
@@ -118,15 +118,19 @@ def test_linked_sets_share_a_key():
         threshold = Threshold(num, 100)
         for _ in range(300):
             n = int(rng.integers(1, 400))
-            own = rng.integers(0, 2**63, n).astype(np.uint64)
-            total = 2 * n
-            while total > 0 and rng.random() < 0.97:  # drop as many as the threshold allows
-                total -= 1
-                if total - n < threshold.least_shared(total):
-                    total += 1
+            own = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            other, n = own, len(own)
+            while rng.random() < 0.97:  # drop as many, and replace as many, as the threshold allows
+                less = other[:-1] if rng.random() < 0.5 else np.append(other[:-1], rng.integers(0, 2**63, 1).astype(np.uint64))
+                shared = len(np.intersect1d(own, less))
+                if not shared or 100 * shared < num * (n + len(less) - shared):
                     break
-            other = own[: total - n]
-            assert np.intersect1d(keys_of(np.unique(own), threshold), keys_of(np.unique(other), threshold)).size
+                other = np.unique(less)
+            common = rng.integers(0, 2**63, 1).astype(np.uint64)[0] % np.uint64(4)  # any choice of frequent shingles
+            one, two = (keys_of(x, x % np.uint64(4) <= common, threshold, n % 3) for x in (own, other))
+            assert np.intersect1d(one, two).size
+            counts = [(x % np.uint64(7)).astype(int) for x in (own, other)]  # any order
+            assert np.intersect1d(rarest(own, counts[0], threshold), rarest(other, counts[1], threshold)).size
 
 
 def test_components(spark):
