@@ -486,7 +486,7 @@ ORACLE_SQL["explode_nodes"] = with_derived("fx_nodes", "select problem_id, pos,
 
 def _search(spark: SparkSession, d: str) -> DataFrame:
     asked = derived(spark, d, "fx_problems").select(F.col("source_index").alias("problem_id"), "answer")
-    nodes, events = search.replay_search(asked, derived(spark, d, "fx_completions"), scratch(spark, "search"))
+    nodes, events = search.replay_search(asked, derived(spark, d, "fx_completions"), scratch(spark, "search"), search.SearchSettings(simulations=2))
     kinds = [F.count_if(F.col("event_type") == f"{k}_backup").alias(f"n_{k}_backups") for k in ("terminal", "dead_end", "expand")]
     return nodes.join(events.groupBy("problem_id").agg(*kinds), "problem_id", "left").drop("prefix_text")
 
