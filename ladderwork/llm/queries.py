@@ -9,6 +9,7 @@ from .decontamination import contamination_digest
 from .fingerprints import fingerprint_report
 from .jaccard import jaccard_components
 from .licenses import license_matches
+from .periods import run_digest
 from .pieces import round_trip
 from .pii import personal_data_digest
 from .quality import quality_digest
@@ -30,6 +31,7 @@ QUERIES = {
     "op8_revisits": lambda spark, d: revisit_report(table(spark, d, "pages")),
     "op9_jaccard": lambda spark, d: jaccard_components(table(spark, d, "documents")),
     "op10_pii": lambda spark, d: personal_data_digest(table(spark, d, "documents")),
+    "op13_periods": lambda spark, d: run_digest(table(spark, d, "documents")),
     "pipeline": corpus_pipeline.run,
 }
 

@@ -155,5 +155,16 @@ def windows(hashes: np.ndarray, first: np.ndarray, size: int, seed: int) -> tupl
     return mix(total[at]), at
 
 
+def joined(found: Words, which: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """The words numbered, joined by one space, as one text for each two neighbouring bounds (places in `which`)."""
+    size = found.length[which] + 1
+    end = np.cumsum(size)
+    at = np.arange(int(end[-1]) if len(end) else 0) - np.repeat(end - size - found.start[which], size)
+    text = found.data[np.minimum(at, max(len(found.data) - 1, 0))] if len(at) else np.zeros(0, np.uint8)
+    text[end - 1] = 0x20
+    edges, raw = np.append(0, end)[bounds], text.tobytes()
+    return [raw[s : max(s, e - 1)] for s, e in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
+
 def texts(values: list[bytes], mask: np.ndarray | None = None) -> pa.Array:
     return pa.array(values, pa.binary(), mask=mask).cast(pa.string())
