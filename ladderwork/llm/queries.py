@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from .alignment import alignment_report
 from .chats import FORMATTED_SQL, formatted_chats
 from .decontamination import contamination_digest
 from .fingerprints import fingerprint_report
@@ -19,6 +20,8 @@ from .substrings import deduplicated_digest
 
 #: Vocabulary file of the encoding query.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+#: Vocabulary file of the other side of the alignment query.
+BYTE_LEVEL_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 
 QUERIES = {
     "op1_decontamination": lambda spark, d: contamination_digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
@@ -31,6 +34,7 @@ QUERIES = {
     "op8_revisits": lambda spark, d: revisit_report(table(spark, d, "pages")),
     "op9_jaccard": lambda spark, d: jaccard_components(table(spark, d, "documents")),
     "op10_pii": lambda spark, d: personal_data_digest(table(spark, d, "documents")),
+    "op11_alignment": lambda spark, d: alignment_report(table(spark, d, "documents"), BYTE_LEVEL_PATH, MODEL_PATH),
     "op13_periods": lambda spark, d: run_digest(table(spark, d, "documents")),
     "pipeline": corpus_pipeline.run,
 }
