@@ -15,6 +15,7 @@ from .pieces import round_trip
 from .pii import personal_data_digest
 from .quality import quality_digest
 from .revisits import REVISIT_SQL, revisit_report
+from .scoring import scored
 from .shared import table
 from .substrings import deduplicated_digest
 
@@ -35,6 +36,7 @@ QUERIES = {
     "op9_jaccard": lambda spark, d: jaccard_components(table(spark, d, "documents")),
     "op10_pii": lambda spark, d: personal_data_digest(table(spark, d, "documents")),
     "op11_alignment": lambda spark, d: alignment_report(table(spark, d, "documents"), BYTE_LEVEL_PATH, MODEL_PATH),
+    "op12_scoring": lambda spark, d: scored(table(spark, d, "documents")),
     "op13_periods": lambda spark, d: run_digest(table(spark, d, "documents")),
     "pipeline": corpus_pipeline.run,
 }
