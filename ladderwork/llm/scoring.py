@@ -5,11 +5,11 @@ even share for each known token and the unknown one. The mixture's weights depen
 buckets of powers of two, and are learned by expectation-maximisation on held-out counts: a tenth of the documents learned
 from is scored with the counts of all others, each document's own occurrences deleted.
 
-Counting moves each text once. Texts are dealt to blocks; a block sends its distinct words, pairs and triples as packed hashes
-to ranges, which sum them over the corpus and answer each block with the totals (see `totals`). The block then knows the
-corpus counts of all its tokens, which are written, packed. Weights and scores are learned and computed from that table
-alone. Words are named by 62 bits; pairs and triples by 20 bits more than the number of tokens needs, so about one in a
-million is counted together with another.
+Counting moves each text once, bundled by task and block and compressed. A block sends its distinct words, pairs and triples
+as packed hashes to ranges, which sum them over the corpus and answer each block with the totals (see `totals`). The block
+then knows the corpus counts of all its tokens, which are written, packed. Weights and scores are learned and computed from
+that table alone. Words are named by 62 bits; pairs and triples by 18 bits more than the number of tokens needs, so fewer than one in
+200,000 are counted together with another.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 
 from .shared import stage
 from .totals import SENT, Spread, pack_counts, rows_of, totals, unpack_counts
-from .words import SPACED_LOWER, U64, chunks, mix, utf8, words
+from .words import SPACED_LOWER, U64, chunks, mix, release_memory, utf8, words
 
 #: Bytes of text in a block and keys in a range, on average.
 BLOCK_BYTES, RANGE_KEYS = 5 << 20, 2 << 20
 #: Bits of a pair's or triple's name beyond those that number all tokens.
-SPARE_BITS = 20
+SPARE_BITS = 18
 #: Rounds of expectation-maximisation at most; they end when a round gains less (in nats a token).
 ROUNDS, GAIN = 25, 1e-4
 #: Buckets: no context seen; one word seen so often (powers of two); two words seen so often.
@@ -39,7 +39,8 @@ _BEGIN, _END = U64(0xB5297A4D3F84D5B5), U64(0x68E31DA4A3D7C1F9)
 _BY_PLACE = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)]
 
 COUNTED = "block bigint, doc_ids array<bigint>, folds binary, tokens binary, c1 binary, c2 binary, c3 binary, own1 binary, own2 binary, own3 binary, types bigint, seen bigint"
-EVENTS = "bucket int, f1 double, f2 double, f3 double, n bigint"
+EVENTS = "bucket int, f1 float, f2 float, f3 float, n bigint"
+BUNDLES = "block bigint, bundle binary"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -76,14 +77,52 @@ def _unique(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _spread(bits: int, ranges: int) -> Spread:
-    """Ranges are intervals of names, so that names in one lie close together."""
+    """Ranges are intervals of the names of words, of pairs or of triples, so that names in one lie close together."""
+    share = np.array([-(-ranges // 6), -(-5 * ranges // 12), -(-5 * ranges // 12)], U64)
+    before = np.cumsum(share) - share
 
     def number(keys: np.ndarray) -> np.ndarray:
-        low = keys & U64((1 << 62) - 1)
-        top = np.where(keys >> U64(62) == U64(0), low >> U64(30), low >> U64(bits - 32))
-        return top * U64(ranges) >> U64(32)
+        low, kind = keys & U64((1 << 62) - 1), (keys >> U64(62)).astype(np.int64)
+        top = np.where(kind == 0, low >> U64(30), low >> U64(bits - 32))
+        return before[kind] + (top * share[kind] >> U64(32))
 
-    return Spread(ranges, of=number)
+    return Spread(int(share.sum()), of=number)
+
+
+def _bundled(docs: DataFrame) -> DataFrame:
+    """Rows of BUNDLES for docs (doc_id, text, fold, block): a task's documents of a block as one compressed value."""
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            ids = batch.column("doc_id")
+            known, number = np.array(ids.is_valid()).astype(np.uint8), ids.fill_null(0).to_numpy(zero_copy_only=False)
+            fold, block = batch.column("fold").to_numpy().astype(np.uint8), batch.column("block").to_numpy()
+            order = np.argsort(block, kind="stable")
+            held, begin = np.unique(block[order], return_index=True)
+            out = []
+            for own in np.split(order, begin[1:]) if len(held) else []:
+                head = np.uint32(len(own)).tobytes() + number[own].astype("<i8").tobytes() + np.diff(offsets)[own].astype("<i8").tobytes() + known[own].tobytes() + fold[own].tobytes()
+                raw = head + b"".join([data[offsets[k] : offsets[k + 1]].tobytes() for k in own.tolist()])
+                out.append(np.uint32(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True))
+            yield pa.record_batch([pa.array(held, pa.int64()), pa.array(out, pa.binary())], names=["block", "bundle"])
+            release_memory()
+
+    return docs.mapInArrow(bundle, BUNDLES)
+
+
+def _unbundled(bundles: pa.ChunkedArray) -> tuple[list[int | None], np.ndarray, pa.Array]:
+    """(doc_ids, folds, texts) of a block's bundles, in the order of doc_ids and texts that any order of bundles gives."""
+    rows = []
+    for x in bundles.to_pylist():
+        raw = pa.decompress(x[4:], decompressed_size=int(np.frombuffer(x, "<u4", 1)[0]), codec="zstd", asbytes=True)
+        n = int(np.frombuffer(raw, "<u4", 1)[0])
+        number, size = np.frombuffer(raw, "<i8", 2 * n, 4).reshape(2, n)
+        known, fold = np.frombuffer(raw, np.uint8, 2 * n, 4 + 16 * n).reshape(2, n)
+        at = 4 + 18 * n + np.append(0, np.cumsum(size))
+        rows += zip(known.tolist(), number.tolist(), fold.tolist(), (raw[s:e] for s, e in zip(at[:-1].tolist(), at[1:].tolist())))
+    rows.sort()
+    return [d if k else None for k, d, _, _ in rows], np.array([r[2] for r in rows], np.int64), pa.array([r[3] for r in rows], pa.large_binary()).cast(pa.large_string())
 
 
 def _known(keys: list[np.ndarray]) -> list[np.ndarray]:
@@ -102,7 +141,7 @@ def _own(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def _doc_counts(docs: DataFrame) -> tuple[DataFrame, Spread, int, int]:
-    """(dealt documents, spread of keys over ranges, bits of a pair's name, blocks whose documents give the weights)."""
+    """(bundles of dealt documents, spread of keys over ranges, bits of a pair's name, blocks whose documents give the weights)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tokens = max(1 << 12, total // 5)
     bits = min(62, max(40, int(tokens).bit_length() + SPARE_BITS))
@@ -113,7 +152,7 @@ def _doc_counts(docs: DataFrame) -> tuple[DataFrame, Spread, int, int]:
     slot = F.xxhash64("doc_id", "text")
     block = F.when(fold == WEIGHTS, F.pmod(slot, F.lit(apart))).otherwise(apart + F.pmod(slot, F.lit(blocks - apart)))
     dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", fold.alias("fold"), block.cast("bigint").alias("block"))
-    return dealt, _spread(bits, max(32, -(-2 * tokens // RANGE_KEYS))), bits, apart
+    return _bundled(dealt), _spread(bits, max(32, -(-2 * tokens // RANGE_KEYS))), bits, apart
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -123,8 +162,9 @@ def token_counts(docs: DataFrame) -> DataFrame:
     dealt, spread, bits, apart = _doc_counts(docs)
 
     def send(key: tuple, block: pa.Table) -> pa.Table:
-        keys, tokens = _keys(block.column("text"), bits)
-        learn = np.repeat(block.column("fold").to_numpy() != OUT, tokens)
+        _, folds, text = _unbundled(block.column("bundle"))
+        keys, tokens = _keys(text, bits)
+        learn = np.repeat(folds != OUT, tokens)
         parts, counts = [], []
         for k in keys:
             own, _ = _unique(k)
@@ -147,7 +187,8 @@ def token_counts(docs: DataFrame) -> DataFrame:
             types, seen = unpack_counts(answers.column("totals").to_pylist()[0]).tolist()
             row = [number, [], *[b""] * 8, types, seen]
         else:
-            keys, tokens = _keys(block.column("text"), bits)
+            ids, folds, text = _unbundled(block.column("bundle"))
+            keys, tokens = _keys(text, bits)
             known = _known(keys)
             total, _ = spread.receive(np.concatenate(known), answers)
             bounds = np.append(0, np.cumsum([len(x) for x in known]))
@@ -156,7 +197,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
             if number < apart:
                 owner = np.repeat(np.arange(len(tokens)), tokens)
                 own = [pack_counts(_own(k, owner)) for k in keys]
-            row = [number, block.column("doc_id").to_pylist(), pack_counts(block.column("fold").to_numpy()), pack_counts(tokens), *count, *own, 0, 0]
+            row = [number, ids, pack_counts(folds), pack_counts(tokens), *count, *own, 0, 0]
         return pa.table([pa.array([x], kind) for x, kind in zip(row, kinds)], names=names)
 
     answers = totals(dealt.groupBy("block").applyInArrow(send, SENT), spread, report=report)
@@ -204,7 +245,7 @@ def held_out_events(counted: DataFrame, seen: int, types: int) -> DataFrame:
                 tokens, documents, *counts = _counted(row, own=True)
                 bucket, *f = _estimates(*counts, tokens, documents, np.repeat(seen - tokens, tokens), share)
                 order = np.lexsort((*f, bucket))
-                columns = [x[order] for x in (bucket, *f)]
+                columns = [bucket[order], *(x[order].astype(np.float32) for x in f)]
                 begin = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in columns], axis=0)))
                 n = np.diff(np.append(begin, len(order)))
                 yield pa.record_batch([pa.array(columns[0][begin].astype(np.int32)), *(pa.array(x[begin]) for x in columns[1:]), pa.array(n, pa.int64())], names=["bucket", "f1", "f2", "f3", "n"])
