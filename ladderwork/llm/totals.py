@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .substrings import pack, unpack
 from .words import U64
 
 #: Ranges that blocks send to directly; blocks of a shelf.
@@ -42,6 +41,28 @@ def unpack_counts(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i8").ravel()
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Distinct keys in order: the first, and the differences byte plane by byte plane, each plane compressed by itself."""
+    gaps = np.diff(keys).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    planes = [pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True) if x.any() else b"" for x in gaps]
+    return np.uint32(len(keys)).tobytes() + keys[:1].astype("<u8").tobytes() + np.array([len(x) for x in planes], "<u4").tobytes() + b"".join(planes)
+
+
+def unpack_keys(packed: bytes) -> np.ndarray:
+    n = int(np.frombuffer(packed, "<u4", 1)[0])
+    if not n:
+        return np.zeros(0, U64)
+    sizes, at = np.frombuffer(packed, "<u4", 8, 12).tolist(), 44
+    planes = np.zeros((8, n), np.uint8)
+    for k, size in enumerate(sizes):
+        if size:
+            planes[k, 1:] = np.frombuffer(pa.decompress(packed[at : at + size], decompressed_size=n - 1, codec="zstd", asbytes=True), np.uint8)
+        at += size
+    steps = np.ascontiguousarray(planes.T).view("<u8").ravel()
+    steps[0] = np.frombuffer(packed, "<u8", 1, 4)[0]
+    return np.cumsum(steps)
+
+
 def rows_of(schema: str, rows: list[tuple]) -> pa.Table:
     fields = [x.split() for x in schema.split(", ")]
     return pa.table([pa.array([r[k] for r in rows], _KINDS[kind]) for k, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
@@ -87,7 +108,7 @@ class Spread:
 
     def send(self, block: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
         """Rows of SENT for a block's distinct keys in order."""
-        return [(k, block, pack(keys[at]), pack_counts(counts[at])) for k, at in self.parts(keys, self.width)]
+        return [(k, block, pack_keys(keys[at]), pack_counts(counts[at])) for k, at in self.parts(keys, self.width)]
 
     def receive(self, keys: np.ndarray, answers: pa.Table) -> tuple[np.ndarray, np.ndarray | None]:
         """Totals of a block's distinct keys in order, and what `extra` gave for them."""
@@ -102,7 +123,7 @@ class Spread:
 
 def _merged(sent: pa.Table) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray]:
     """(blocks, how many keys each sent, distinct keys, sums, number of each sent key)."""
-    keys = [unpack(x) for x in sent.column("keys").to_pylist()]
+    keys = [unpack_keys(x) for x in sent.column("keys").to_pylist()]
     counts = [unpack_counts(x) for x in sent.column("counts").to_pylist()]
     own, total, number = summed(np.concatenate(keys), np.concatenate(counts))
     return sent.column("block").to_pylist(), [len(k) for k in keys], own, total, number
@@ -129,7 +150,7 @@ def totals(sent: DataFrame, spread: Spread, extra: Callable[[np.ndarray, np.ndar
 
     def collect(key: tuple, rows: pa.Table) -> pa.Table:
         _, _, own, total, _ = _merged(rows)
-        return rows_of(SENT, [(k, name(key), pack(own[at]), pack_counts(total[at])) for k, at in spread.parts(own, 1)])
+        return rows_of(SENT, [(k, name(key), pack_keys(own[at]), pack_counts(total[at])) for k, at in spread.parts(own, 1)])
 
     def pass_on(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         blocks, sizes, own, _, number = _merged(rows)
