@@ -486,7 +486,7 @@ ORACLE_SQL["explode_nodes"] = with_derived("fx_nodes", "select problem_id, pos,
 
 def _search(spark: SparkSession, d: str) -> DataFrame:
     asked = derived(spark, d, "fx_problems").select(F.col("source_index").alias("problem_id"), "answer")
-    nodes, events = search.replay_search(asked, derived(spark, d, "fx_completions"), scratch(spark, "search"), search.SearchSettings(simulations=2))
+    nodes, events = search.replay_search(asked, derived(spark, d, "fx_completions"), scratch(spark, "search"))
     kinds = [F.count_if(F.col("event_type") == f"{k}_backup").alias(f"n_{k}_backups") for k in ("terminal", "dead_end", "expand")]
     return nodes.join(events.groupBy("problem_id").agg(*kinds), "problem_id", "left").drop("prefix_text")
 
@@ -592,8 +592,8 @@ def _stream_trees(spark: SparkSession, d: str) -> DataFrame:
     nested, out = _nested(spark, d), scratch(spark, "finished")
     for _ in range(2):
         stream, _, state = _arriving(spark, nested, "trees")
-        jobs.stream_append_trees(stream, out, state).awaitTermination()
-    return spark.read.schema(nested.schema).parquet(f"{out}/trees").select("problem_id", F.size("nodes").alias("n_nodes"))
+        jobs.append_trees(stream, out, state)
+    return jobs.appended_trees(spark, out, nested.schema).select("problem_id", F.size("nodes").alias("n_nodes"))
 
 
 QUERIES |= {"stream_grade": _stream_grade, "stream_pairs": _stream_pairs, "stream_append_trees": _stream_trees}
