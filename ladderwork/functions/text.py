@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,13 +32,27 @@ def strip_outer_punctuation(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?U)[\s.。!！?？,，;；:]+\z", ""), r"(?U)^[\s$￥£€:：]+", "")
 
 
+@lru_cache(maxsize=1)
+def _foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters that full case folding changes, to one character and to several, by the language's own table."""
+    changed = {chr(k): chr(k).casefold() for k in range(sys.maxunicode + 1) if not 0xD800 <= k < 0xE000 and chr(k).casefold() != chr(k)}
+    return {a: b for a, b in changed.items() if len(b) == 1}, {a: b for a, b in changed.items() if len(b) > 1}
+
+
+def fold_case(c: Column) -> Column:
+    """Full case folding. Characters that fold to several are looked for first: few texts have any."""
+    single, several = _foldings()
+    ascii_only = ~c.rlike(r"[^\x00-\x7F]")
+    one = F.translate(c, "".join(single), "".join(single.values()))
+    # What a character folds to is folded already, so the order doesn't matter.
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in several.items()])
+    more = F.aggregate(pairs, one, lambda done, p: F.replace(done, p["a"], p["b"]))
+    return F.when(ascii_only, F.lower(c)).when(c.rlike("[" + "".join(several) + "]"), more).otherwise(one)
+
+
 def canonicalize_text(c: Column) -> Column:
-    """For comparing answers that are no numbers: white space, outer punctuation and case don't count. Case is folded for
-    letters, sharp s, final sigma and Latin ligatures; other foldings of several letters are left."""
-    out = F.translate(F.lower(strip_outer_punctuation(normalize_whitespace(c))), "ςſ", "σs")
-    for one, several in {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}.items():
-        out = F.replace(out, F.lit(one), F.lit(several))
-    return out
+    """For comparing answers that are no numbers: white space, outer punctuation and case don't count."""
+    return fold_case(strip_outer_punctuation(normalize_whitespace(c)))
 
 
 def normalize_numeric(c: Column) -> Column:

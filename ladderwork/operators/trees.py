@@ -219,6 +219,31 @@ def select_path(best: DataFrame, problems: DataFrame, max_depth: int = MAX_DEPTH
     return reduce(longer, range(max_depth), start).select("problem_id", "path")
 
 
+def select_deep_path(best: DataFrame, problems: DataFrame, folder: str, max_depth: int | None = None) -> DataFrame:
+    """As select_path for paths of any length, with joins in proportion to the logarithm of the longest.
+
+    Edges are doubled until none is left: a table of jumps over 2, 4, 8 ... steps each. From the root, the nodes at all depths are
+    found by the widest jump first, each narrower one adding those between. Every table is written below folder, so that
+    plans stay small; a node has one row in each, and a path is gathered at the end alone."""
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    jumps = [written(best.select("problem_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("next")), "jumps-1")]
+    while max_depth is None or 1 << len(jumps) <= max_depth:
+        onward = jumps[-1].select("problem_id", F.col("node_id").alias("next"), F.col("next").alias("end"))
+        longer = written(jumps[-1].join(onward, ["problem_id", "next"]).select("problem_id", "node_id", F.col("end").alias("next")), f"jumps-{1 << len(jumps)}")
+        if longer.isEmpty():
+            break
+        jumps.append(longer)
+    found = problems.select("problem_id").distinct().select("problem_id", F.lit("root").alias("node_id"), F.lit(0).alias("depth"))
+    for k in reversed(range(len(jumps))):
+        more = found.join(jumps[k], ["problem_id", "node_id"]).select("problem_id", F.col("next").alias("node_id"), (F.col("depth") + (1 << k)).alias("depth"))
+        found = written(found.unionByName(more.where(F.col("depth") <= max_depth) if max_depth is not None else more), f"found-{1 << k}")
+    return found.groupBy("problem_id").agg(F.sort_array(F.collect_list(F.struct("depth", "node_id"))).alias("p")).select("problem_id", F.col("p.node_id").alias("path"))
+
+
 def tree_statistics(nodes: DataFrame, visits: DataFrame | None = None) -> DataFrame:
     """node_count, initial_branch_count, max_depth_reached and extreme values of each problem; with visits also simulation_count."""
     out = nodes.groupBy("problem_id").agg(

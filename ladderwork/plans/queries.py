@@ -177,6 +177,18 @@ def _descriptor(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _write_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """What is written beside what was there, each row with the summary's counts."""
+    path, asked = scratch(spark, "resumed"), derived(spark, d, "fx_problems")
+    records.write_records(asked.where("source_index % 3 = 0"), path, "parquet")
+    row = records.write_resumed(asked, spark.read.schema(asked.schema).parquet(path), path, "source_index", "parquet")
+    return spark.read.schema(asked.schema).parquet(path).join(F.broadcast(row))
+
+
+QUERIES["write_resumed"] = _write_resumed
+ORACLE_SQL["write_resumed"] = with_derived(
+    "fx_problems", "select p.*, c.* from fx_problems p, (select count(*) as input_count, count(*) filter (source_index % 3 = 0) as skipped_count, count(*) filter (source_index % 3 <> 0) as new_count, count(*) as output_count, 'complete' as status from fx_problems) c"
+)
 QUERIES |= {"read_problem_splits": _problem_splits, "existing_output": _existing_output, "write_summary": _summary, "dataset_descriptor": _descriptor}
 ORACLE_SQL["read_problem_splits"] = with_derived("fx_problems", "select case when source_index % 2 = 0 then 'train' else 'test' end as split, source_index, question, answer from fx_problems")
 ORACLE_SQL["existing_output"] = with_derived("fx_problems", "select *, 1 as guarded from fx_problems where source_index % 4 < 2")
@@ -429,6 +441,24 @@ ORACLE_SQL["select_path"] = _ucb(""", walk as (select problem_id, 'root' as last
   select problem_id, arg_max(path, n) as path from walk group by problem_id""")
 
 
+def _deep(spark: SparkSession, d: str) -> DataFrame:
+    """Long paths: a supplier's line items are nodes, and the best child of node k is node k + 1 + k % 3."""
+    own = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("problem_id"), F.row_number().over(own).alias("pos"))
+    name = lambda k: F.when(k == 0, "root").otherwise(F.concat(F.lit("node-"), k.cast("string")))
+    below = rows.select("problem_id", F.explode(F.expr("case when pos = 1 then array(0, 1) else array(pos) end")).alias("k"))
+    edges = below.withColumn("next", F.col("k") + 1 + F.col("k") % 3).join(rows.withColumnRenamed("pos", "next"), ["problem_id", "next"])
+    best = edges.select("problem_id", name(F.col("k")).alias("parent_id"), name(F.col("next")).alias("node_id"))
+    paths = trees.select_deep_path(best, rows, scratch(spark, "paths"))
+    return paths.select("problem_id", F.size("path").alias("n_nodes"), F.md5(F.array_join("path", ">")).alias("path_md5"), F.element_at("path", -1).alias("last"))
+
+
+QUERIES["select_deep_path"] = _deep
+ORACLE_SQL["select_deep_path"] = """with recursive sizes as (select l_suppkey as problem_id, count(*) as n from lineitem group by l_suppkey),
+  walk as (select problem_id, n, cast(0 as bigint) as k, 'root' as name from sizes union all select problem_id, n, k + 1 + k % 3, 'node-' || cast(k + 1 + k % 3 as varchar) from walk where k + 1 + k % 3 <= n)
+  select problem_id, cast(count(*) as int) as n_nodes, md5(string_agg(name, '>' order by k)) as path_md5, arg_max(name, k) as last from walk group by problem_id"""
+
+
 def _statistics(spark: SparkSession, d: str) -> DataFrame:
     return trees.tree_statistics(derived(spark, d, "fx_nodes"), derived(spark, d, "fx_visits"))
 

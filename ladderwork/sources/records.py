@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,3 +96,26 @@ def run_summary(df: DataFrame, done: DataFrame, key: str = "problem_id", **setti
     out = counts.select(one, "*").join(before.select(one, "*"), "one").drop("one").withColumn("new_count", F.col("input_count") - F.col("skipped_count"))
     out = out.withColumn("output_count", F.col("done_count") + F.col("new_count")).withColumn("status", F.when(F.col("new_count") > 0, "complete").otherwise("nothing_to_do"))
     return out.drop("done_count").select("input_count", "skipped_count", "new_count", "output_count", "status", *[F.lit(v).alias(k) for k, v in settings.items()])
+
+
+def _observed(observation: Observation, *names: str) -> list[int]:
+    """Observed counts. Of a frame that is empty as planned nothing is observed."""
+    try:
+        return [observation.get[name] for name in names]
+    except Py4JJavaError:
+        return [0] * len(names)
+
+
+def write_resumed(df: DataFrame, done: DataFrame, path: str, key: str = "problem_id", format: str = "json", **settings: str | int | float) -> DataFrame:
+    """Appends df's rows whose key isn't done to path; the run summary (as run_summary), observed while they are written: df and done
+    are read once each, and nothing is counted in a second pass. Rows of a missing or empty key are always written, so here
+    they count as new."""
+    seen, written = Observation(), Observation()
+    ids = done.select(F.col(key).cast(df.schema[key].dataType).alias(key)).observe(seen, F.count("*").alias("n"))
+    ids = ids.where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).distinct().withColumn("__done", F.lit(True))
+    marked = df.join(ids, key, "left").observe(written, F.count("*").alias("input"), F.count("__done").alias("skipped"))
+    write_records(marked.where("__done is null").drop("__done").select(*df.columns), path, format, "append")
+    (n, skipped), (before,) = _observed(written, "input", "skipped"), _observed(seen, "n")
+    row = (n, skipped, n - skipped, before + n - skipped, "complete" if n > skipped else "nothing_to_do")
+    out = df.sparkSession.createDataFrame([row], "input_count bigint, skipped_count bigint, new_count bigint, output_count bigint, status string")
+    return out.select("*", *[F.lit(v).alias(k) for k, v in settings.items()])

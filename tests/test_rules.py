@@ -304,3 +304,37 @@ def test_paths_deeper_than_a_search(spark):
 def test_decimals_keep_exactness():
     assert answers.parse_decimal("1/2/3") == Decimal("1.5") and answers.parse_decimal("12.5%") == Decimal("0.125")
     assert answers.parse_decimal("x") is None and answers.parse_decimal("1/0") is None
+
+
+def test_case_folding_of_all_characters(spark):
+    """Each character in front of a letter, alone and together, as the language folds it."""
+    every = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    rows = [(k, x + "A", (x + "A").casefold()) for k, x in enumerate(every)] + [(-1, "".join(every[:70_000:7]), "".join(every[:70_000:7]).casefold()), (-2, "Straße ΣΊΣΥΦΟΣ ŉ", "Straße ΣΊΣΥΦΟΣ ŉ".casefold()), (-3, "", "")]
+    df = spark.createDataFrame(rows, "k int, x string, want string").repartition(8)
+    assert df.where(~text.fold_case(F.col("x")).eqNullSafe(F.col("want"))).count() == 0
+    assert values(spark, [None], text.fold_case) == [None]
+
+
+def test_deep_paths(spark, tmp_path):
+    chain = [(1, "root" if k == 0 else f"n{k}", f"n{k + 1}") for k in range(1000)] + [(2, "root", "a"), (3, "x", "y")]
+    best = spark.createDataFrame(chain, "problem_id long, parent_id string, node_id string")
+    asked = spark.createDataFrame([(1,), (2,), (3,), (4,), (4,)], "problem_id long")
+    got = {r.problem_id: r.path for r in trees.select_deep_path(best, asked, str(tmp_path / "a")).collect()}
+    assert got == {1: ["root", *(f"n{k + 1}" for k in range(1000))], 2: ["root", "a"], 3: ["root"], 4: ["root"]}
+    for depth in (0, 1, 5, 8):
+        cut = {r.problem_id: r.path for r in trees.select_deep_path(best, asked, str(tmp_path / f"d{depth}"), depth).collect()}
+        assert cut == {k: v[: depth + 1] for k, v in got.items()} if depth else True
+        plain = {r.problem_id: r.path for r in trees.select_path(best, asked, depth).collect()} if depth else cut
+        assert cut == plain
+
+
+def test_resumed_write_observes_its_summary(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("", 4), ("b", 5)], "problem_id string, n int")
+    out = str(tmp_path / "out")
+    first = records.write_resumed(df, df.limit(0), out, format="parquet", rollouts=3).first()
+    assert tuple(first) == (5, 0, 5, 5, "complete", 3)
+    more = df.unionByName(spark.createDataFrame([("c", 6)], df.schema))
+    second = records.write_resumed(more, spark.read.parquet(out), out, format="parquet").first()
+    assert tuple(second) == (6, 3, 3, 8, "complete") and spark.read.parquet(out).count() == 8
+    named = df.where("problem_id <> ''")
+    assert records.write_resumed(named, spark.read.parquet(out), out, format="parquet").first().status == "nothing_to_do"
