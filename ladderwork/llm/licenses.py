@@ -8,7 +8,12 @@ that are aligned.
 A notice may stand in a text more than once, where none of its words is unique. So a template is aligned with stretches of
 about its length as well, one from each of its words in the text and of each width in WIDTHS, then with what lies between
 the occurrences found, and with the whole text. Of stretches that overlap the closest alignment counts: twice the aligned
-words less the words it spans.
+words less the words it spans. An alignment that spans more than MOST_SPREAD words for each aligned one is none: words that
+lie about a text by themselves are no notice.
+
+Common words make up most of a short notice, so its name must be there: words in `required` have to be aligned. And what
+one template explains better isn't reported for another: an occurrence that lies within that of a template with more
+aligned words and no lower coverage is left out.
 
 Documents are rows of tasks and templates are few and fixed, so nothing is shuffled. A template is skipped for a text
 when the words they share, counted with multiplicity, cannot reach the least coverage, and a stretch likewise; that bound
@@ -82,6 +87,11 @@ TEMPLATES = {
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
 }
 
+#: Words without which a short notice is none.
+REQUIRED = {"apache-2.0": ["apache"], "mit": ["mit"], "gpl-3.0": ["gnu", "general", "public"], "cc-by-nc-4.0": ["cc", "by", "nc"]}
+
+#: Words that an alignment spans for each aligned one at most.
+MOST_SPREAD = 3
 #: Bytes of all templates at most.
 TEMPLATE_BYTES = 8 << 20
 #: Widths of stretches, in lengths of the template.
@@ -169,12 +179,15 @@ def _stretches(text: list[int], template: list[int], least: int, low: int, high:
         shared -= have[text[k]] < needs[text[k]]
 
 
-def occurrences(text: list[int], template: list[int], least: float) -> tuple[list[tuple], tuple | None]:
+def occurrences(text: list[int], template: list[int], least: float, required: frozenset[int] = frozenset()) -> tuple[list[tuple], tuple | None]:
     """(aligned words, first place, last place) of the template's occurrences that do not overlap, in order, and of the
-    alignment of most words. least: of coverage."""
+    alignment of most words. least: of coverage; required: words that have to be aligned."""
+
     def aligned(a: int, b: int) -> tuple | None:
         pairs = align(text[a:b], template)
-        return (len(pairs), a + pairs[0][0], a + pairs[-1][0]) if pairs and len(pairs) / len(template) >= least else None
+        if not pairs or len(pairs) / len(template) < least or pairs[-1][0] - pairs[0][0] >= MOST_SPREAD * len(pairs):
+            return None
+        return (len(pairs), a + pairs[0][0], a + pairs[-1][0]) if required <= {template[k] for _, k in pairs} else None
 
     need = next(n for n in range(len(template) + 1) if n / len(template) >= least)
     seen = {x for a, b in _stretches(text, template, max(1, need), 0, len(text)) if (x := aligned(a, b))}
@@ -210,13 +223,26 @@ def templates_of(table: DataFrame, most_bytes: int = TEMPLATE_BYTES) -> dict[str
     return {r["name"]: r["text"] for r in known.collect()}
 
 
-def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.6) -> DataFrame:
+def _unexplained(found: list[tuple]) -> list[tuple]:
+    """Occurrences (name, coverage, aligned words, first and last place) in order of place that lie within no better one of another
+    template."""
+    out, over = [], []
+    for x in sorted(found, key=lambda x: (x[3], -x[4], -x[2])):
+        over = [y for y in over if y[4] >= x[3]]  # of each template one at most
+        if not any(y[0] != x[0] and x[4] <= y[4] and y[2] > x[2] and y[1] >= x[1] for y in over):
+            out.append(x)
+        over.append(x)
+    return sorted(out, key=lambda x: (x[3], x[0]))
+
+
+def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.6, required: dict[str, list[str]] = REQUIRED) -> DataFrame:
     """All templates in each document at all their places, and the one that covers best, over whole texts.
 
     docs: doc_id, text; other columns are ignored. Words are lower-cased runs of letters, digits and non-ASCII characters.
     One row per row of docs: doc_id, license, coverage, n_aligned, first_word, last_word (places of the first and last
     aligned word), of the best, and found: the same for every occurrence of every template that reaches `least`, by place.
-    Occurrences of one template do not overlap, those of different ones may. Of equal coverage the template with more
+    Occurrences of one template do not overlap, those of different ones may unless one explains the other. required: by
+    template, words (in lower case) that an occurrence must have. Of equal coverage the template with more
     aligned words wins, then the first by name. Where none reaches `least`, license and places are null, coverage and
     n_aligned 0 and found is empty; so for null and empty texts. Templates without words are left out; repeated rows get
     equal results; an empty table gives no rows.
@@ -229,6 +255,8 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, leas
     sequences = [numbers[a:b].tolist() for a, b in zip(read.first[:-1], read.first[1:])]
     needs = np.array([np.bincount(s, minlength=len(known)) for s in sequences]).reshape(len(names), len(known))
     lengths = needs.sum(1)
+    spelled = {data[s : s + n].tobytes().lower(): k for s, n, k in zip(read.start.tolist(), read.length.tolist(), numbers.tolist())}
+    must = [frozenset(spelled.get(w.encode(), -2) for w in required.get(name, ())) for name in names]
     fields = ["license", "coverage", "n_aligned", "first_word", "last_word"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,11 +279,13 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, leas
                     # Words that no template has only stand apart, so they stay as they are: -1 is in no template.
                     text = own.tolist() if len(possible) else []
                     for t in possible.tolist():
-                        taken, top = occurrences(text, sequences[t], least)
+                        if not must[t] <= {*own.tolist()}:
+                            continue
+                        taken, top = occurrences(text, sequences[t], least, must[t])
                         all_found += [(names[t], n / int(lengths[t]), n, x, y) for n, x, y in taken]
                         if top and (best is None or (top[0] / int(lengths[t]), top[0]) > best[:2]):
                             best = (top[0] / int(lengths[t]), top[0], names[t], top[1], top[2])
-                    all_found.sort(key=lambda x: (x[3], x[0]))
+                    all_found = _unexplained(all_found)
                     rows.append((*((best[2], best[0], best[1], best[3], best[4]) if best else (None, 0.0, 0, None, None)), [dict(zip(fields, x)) for x in all_found]))
             kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
             kinds.append(pa.list_(pa.struct(list(zip(fields, kinds)))))

@@ -11,6 +11,7 @@ words one by one: each distinct word of a batch is searched once, all of them in
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ MARK = "▁".encode()
 UNKNOWN_COST = 10.0
 #: Vocabularies of merges give runs of marks a score below this. Such a piece counts 0.5 more than an unknown character.
 LOWEST_SCORE = -1e8
+#: Bytes of a word that is searched by itself.
+LONG = 4096
 #: Cells of a table of words that are searched in step.
 CELLS = 200_000
 #: Bytes of text, or ids, taken at once.
@@ -81,7 +84,7 @@ class Automaton:
     their failure link names, and share its row."""
 
     def __init__(self, pieces: list[tuple[bytes, float, str]]):
-        self.pieces = pieces
+        self.pieces, self._sequences = pieces, None
         self.score = np.array([s for _, s, _ in pieces], np.float64)
         usable = [k for k, (b, s, kind) in enumerate(pieces) if kind == "piece" and b]
         if any(MARK in pieces[k][0].lstrip(MARK) or (MARK in pieces[k][0] and not pieces[k][0].startswith(MARK)) for k in usable):
@@ -199,6 +202,45 @@ class Automaton:
         order = np.lexsort((place, row))
         return ids[order].astype(np.int32), np.bincount(row, minlength=n)
 
+    def best_of_long(self, word: bytes) -> list[int]:
+        """Ids of one long word, as `best` gives them, in a plain loop over its bytes: no row of a table is as wide as the word."""
+        goto, row, ends, output, onward, length, score_of = self._plain()
+        score, back, state, start = [0.0] + [0.0] * len(word), [0] * (len(word) + 1), 0, 0
+        for p, byte in enumerate(word):
+            if byte & 0xC0 != 0x80:
+                start = p
+            state = goto[row[state] << 8 | byte]
+            best, piece = -np.inf, 0
+            if p + 1 == len(word) or word[p + 1] & 0xC0 != 0x80:
+                best, piece = score[start] + self.unknown, -1
+            at = output[state]
+            while at > 0:
+                k = ends[at]
+                value = score[p + 1 - length[k]] + score_of[k]
+                if value > best:
+                    best, piece = value, k
+                at = onward[at]
+            score[p + 1], back[p + 1] = best, piece
+        out, at = [], len(word)
+        while at > 0:
+            if back[at] >= 0:
+                out.append(back[at])
+                at -= length[back[at]]
+                continue
+            begin = at - 1
+            while word[begin] & 0xC0 == 0x80:
+                begin -= 1
+            out += [int(self.byte_id[x]) for x in reversed(word[begin:at])]
+            at = begin
+        return out[::-1]
+
+    def _plain(self) -> tuple:
+        """The automaton as plain sequences, made when the first long word comes."""
+        if self._sequences is None:
+            view = lambda x: memoryview(np.ascontiguousarray(x).ravel())
+            self._sequences = (view(self.goto), view(self.row), view(self.ends), view(self.output), view(self.next_output), self.length.tolist(), self.score.tolist())
+        return self._sequences
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, len + 1 offsets)."""
         marked, firsts = _marked(data, offsets)
@@ -232,6 +274,13 @@ class Automaton:
         parts, counts, i = [], np.zeros(len(start), np.int64), 0
         while i < len(order):
             j = i + 1
+            if by_size[i] > LONG:
+                own = marked[start[order[i]] : start[order[i]] + length[order[i]]].tobytes().replace(b"\xff", MARK)
+                ids = self.best_of_long(own)
+                parts.append(np.array(ids, np.int32))
+                counts[order[i]] = len(ids)
+                i = j
+                continue
             wide = int(np.searchsorted(by_size, by_size[i] * 1.25 + 2, "right"))
             j = max(j, min(wide, i + CELLS // int(by_size[wide - 1])))
             rows = order[i:j]
@@ -276,9 +325,14 @@ def _marked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 _BUILT: dict[tuple, Automaton | Vocabulary] = {}
 
 
-def _built(kind: type, pieces: list[tuple[bytes, float, str]]) -> Automaton | Vocabulary:
+def _digest(pieces: list[tuple[bytes, float, str]]) -> str:
+    """Of all pieces, so that vocabularies that differ anywhere have different ones."""
+    return hashlib.sha256(repr(pieces).encode()).hexdigest()
+
+
+def _built(kind: type, pieces: list[tuple[bytes, float, str]], digest: str) -> Automaton | Vocabulary:
     """Built once in each Python worker."""
-    key = kind, hash((len(pieces), *pieces[:: max(1, len(pieces) // 997)]))
+    key = kind, digest
     if key not in _BUILT:
         if len(_BUILT) > 3:
             _BUILT.clear()
@@ -305,11 +359,12 @@ def _decoded(vocabulary: Vocabulary, column: pa.Array) -> pa.Array:
 
 def encoder(pieces: list[tuple[bytes, float, str]]):
     """Column function: text to array<int> of piece ids. Null gives null, an empty text no ids."""
+    digest = _digest(pieces)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode_pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            yield _encoded(_built(Automaton, pieces), column)
+            yield _encoded(_built(Automaton, pieces, digest), column)
             release_memory()
 
     return encode_pieces
@@ -317,24 +372,26 @@ def encoder(pieces: list[tuple[bytes, float, str]]):
 
 def decoder(pieces: list[tuple[bytes, float, str]]):
     """Column function: array<int> of piece ids to text. Null gives null; bytes that are no UTF-8 become U+FFFD."""
+    digest = _digest(pieces)
 
     @F.arrow_udf(T.StringType())
     def decode_pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            yield _decoded(_built(Vocabulary, pieces), column)
+            yield _decoded(_built(Vocabulary, pieces, digest), column)
 
     return decode_pieces
 
 
 def both_ways(pieces: list[tuple[bytes, float, str]]):
     """Column function: text to its piece_ids and the text decoded from them, in one step; null gives nulls."""
+    digest = _digest(pieces)
     kind = pa.struct([("piece_ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     @F.arrow_udf(T.StructType().add("piece_ids", T.ArrayType(T.IntegerType())).add("decoded", "string"))
     def encode_and_decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            ids = _encoded(_built(Automaton, pieces), column)
-            yield pa.StructArray.from_arrays([ids, _decoded(_built(Vocabulary, pieces), ids)], fields=list(kind))
+            ids = _encoded(_built(Automaton, pieces, digest), column)
+            yield pa.StructArray.from_arrays([ids, _decoded(_built(Vocabulary, pieces, digest), ids)], fields=list(kind))
             release_memory()
 
     return encode_and_decode

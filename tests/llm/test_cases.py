@@ -278,3 +278,62 @@ def test_revisits_of_one_url_and_clashing_columns(spark):
     got = {r.record_id: r for r in revisits.resolve_revisits(df.withColumns({"slot": F.lit(1), "stored": F.lit("x"), "response_id": F.lit(-1)})).collect()}
     assert len(got) == 120 and all(got[k].response_id == 0 and got[k].headers["date"] == f"d{k}" for k in range(1, 60))
     assert all(got[100 + k].status == "no_response" for k in range(60)) and got[301].status == "unchecked"
+
+
+# --- licences that are none, vocabularies that are alike, words without end
+
+
+def test_no_false_licences(spark):
+    gpl = licenses.TEMPLATES["gpl-3.0"]
+    filler = " ".join(f"w{k}" for k in range(2000))
+    texts = ["He drives under the influence without a license", gpl, "software is distributed under the license terms", f"released {filler} under {filler} The MIT", "Released under the MIT License", f"x {licenses.TEMPLATES['bsd-3-clause']} y"]
+    got = {r.doc_id: r for r in licenses.license_matches(frame(spark, list(enumerate(texts)))).collect()}
+    assert [got[k].license for k in range(6)] == [None, "gpl-3.0", None, None, "mit", "bsd-3-clause"]
+    assert [[x.license for x in got[k].found] for k in range(6)] == [[], ["gpl-3.0"], [], [], ["mit"], ["bsd-3-clause"]]
+
+
+def test_licences_of_the_table_have_their_names(spark):
+    """No document is given a short notice's licence without the notice's name in it, close to its other words."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: ALNUM.findall(lower(r.text)) for r in docs.collect()}
+    some = 0
+    for r in licenses.license_matches(docs).collect():
+        for x in r.found:
+            own = texts[r.doc_id][x.first_word : x.last_word + 1]
+            assert {*licenses.REQUIRED.get(x.license, [])} <= {*own} and len(own) <= 3 * x.n_aligned
+            t = ALNUM.findall(lower(licenses.TEMPLATES[x.license]))
+            assert plain_alignment(own, t) >= x.n_aligned
+            some += 1
+        assert (r.license is None) == (not r.found)
+    # A notice that stands in a text word for word is found there.
+    for k, w in texts.items():
+        for name in ("mit", "apache-2.0", "gpl-3.0", "cc-by-nc-4.0"):
+            t = ALNUM.findall(lower(licenses.TEMPLATES[name]))
+            if any(w[i : i + len(t)] == t for i in range(len(w) - len(t) + 1)):
+                some += 1
+    assert some
+
+
+def test_like_vocabularies_are_kept_apart(spark):
+    plain = [(f"p{k}".encode(), -float(k), "piece") for k in range(3001)]
+    other = [(b, s, kind) if k != 1 else (b"qq", s, kind) for k, (b, s, kind) in enumerate(plain)]
+    built = [pieces._built(pieces.Vocabulary, x, pieces._digest(x)) for x in (plain, other, plain)]
+    assert built[0] is built[2] and built[0] is not built[1]
+
+
+def test_long_words_are_searched_alike(spark, monkeypatch):
+    """Words without spaces: one by one as in tables, and in bounded time."""
+    rng = random.Random(12)
+    known = pieces.load_pieces(MODEL)
+    automaton = pieces.Automaton(known)
+    letters = ["a", "b", "th", "é", "中", "🙂", "▁", "\n", "xyz", "the", "ing"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 300))) for _ in range(60)] + [" " * 50, "a" + " " * 9 + "b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    encode = lambda: [automaton.encode(*pieces.utf8(pieces.pa.array([t])))[0].tolist() for t in texts]
+    wanted = encode()
+    monkeypatch.setattr(pieces, "LONG", 20)
+    assert encode() == wanted
+    monkeypatch.undo()
+    long_text = "".join(rng.choice(letters) for _ in range(300_000))
+    got = pieces.round_trip(rows.union(spark.createDataFrame([(99, long_text)], rows.schema)), MODEL).where("doc_id = 99").first()
+    assert got.exact and got.n_tokens > 1000
