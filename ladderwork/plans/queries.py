@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..functions import text as X
 from ..operators import grading, pairs, problems, search, trees
-from ..sources import records
+from ..sources import records, saved
 from ..streaming import jobs
 from .inputs import SQL as INPUTS
 from .inputs import derived, with_derived
@@ -145,6 +145,17 @@ def _problem_splits(spark: SparkSession, d: str) -> DataFrame:
     return records.read_problem_splits(spark, path)
 
 
+def _saved_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """All problems saved as a collection of Arrow shards, and read from it again."""
+    path, asked = scratch(spark, "saved"), derived(spark, d, "fx_problems")
+    saved.save_dataset(asked.withColumn("split", F.when(F.col("source_index") % 5 == 0, "test").otherwise("train")), path)
+    return saved.read_saved_dataset(spark, path)
+
+
+QUERIES["saved_dataset"] = _saved_dataset
+ORACLE_SQL["saved_dataset"] = with_derived("fx_problems", "select source_index, question, answer, case when source_index % 5 = 0 then 'test' else 'train' end as split from fx_problems")
+
+
 def _existing_output(spark: SparkSession, d: str) -> DataFrame:
     """Writes in two parts; the guard refuses the second until it is told to append. guarded: how often it refused."""
     path, asked = scratch(spark, "guarded"), derived(spark, d, "fx_problems")
