@@ -6,8 +6,8 @@ document's distinct terms that lie in the subset (exclusive or of the terms' has
 documents both have some of which they hold a few terms.
 
 Copies count as documents, so the terms of a group of copies that holds more than HIGH of all rows are out of the band, as
-are frequent words. A document with few terms in the band is hashed over all of its own terms, by the same subsets, and
-pairs with such a document are compared by the hashes over all terms, which each row has.
+are frequent words. So a fingerprint has two parts: the hashes over its terms in the band, and after '|' those over all of its
+terms, by the same subsets. Pairs of which a document has few terms in the band are compared by the second parts.
 
 At least a share LOW of all documents holds each term, so the lexicon has at most (mean distinct terms of a document) /
 LOW terms, however many documents there are. Its size is counted before it is broadcast; beyond LEXICON_TERMS the join
@@ -79,10 +79,10 @@ def _printed(pairs: list[str]) -> Column:
 
 
 def _agreement(a: str, b: str) -> Column:
-    """For each subset 0 where neither document holds a term, 2 where the hashes are equal, else 1. a, b: columns of structs
-    (fingerprint, own); where either fingerprint is of all terms, the hashes of all terms are compared."""
-    codes = lambda x, y: f"zip_with(split({x}, ' '), split({y}, ' '), (x, y) -> case when x = '-' and y = '-' then 0 when x = y then 2 else 1 end)"
-    return F.expr(f"if({a}.fingerprint like '=%' or {b}.fingerprint like '=%', {codes(f'{a}.own', f'{b}.own')}, {codes(f'{a}.fingerprint', f'{b}.fingerprint')})")
+    """For each subset 0 where neither fingerprint holds a term, 2 where the hashes are equal, else 1. Of two fingerprints the parts
+    over terms in the band are compared, or those over all terms if either has few in the band."""
+    part = lambda x: f"split(substring_index({x}, '|', if({a} like '=%' or {b} like '=%', -1, 1)), ' ')"
+    return F.expr(f"zip_with({part(a)}, {part(b)}, (x, y) -> case when x = '-' and y = '-' then 0 when x = y then 2 else 1 end)")
 
 
 def _likeness(equal: Column, codes: str) -> Column:
@@ -94,10 +94,10 @@ def _likeness(equal: Column, codes: str) -> Column:
 
 
 def fingerprints(docs: DataFrame, keys: list[str], text: str, known: DataFrame) -> DataFrame:
-    """keys, fingerprint and own (the hashes of all terms) of each row; keys name a row. known: a lexicon.
+    """keys and fingerprint of each row; keys name a row. known: a lexicon.
 
-    A fingerprint has the subsets' hashes of the terms in the lexicon. Where those are few it is '=', a hash of all the
-    row's terms and the same subsets' hashes of all of them."""
+    A fingerprint is the subsets' hashes of the terms in the lexicon, or where those are few '=' and one hash of all terms;
+    '|'; and the same subsets' hashes of all terms. Likenesses are found from fingerprints alone."""
     terms = distinct_terms(F.coalesce(text, F.lit("")))
     # The words' array is made before it is exploded: what stands beside explode() is evaluated for each word.
     made = docs.select(*keys, terms.alias("terms"))
@@ -117,8 +117,8 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str, known: DataFrame)
     )
     own, band = _printed([f"all{k}" for k in pairs]), _printed([f"band{k}" for k in pairs])
     few = (F.col("n_known") < FEW) | (F.col("n_known") * FEW_SHARE < F.col("n_terms"))
-    held = held.select(*keys, own.alias("own"), F.when(few, F.lit("=")).otherwise(band).alias("band"), F.hex("plain").alias("plain"))
-    return held.select(*keys, "own", F.when(F.col("band") == "=", F.concat(F.lit("="), "plain", F.lit(" "), "own")).otherwise(F.col("band")).alias("fingerprint"))
+    first = F.when(few, F.concat(F.lit("="), F.hex("plain"))).otherwise(band)
+    return held.select(*keys, F.concat(first, F.lit("|"), own).alias("fingerprint"))
 
 
 def _ordered(docs: DataFrame) -> DataFrame:
@@ -176,13 +176,13 @@ def fingerprint_report(docs: DataFrame, low: float = LOW, high: float = HIGH) ->
     ).select("span", "place", "doc_id", "n_chars", "edited_sha256", "x.copy", "x.text")
     carried = ["doc_id", "n_chars", "edited_sha256"]
     prints = fingerprints(both, ["span", "place", "copy", *carried], "text", known)
-    one = lambda copy: F.max(F.when(F.col("copy") == copy, F.struct("fingerprint", "own")))
+    one = lambda copy: F.max(F.when(F.col("copy") == copy, F.col("fingerprint")))
     wide = prints.groupBy("span", "place", *carried).agg(one(0).alias("this"), one(1).alias("edited"))
     wide = stage(wide, "fingerprints")
     final = _with_next(wide, "this", "next", ["place"])
     final = final.withColumns({"with_edited": _agreement("this", "edited"), "with_next": _agreement("this", "next")})
-    near = lambda other, codes: _likeness(F.col("this.fingerprint") == F.col(f"{other}.fingerprint"), codes)
+    near = lambda other, codes: _likeness(F.col("this") == F.col(other), codes)
     return final.select(
-        "doc_id", "n_chars", "edited_sha256", F.col("this.fingerprint").alias("fingerprint"), F.col("edited.fingerprint").alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", F.col("this").alias("fingerprint"), F.col("edited").alias("edited_fingerprint"),
         near("edited", "with_edited").alias("near_edited"), near("next", "with_next").alias("near_next"),
     )

@@ -106,7 +106,7 @@ def signed(x):
 
 
 def plain_fingerprint(text, known):
-    """(fingerprint, hashes of all terms), one term and one subset after the other."""
+    """The fingerprint, one term and one subset after the other."""
     terms = {t for t in re.split(fingerprints._SEPARATORS, text.lower()) if t}
     both = {"own": [0] * fingerprints.SUBSETS, "band": [0] * fingerprints.SUBSETS}
     plain = 0
@@ -124,13 +124,14 @@ def plain_fingerprint(text, known):
     own, band = (" ".join("-" if v == 0 else f"{v:08X}" for v in both[x]) for x in ("own", "band"))
     n = len(terms & known)
     few = n < fingerprints.FEW or n * fingerprints.FEW_SHARE < len(terms)
-    return (f"={plain:X} {own}" if few else band), own
+    return (f"={plain:X}" if few else band) + "|" + own
 
 
 def plain_likeness(a, b):
-    if a[0] == b[0]:
+    """The likeness, from what is returned alone."""
+    if a == b:
         return 1.0
-    x, y = (a[1], b[1]) if "=" in a[0] + b[0] else (a[0], b[0])
+    x, y = (z.split("|")["=" in a + b] for z in (a, b))
     pairs, best, size = list(zip(x.split(" "), y.split(" "))), 0.0, fingerprints.PER_DENSITY
     for d in range(len(fingerprints.DENSITIES)):
         own = [(p, q) for p, q in pairs[d * size : (d + 1) * size] if not p == q == "-"]
@@ -155,9 +156,9 @@ def test_fingerprints_against_a_plain_version(spark):
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
         own, other, following = (plain_fingerprint(t, known) for t in (text, edited, after))
-        assert (got[doc].fingerprint, got[doc].edited_fingerprint, got[doc].edited_sha256) == (own[0], other[0], sha(edited))
+        assert (got[doc].fingerprint, got[doc].edited_fingerprint, got[doc].edited_sha256) == (own, other, sha(edited))
         assert got[doc].near_edited == pytest.approx(plain_likeness(own, other)) and got[doc].near_next == pytest.approx(plain_likeness(own, following))
-        kinds.add(own[0][0] == "=")
+        kinds.add(own[0] == "=")
     assert kinds == {True, False}
 
 
