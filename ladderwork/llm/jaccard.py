@@ -7,6 +7,10 @@
   its size fixes. Sets that share a key are chained (not paired), which gives candidate components; all others are apart.
   Groups are dealt by a seed, and linked sets share a key under every seed, so a component is keyed again, by its own
   frequencies and another seed, until it falls apart no further.
+* Corpus-wide prefixes, in place of the groups where more may differ (`prefixes`): every shingle's frequency is counted by ranges,
+  in cells that few shingles share, and a block of texts is answered for its own. Ordered by these, rare ones first, linked
+  sets share one of the shingles that each may lack and one more; those of a single text are no keys. Passages that many
+  texts share are then keys only of texts that hold little else.
 * Prefixes. A task that has a whole component knows all of its frequencies. Ordered by these, rare ones first, linked sets
   share one of the shingles that each may lack and one more, so there sets are chained by these, again until the component
   falls apart no further.
@@ -40,7 +44,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components, stars
-from .shared import by_ids, join_frequent, stage
+from .shared import by_ids, join_frequent, repeated_once, stage
+from .totals import SENT as COUNTED_SENT
+from .totals import Spread, rows_of, totals
 from .words import SPACED_LOWER, U64, chunks, mix, release_memory, utf8, words
 
 #: Least and most dimensions of a tree's count vectors (one for PER_GROUP shingles of its middle set); entries of a tree's node.
@@ -55,6 +61,10 @@ COUNTED, KNOWN, FREQUENT_FROM = 4_000_000, 500_000, 6
 SPARE = 1.12
 #: Keys that a task gathers before it sends them, and keys a range receives on average.
 SEND_KEYS, RANGE_KEYS = 400_000, 1_500_000
+#: Bytes of text in a block, shingles in a range and cells for each shingle, on average, where frequencies are counted.
+BLOCK_BYTES, RANGE_SHINGLES, CELLS = 6 << 20, 3 << 20, 16
+#: Rows that repeat are dealt to a block once if they have together more bytes than this.
+REPEATED_BYTES = BLOCK_BYTES // 2
 #: Sets of a component from which on it is keyed again; share of its weight that must fall off for that to go on.
 KEYED_AGAIN, SHRUNK = 24, 0.1
 #: Cells in which a task counts a component's shingles. Those that share a cell count together: any order will do.
@@ -203,9 +213,10 @@ def _salted(shingles: np.ndarray, component: int) -> np.ndarray:
     return mix(shingles ^ mix(np.array([component], np.int64).view(U64))) if component else shingles
 
 
-def read_sets(texts: DataFrame, size: int) -> DataFrame:
-    """texts (doc_id, text, component) as written rows of READ: documents with the names of their sets (docs, sizes, sids), and
-    shingles (in their components) that a task has met in more sets than one, with how many (shingles, counts)."""
+def read_sets(texts: DataFrame, size: int, count: bool = True) -> DataFrame:
+    """texts (doc_id, text, component) as written rows of READ: documents with the names of their sets (docs, sizes, sids), and, if
+    they are to be counted, shingles (in their components) that a task has met in more sets than one, with how many
+    (shingles, counts)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -228,7 +239,7 @@ def read_sets(texts: DataFrame, size: int) -> DataFrame:
                 about[np.array(docs.is_null(), bool)] ^= -1
                 yield _rows(READ, docs=[docs.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()], sizes=[about.tobytes()], sids=[ids.tobytes()])
                 for c, s, sid in zip(components[i:j], sets, ids.tolist()):
-                    if len(s) and (c, sid) not in seen:
+                    if count and len(s) and (c, sid) not in seen:
                         seen.add((c, sid))
                         held.append(_salted(s, c))
                         n_held += len(s)
@@ -286,6 +297,74 @@ def _among(shingles: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, shingles), len(known) - 1)] == shingles
 
 
+def _dealt(keys: np.ndarray, codes: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Keys and codes as rows of SENT for their ranges."""
+    r = (keys % U64(ranges)).astype(np.int64)
+    # 32 bits beside the range: an equal key by chance only makes a candidate that is then checked.
+    rest = (keys // U64(ranges)).astype("<u4").view(np.uint8).reshape(-1, 4)
+    entry = np.concatenate([rest, codes.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]], 1)
+    order = np.argsort(r, kind="stable")
+    bounds = np.searchsorted(r[order], np.arange(ranges + 1))
+    some = np.flatnonzero(np.diff(bounds))
+    for k in range(0, len(some), 64):
+        own = some[k : k + 64].tolist()
+        yield _rows(SENT, range=own, keys=[np.ascontiguousarray(entry[order[bounds[x] : bounds[x + 1]]]).tobytes() for x in own])
+
+
+def send_prefixes(texts: DataFrame, bytes_of_text: int, size: int, threshold: Threshold, ranges: int) -> DataFrame:
+    """As send_keys: the keys are the shingles of the sets' prefixes, by frequency over all texts (of a component), that other sets
+    have, too. Frequencies are those of cells, which all texts see alike: linked sets share a key in any such order, and
+    one shingle in CELLS of those that only one set has is a key nevertheless."""
+    blocks = max(64, -(-bytes_of_text // BLOCK_BYTES))
+    shingles = max(1, bytes_of_text // 6)
+    parts = max(16, -(-shingles // RANGE_SHINGLES))
+    per = max(1 << 12, -(-CELLS * shingles // parts))
+    spread = Spread(parts, of=lambda keys: keys // U64(per))
+
+    def sets_of(block: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """(distinct sets, their codes, cell of each shingle of all of them)."""
+        sets, codes, met = [], [], set()
+        for s, c in zip(_words_of(block.column("text"), size), block.column("component").to_pylist()):
+            if len(s) and (c, sid := set_id(s)) not in met:
+                met.add((c, sid))
+                sets.append(_salted(s, c))
+                codes.append(sid & CODE)
+        cells = mix(np.concatenate(sets) ^ U64(0x3C3C)) % U64(per * parts) if sets else np.zeros(0, U64)
+        return sets, np.array(codes, np.int64), cells
+
+    def send(key: tuple, block: pa.Table) -> pa.Table:
+        _, _, cells = sets_of(block)
+        cell, n = np.unique(cells, return_counts=True)
+        out = rows_of(COUNTED_SENT, spread.send(key[0].as_py(), cell, n))
+        release_memory()
+        return out
+
+    def choose(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
+        sets, codes, cells = sets_of(block)
+        out = []
+        if sets:
+            cell, number = np.unique(cells, return_inverse=True)
+            count = spread.receive(cell, answers)[0][number]
+            keys, at = [], 0
+            for s in sets:
+                own = count[at : at + len(s)]
+                first = np.lexsort((s, own))[: threshold.prefix(len(s))]
+                keys.append(s[first[own[first] > 1]])
+                at += len(s)
+            codes = np.repeat(codes, [len(k) for k in keys])
+            keys = np.concatenate(keys)
+            on, edges = _chained(keys, codes)
+            if len(edges):
+                out.append(_rows(SENT, range=[int(edges[0, 0]) % ranges], edges=[np.ascontiguousarray(stars(edges)).tobytes()]))
+            out += _dealt(keys[on], codes[on], ranges)
+        release_memory()
+        return pa.Table.from_batches(out or [_rows(SENT, range=[])])
+
+    dealt = texts.select("text", "component", F.pmod(F.xxhash64("doc_id", "text", "component"), F.lit(blocks)).alias("block")).groupBy("block")
+    answers = totals(dealt.applyInArrow(send, COUNTED_SENT), spread)
+    return dealt.cogroup(answers.groupBy("block")).applyInArrow(choose, SENT)
+
+
 def send_keys(texts: DataFrame, known: np.ndarray, size: int, threshold: Threshold, ranges: int, seed: int = 0) -> DataFrame:
     """texts (text, component) as rows of SENT: for each range the keys of sets with the codes of these (keys), and chain edges of
     sets that share a key in a task (edges, to any range). Sets of different components share no key. known: frequent
@@ -301,17 +380,7 @@ def send_keys(texts: DataFrame, known: np.ndarray, size: int, threshold: Thresho
             on, edges = _chained(keys, codes)
             if len(edges):
                 yield _rows(SENT, range=[int(edges[0, 0]) % ranges], edges=[np.ascontiguousarray(stars(edges)).tobytes()])
-            keys, codes = keys[on], codes[on]
-            r = (keys % U64(ranges)).astype(np.int64)
-            # 32 bits beside the range: an equal key by chance only makes a candidate that is then checked.
-            rest = (keys // U64(ranges)).astype("<u4").view(np.uint8).reshape(-1, 4)
-            entry = np.concatenate([rest, codes.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]], 1)
-            order = np.argsort(r, kind="stable")
-            bounds = np.searchsorted(r[order], np.arange(ranges + 1))
-            some = np.flatnonzero(np.diff(bounds))
-            for k in range(0, len(some), 64):
-                own = some[k : k + 64].tolist()
-                yield _rows(SENT, range=own, keys=[np.ascontiguousarray(entry[order[bounds[x] : bounds[x + 1]]]).tobytes() for x in own])
+            yield from _dealt(keys[on], codes[on], ranges)
 
         for batch in batches:
             data, offsets = utf8(batch.column(0))
@@ -581,7 +650,11 @@ def _ranges(bytes_of_text: int, threshold: Threshold) -> int:
     return max(16, -(-int(bytes_of_text / 6 * 4 * (threshold.den - threshold.num) / (threshold.den + threshold.num)) // RANGE_KEYS))
 
 
-def _keyed_again(large: DataFrame, size: int, threshold: Threshold, local: int) -> tuple[list[DataFrame], DataFrame | None]:
+def _prefix_ranges(bytes_of_text: int, threshold: Threshold) -> int:
+    return max(16, -(-int(bytes_of_text / 6 * (threshold.den - threshold.num) / threshold.den) // RANGE_KEYS))
+
+
+def _keyed_again(large: DataFrame, size: int, threshold: Threshold, local: int, prefixes: bool) -> tuple[list[DataFrame], DataFrame | None]:
     """Members of components beyond `local`, keyed again by another seed and the frequencies inside each: (those whose component is small by
     then, those of components that fall apart no further)."""
     done: list[DataFrame] = []
@@ -590,7 +663,11 @@ def _keyed_again(large: DataFrame, size: int, threshold: Threshold, local: int)
         if not weight:
             return done, None
         texts = large.select(F.lit(0).cast("bigint").alias("doc_id"), "text", "component")
-        roots = candidate_components(send_keys(texts, frequent_shingles(read_sets(texts, size)), size, threshold, _ranges(size_of_text, threshold), seed))
+        if prefixes:
+            sent = send_prefixes(texts, size_of_text, size, threshold, _prefix_ranges(size_of_text, threshold))
+        else:
+            sent = send_keys(texts, frequent_shingles(read_sets(texts, size)), size, threshold, _ranges(size_of_text, threshold), seed)
+        roots = candidate_components(sent)
         coded = large.select("sid", "n", F.col("sid").bitwiseAND(F.lit(CODE)).alias("code")).join(roots, "code").select("sid", "n", F.col("root").alias("component"))
         named = _with_sizes(stage(coded, "candidates"))
         parted = stage(large.select("sid", "text").join(named, "sid").select("component", "sets", "weight", "sid", "n", "text"), "members")
@@ -600,7 +677,7 @@ def _keyed_again(large: DataFrame, size: int, threshold: Threshold, local: int)
             return done, large
 
 
-def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, local: int = LOCAL) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, local: int = LOCAL, prefixes: bool = False) -> DataFrame:
     """Components of documents linked by the Jaccard similarity of their shingle sets.
 
     docs: doc_id, text; other columns are ignored. Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. The set: distinct
@@ -608,15 +685,21 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     nothing. Documents link when den * shared >= num * union. One row per row of docs: doc_id, n_shingles, component_id
     (smallest doc_id of its component; its own when it links with nothing). Rows that repeat a doc_id are rows of their
     own; a null doc_id is never a component's id (null where no other row of its component has one) but links as others
-    do. A very long text is one set in one task. An empty table gives no rows. Sets are named by 64 bits.
+    do. A very long text is one set in one task. An empty table gives no rows. Sets are named by 64 bits. prefixes: candidates
+    share shingles of corpus-wide prefixes instead of groups; the rows are the same.
     """
     threshold = Threshold(num, den)
     docs = docs.select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     texts = docs.withColumn("component", F.lit(0).cast("bigint"))
-    read = read_sets(texts, size)
+    read = read_sets(texts, size, count=not prefixes)
     about = stage(documents_of(read), "documents")
-    sent = send_keys(texts, frequent_shingles(read), size, threshold, _ranges(total, threshold))
+    if prefixes:
+        once = repeated_once(docs, REPEATED_BYTES)
+        texts = texts if once is None else once.withColumn("component", F.lit(0).cast("bigint"))
+        sent = send_prefixes(texts, total, size, threshold, _prefix_ranges(total, threshold))
+    else:
+        sent = send_keys(texts, frequent_shingles(read), size, threshold, _ranges(total, threshold))
     first = about.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"))
     named = first.withColumn("code", F.col("sid").bitwiseAND(F.lit(CODE))).join(candidate_components(sent), "code").select("sid", "doc_id", "n", F.col("root").alias("component"))
     named = stage(_with_sizes(stage(named, "candidates")), "candidates")
@@ -638,7 +721,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     total = int(named.agg(F.sum("n")).first()[0] or 0)
     if not named.where(F.col("weight") > local).isEmpty():
         large = stage(members.where(F.col("weight") > local).dropDuplicates(["component", "sid"]).select("component", "sid", "n", "text"), "members")
-        done, rest = _keyed_again(large, size, threshold, local)
+        done, rest = _keyed_again(large, size, threshold, local, prefixes)
         small += done
         if rest is not None:
             links = _large_links(rest, size, threshold)
@@ -657,5 +740,5 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
 def distinct_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs without those that a smaller doc_id of their component stands for. Rows that share a doc_id are one document;
     rows of a null doc_id stay; documents without words stay."""
-    gone = jaccard_components(docs, size, num, den).where("doc_id <> component_id")
+    gone = jaccard_components(docs, size, num, den, prefixes=True).where("doc_id <> component_id")
     return by_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)

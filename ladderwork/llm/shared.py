@@ -53,6 +53,21 @@ def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
+def repeated_once(docs: DataFrame, most: int) -> DataFrame | None:
+    """doc_id, text and copies (how often the row is there) of docs, where rows that repeat are one row if their texts have together
+    more bytes than `most`; others have one copy each. None if there are no such rows. Which rows repeat is counted by 64
+    bits of a row; tasks count before they send, so a row that fills the table is one row per task."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"))
+    counts = keyed.groupBy("_row").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    many = stage(counts.where((F.col("n") > 1) & (F.col("bytes") > most)).select("_row"), "repeated")
+    n = many.count()
+    if not n:
+        return None
+    many = F.broadcast(many) if n <= BROADCAST_IDS else many
+    once = keyed.join(many, "_row", "left_semi").groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+    return keyed.join(many, "_row", "left_anti").select("doc_id", "text", F.lit(1).cast("bigint").alias("copies")).unionByName(once)
+
+
 def join_frequent(rows: DataFrame, of_key: DataFrame, key: str) -> DataFrame:
     """rows.join(of_key, key, "left") for any share of rows with one key, or none. of_key has at most one row for a key. Its rows of
     frequent keys, fewer than FREQUENT, are broadcast, so that rows of these keys stay where they are, as do rows of a null

@@ -15,6 +15,8 @@ Ranges and blocks grow in number with the corpus, not in size. So that a block's
 WIDE ranges are reached in two levels: a block sends to spans of ranges, and a shelf of blocks that has one span of all of
 them merges what they sent, deals it to the ranges, and deals the answers to its blocks. The dealt texts are one exchange
 that all three passes read.
+Rows that repeat so often that they would fill a block are dealt twice, which makes all of their windows repeated, and what is left
+of one of the two is given to all of them.
 A block's rows arrive in any order, and in another one in each pass, so passes that name or use places sort them first.
 """
 
@@ -27,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import repeated_once
 from .words import SPACED, U64, chunks, mix, utf8, windows, words
 
 #: Bytes of text in a block and windows in a range, on average.
 BLOCK_BYTES, RANGE_WINDOWS = 6 << 20, 3 << 20
+#: Rows that repeat are dealt twice if they have together more bytes than this, half a block.
+REPEATED_BYTES = BLOCK_BYTES // 2
 #: Cells of each of the sketch's two rows for each window.
 CELLS = 4
 #: Ranges that blocks send to directly; blocks of a shelf.
@@ -322,7 +327,12 @@ def deduplicated(docs: DataFrame, size: int = 35) -> DataFrame:
     blocks = max(64, -(-total // BLOCK_BYTES))
     ranges = max(64, -(-(total // 6) // RANGE_WINDOWS))
     cells = max(1 << 12, CELLS * (total // 6) // ranges)
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
+    docs = docs.select("doc_id", "text")
+    once = repeated_once(docs, REPEATED_BYTES)
+    counted = once is not None
+    if counted:
+        docs = once.withColumn("copies", F.explode(F.expr("if(copies > 1, array(copies, 0), array(copies))")))
+    dealt = docs.select("*", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
     places = repeated_places(dealt, size, ranges, cells)
 
     def remove(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
@@ -353,9 +363,17 @@ def deduplicated(docs: DataFrame, size: int = 35) -> DataFrame:
             raw = text.tobytes()
             kept += [raw[s : max(s, e - 1)] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table([block.column("doc_id"), pa.array(join(n_words), pa.int64()), pa.array(join(n_removed), pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
-
-    return dealt.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(remove, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+        columns = [block.column("doc_id"), pa.array(join(n_words), pa.int64()), pa.array(join(n_removed), pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+        copies = [block.column("copies")] if counted else []
+        return pa.table(columns + copies, names=["doc_id", "n_words", "n_removed", "kept", "copies"][: len(columns + copies)])
+
+    result = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
+    blocks_of = dealt.groupBy("block").cogroup(places.groupBy("block"))
+    if not counted:
+        return blocks_of.applyInArrow(remove, result)
+    # The second of two dealt has no copies to speak for.
+    spoken = blocks_of.applyInArrow(remove, result + ", copies bigint").where("copies > 0")
+    return spoken.select("doc_id", "n_words", "n_removed", "kept", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("col")
 
 
 def deduplicated_digest(docs: DataFrame) -> DataFrame:

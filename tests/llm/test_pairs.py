@@ -99,6 +99,27 @@ def test_jaccard_with_spread_components(spark, rows):
     assert got == sorted(brute.components(rows, 5, 80))
 
 
+def test_jaccard_by_prefixes(spark, rows):
+    got = sorted(tuple(r) for r in jaccard_components(frame(spark, rows), prefixes=True).collect())
+    assert got == sorted(brute.components(rows))
+    got = sorted(tuple(r) for r in jaccard_components(frame(spark, rows), size=5, num=80, local=600, prefixes=True).collect())
+    assert got == sorted(brute.components(rows, 5, 80))
+
+
+def test_a_row_repeated_very_often(spark):
+    """More copies of one row than half a block holds."""
+    text = " ".join(f"much{k}" for k in range(60))
+    near, short = text.replace("much59", "other"), "a short text"
+    rows = [(1, text)] * 9000 + [(2, near), (3, "much0 much1 " * 3), (4, short), (4, short)]
+    docs = frame(spark, rows)
+    got = sorted(tuple(r) for r in deduplicated_digest(docs).collect())
+    empty = brute.sha("")
+    assert got == [(1, 60, 60, empty)] * 9000 + sorted(brute.substrings([(1, text), (1, text), *rows[9000:]]))[2:]
+    assert {tuple(r) for r in jaccard_components(docs, 5, 80, prefixes=True).collect()} == {(1, 56, 1), (2, 56, 1), (3, 2, 3), (4, 1, 4)}
+    kept = distinct_documents(docs).groupBy("doc_id").count().collect()
+    assert sorted(tuple(r) for r in kept) == [(1, 9000), (3, 1), (4, 2)]
+
+
 def test_jaccard_edge_cases(spark):
     long = " ".join(f"w{k}" for k in range(50))
     rows = [(5, long), (5, long), (3, long + " x"), (7, None), (8, ""), (9, "one two"), (2, "ONE  two"), (None, long), (11, "one two three")]
