@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components, stars
-from .shared import by_ids, join_frequent, repeated_once, stage
+from .shared import by_ids, free_name, join_frequent, repeated_once, stage
 from .totals import SENT as COUNTED_SENT
 from .totals import Spread, rows_of, totals
 from .words import SPACED_LOWER, U64, chunks, mix, release_memory, utf8, words
@@ -688,7 +688,26 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     do. A very long text is one set in one task. An empty table gives no rows. Sets are named by 64 bits. prefixes: candidates
     share shingles of corpus-wide prefixes instead of groups; the rows are the same.
     """
-    threshold = Threshold(num, den)
+    return _components(docs, Threshold(num, den), size, local, prefixes).select("doc_id", "n_shingles", "component_id")
+
+
+def _sids(column: pa.Array, size: int) -> pa.Array:
+    return pa.array([set_id(s) for s in _words_of(column, size)], pa.int64())
+
+
+def _rows_of_ids(docs: DataFrame, ids: DataFrame, about: DataFrame) -> DataFrame:
+    """doc_id, text of the rows with these ids. Rows that repeat are one row: only ids of several rows are looked at for that,
+    and tasks drop what they have twice before they send it, so other texts stay where they are."""
+    rows = by_ids(docs, ids, "doc_id", "left_semi")
+    counts = about.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    several = stage(counts.where("rows > 1").select("doc_id"), "several")
+    if several.isEmpty():
+        return rows
+    return by_ids(rows, several, "doc_id", "left_anti").unionByName(by_ids(rows, several, "doc_id", "left_semi").distinct())
+
+
+def _components(docs: DataFrame, threshold: Threshold, size: int, local: int, prefixes: bool) -> DataFrame:
+    """jaccard_components with the sid of each row's set."""
     docs = docs.select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     texts = docs.withColumn("component", F.lit(0).cast("bigint"))
@@ -706,12 +725,11 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
 
     def sid_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [set_id(s) for s in _words_of(batch.column(1), size)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], names=["doc_id", "text", "sid"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _sids(batch.column(1), size)], names=["doc_id", "text", "sid"])
 
     # A document's row is found by its id; the set id parts rows that share one. Sets without ids are found by theirs alone.
     made = "doc_id bigint, text string, sid bigint"
-    wanted = by_ids(docs, named, "doc_id", "left_semi").mapInArrow(sid_of, made)
+    wanted = _rows_of_ids(docs, named, about).mapInArrow(sid_of, made)
     kept = ["component", "sets", "weight", "sid", "n", "text"]
     members = wanted.join(named, ["doc_id", "sid"]).select(*kept)
     if not named.where("doc_id is null").isEmpty():
@@ -734,11 +752,21 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = join_frequent(labelled.select("sid", "root"), least, "root").select("sid", "component_id")
     joined = join_frequent(about, labels, "sid")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return joined.select("doc_id", "sid", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def distinct_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without those that a smaller doc_id of their component stands for. Rows that share a doc_id are one document;
-    rows of a null doc_id stay; documents without words stay."""
-    gone = jaccard_components(docs, size, num, den, prefixes=True).where("doc_id <> component_id")
-    return by_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs without rows that a smaller doc_id of their component stands for. Rows that share a doc_id are each judged by their
+    own text, and both stay if they are of one component; rows of a null doc_id stay; documents without words stay."""
+    rows = _components(docs, Threshold(num, den), size, LOCAL, True)
+    gone = stage(rows.where("doc_id <> component_id").select("doc_id", "sid").distinct(), "gone")
+    # Ids of which some rows go and others stay: there the texts decide, elsewhere the ids alone.
+    parted = stage(by_ids(rows, gone, "doc_id", "left_semi").where("doc_id = component_id").select("doc_id").distinct(), "parted")
+    kept = by_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    if parted.isEmpty():
+        return kept
+    sid = free_name(docs, "sid")
+    sid_of = F.pandas_udf(lambda texts: _sids(pa.Array.from_pandas(texts, type=pa.string()), size).to_pandas(), "bigint")
+    some = by_ids(docs, parted, "doc_id", "left_semi").withColumn(sid, sid_of("text"))
+    left = some.join(gone.withColumnRenamed("sid", sid), ["doc_id", sid], "left_anti")
+    return kept.unionByName(left.select(*docs.columns))

@@ -5,6 +5,7 @@ import random
 import brute
 import pytest
 
+from ladderwork.llm import jaccard
 from ladderwork.llm.graph import connected_components
 from ladderwork.llm.jaccard import Threshold, distinct_documents, jaccard_components, keys_of, rarest, shingle_sets
 from ladderwork.llm.substrings import deduplicated, deduplicated_digest, pack, unpack
@@ -120,6 +121,25 @@ def test_a_row_repeated_very_often(spark):
     assert sorted(tuple(r) for r in kept) == [(1, 9000), (3, 1), (4, 2)]
 
 
+@pytest.mark.parametrize("prefixes", [False, True])
+def test_sets_meet_once_however_often_a_row_repeats(spark, monkeypatch, prefixes):
+    text = " ".join(f"much{k}" for k in range(60))
+    rows = [(1, text)] * 5000 + [(2, text.replace("much59", "other")), (1, "another text of the same id, which links with nothing"), (None, text)]
+    met, links = [], jaccard._local_links
+    monkeypatch.setattr(jaccard, "_local_links", lambda members, *rest: met.append(members.count()) or links(members, *rest))
+    got = sorted(jaccard_components(frame(spark, rows), 5, 80, prefixes=prefixes).collect(), key=str)
+    assert sum(met) == 2 and len(got) == 5003
+    assert {tuple(r) for r in got} == {(1, 56, 1), (2, 56, 1), (1, 6, 1), (None, 56, 1)}
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    text, other = " ".join(f"a{k}" for k in range(60)), "quite another text that nothing else is like"
+    rows = [(1, text), (2, text + " x"), (2, other), (2, other), (3, None), (3, text), (4, other + "!"), (None, text)]
+    kept = distinct_documents(frame(spark, rows))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, text), (2, other), (2, other), (3, None), (4, other + "!"), (None, text)], key=str)
+    assert kept.columns == ["doc_id", "text", "block", "sid"]
+
+
 def test_jaccard_edge_cases(spark):
     long = " ".join(f"w{k}" for k in range(50))
     rows = [(5, long), (5, long), (3, long + " x"), (7, None), (8, ""), (9, "one two"), (2, "ONE  two"), (None, long), (11, "one two three")]
