@@ -630,10 +630,10 @@ def _stream_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _stream_trees(spark: SparkSession, d: str) -> DataFrame:
     """Two runs over the same arriving trees: the second adds nothing."""
-    nested, out = _nested(spark, d), scratch(spark, "finished")
+    nested = _nested(spark, d)
+    stream, out, _ = _arriving(spark, nested, "trees")
     for _ in range(2):
-        stream, _, state = _arriving(spark, nested, "trees")
-        jobs.append_trees(stream, out, state)
+        jobs.append_trees(stream, out, scratch(spark, "trees-state"))
     return jobs.appended_trees(spark, out, nested.schema).select("problem_id", F.size("nodes").alias("n_nodes"))
 
 

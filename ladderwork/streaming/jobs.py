@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.grading import grade
 from ..operators.pairs import make_pairs_nested
@@ -54,32 +52,25 @@ _DONE = "key string, n bigint"
 _PLACE = ["run", "batch", "slice"]
 
 
-def _first_of_key(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
-    """How many rows of a key have arrived, and the one to take if the key is new: that whose text is smallest."""
-    arrived, known, best = 0, state.exists, None
-    for f in frames:
-        rows = f.loc[~f["finished"], "row"]
-        arrived, known = arrived + len(rows), known or bool(f["finished"].any())
-        if len(rows):
-            best = rows.min() if best is None else min(best, rows.min())
-    if not state.exists:
-        state.update((True,))
-    if arrived:
-        yield pd.DataFrame({"arrived": [arrived], "row": [None if known else best]})
-
-
 def new_trees(trees: DataFrame, finished: DataFrame, key: str) -> DataFrame:
-    """Streaming: arrived (rows of a key in this batch) and row (the tree to take as JSON, null if its key was there before).
+    """Streaming: key, row (a tree as JSON) and kind: arrived for each arriving tree, finished for each key done before, new for
+    a key's first batch. by_key has what they come to. finished: a stream of keys done before (key).
 
-    A state store keeps the keys, so a batch costs what arrives in it. finished: a stream of keys done before (key). Of
-    differing trees of one key in a batch that of the smallest text is taken; rows of a null or empty key are all taken."""
-    name = F.col(key).cast("string")
-    named = F.coalesce(name, F.lit("")) != ""
+    A state store keeps the keys, so a batch costs what arrives in it; rows of a null or empty key have no key here."""
+    name, none = F.col(key).cast("string"), F.lit(None).cast("string")
     row = F.to_json(F.struct(*[F.col(c) for c in trees.columns]), _JSON)
-    known = finished.where("key is not null").select("key", F.lit(None).cast("string").alias("row"), F.lit(True).alias("finished"))
-    keyed = trees.where(named).select(name.alias("key"), row.alias("row"), F.lit(False).alias("finished")).unionByName(known)
-    first = keyed.groupBy("key").applyInPandasWithState(_first_of_key, "arrived bigint, row string", "seen boolean", "append", GroupStateTimeout.NoTimeout)
-    return first.unionByName(trees.where(~named).select(F.lit(1).cast("bigint").alias("arrived"), row.alias("row")))
+    named, known = trees.select(name.alias("key")).where("key <> ''"), finished.where("key is not null").select("key")
+    first = named.unionByName(known).dropDuplicates(["key"])
+    arrived = trees.select(F.when(name != "", name).alias("key"), row.alias("row"), F.lit("arrived").alias("kind"))
+    return arrived.unionByName(known.select("key", none.alias("row"), F.lit("finished").alias("kind"))).unionByName(first.select("key", none.alias("row"), F.lit("new").alias("kind")))
+
+
+def by_key(batch: DataFrame) -> DataFrame:
+    """A batch of new_trees: arrived (rows of a key) and row (the tree to take as JSON, null if its key was there before). Of differing
+    trees of one key that of the smallest text is taken; rows without a key are all taken, each by itself."""
+    alone = batch.withColumn("alone", F.when(F.col("key").isNull(), F.monotonically_increasing_id()))
+    is_new = F.max(F.col("kind") == "new") & ~F.max(F.col("kind") == "finished")
+    return alone.groupBy("key", "alone").agg(F.count_if(F.col("kind") == "arrived").alias("arrived"), F.when(F.col("key").isNull() | is_new, F.min("row")).alias("row")).select("arrived", "row")
 
 
 class TreeSink:
@@ -96,7 +87,7 @@ class TreeSink:
         spark = batch.sparkSession
         run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
         place, counts = f"run={run}/batch={number}", Observation()
-        rows = batch.observe(counts, F.coalesce(F.sum("arrived"), F.lit(0)).alias("arrived"), F.count("row").alias("fresh"))
+        rows = by_key(batch).observe(counts, F.coalesce(F.sum("arrived"), F.lit(0)).alias("arrived"), F.count("row").alias("fresh"))
         fresh = rows.where("row is not null").select(F.from_json("row", self.schema, _JSON).alias("r")).select("r.*")
         error, new = None, 0
         if self.build is None:
